@@ -112,8 +112,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     running = scan_within(counts, by, ["_v"], sums={"_upto": "_c"})
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
-    # One row per group (a feature list, bounded by the caller's columns).
-    joined = running.join(totals, by) if by else running.crossJoin(F.broadcast(totals))
+    if by:
+        joined = running.join(totals, by)
+    else:
+        joined = running.withColumn("_total", totals.scalar())
     picked = []
     for name, p in probs.items():
         spot = (F.col("_total") - 1) * F.lit(float(p))
