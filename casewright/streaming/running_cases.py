@@ -5,107 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.frames import quoted
-from ..operators.encode import NUMERIC_STATS, EncoderModel
+from ..operators.encode import EncoderModel, encode
 from ..operators.model import SCORE, Scorer
 from ..schema import LogSchema
 
-# Mergeable state of an aggregate-encoded prefix: counts per level, and n, sum, mean, squared
-# deviations, least and greatest per numeric column.
 
+def running_features(stream: DataFrame, schema: LogSchema, model: EncoderModel, lateness: str | None = "1 hour") -> DataFrame:
+    """Aggregate-encoded features of every case so far, as a streaming aggregation.
 
-def prefix_state(events: DataFrame, schema: LogSchema, model: EncoderModel) -> DataFrame:
-    """State of the events of each case in one batch."""
-    parts = [F.count("*").alias("n_events"), F.max(schema.ts).alias("last_ts")]
-    for j, c in enumerate(model.cat):
-        for k, level in enumerate(model.levels.get(c, {})):
-            parts.append(F.count_if(F.col(quoted(c)) == level).alias(f"c{j}_{k}"))
-    for j, c in enumerate(model.num):
-        x = F.col(quoted(c)).cast("double")
-        parts += [
-            F.count(x).alias(f"n{j}"), F.coalesce(F.avg(x), F.lit(0.0)).alias(f"mean{j}"),
-            (F.coalesce(F.var_pop(x), F.lit(0.0)) * F.count(x)).alias(f"dev{j}"), F.min(x).alias(f"min{j}"), F.max(x).alias(f"max{j}"),
-        ]
-    return events.where(F.col(schema.case).isNotNull()).groupBy(schema.case).agg(*parts)
-
-
-def merge_states(old: DataFrame, new: DataFrame, schema: LogSchema, model: EncoderModel) -> DataFrame:
-    """State of the cases in ``new`` after adding their older state."""
-    a, b = F.col, lambda c: F.col(f"_o_{c}")
-    before = old.select(F.col(schema.case), *[F.col(c).alias(f"_o_{c}") for c in old.columns if c != schema.case])
-    joined = new.join(before, schema.case, "left")
-    parts = [
-        (a("n_events") + F.coalesce(b("n_events"), F.lit(0))).alias("n_events"),
-        F.greatest(a("last_ts"), b("last_ts")).alias("last_ts"),
-    ]
-    for j, c in enumerate(model.cat):
-        for k in range(len(model.levels.get(c, {}))):
-            name = f"c{j}_{k}"
-            parts.append((a(name) + F.coalesce(b(name), F.lit(0))).alias(name))
-    for j, _ in enumerate(model.num):
-        n0, n1 = F.coalesce(b(f"n{j}"), F.lit(0)), a(f"n{j}")
-        m0, m1 = F.coalesce(b(f"mean{j}"), F.lit(0.0)), a(f"mean{j}")
-        total = n0 + n1
-        parts += [
-            total.alias(f"n{j}"), F.coalesce(F.try_divide(n0 * m0 + n1 * m1, total), F.lit(0.0)).alias(f"mean{j}"),
-            (
-                F.coalesce(b(f"dev{j}"), F.lit(0.0)) + a(f"dev{j}")
-                + F.coalesce(F.try_divide(n0 * n1 * (m0 - m1) * (m0 - m1), total), F.lit(0.0))
-            ).alias(f"dev{j}"),
-            F.least(a(f"min{j}"), b(f"min{j}")).alias(f"min{j}"), F.greatest(a(f"max{j}"), b(f"max{j}")).alias(f"max{j}"),
-        ]
-    return joined.select(schema.case, *parts)
-
-
-def state_features(state: DataFrame, schema: LogSchema, model: EncoderModel) -> DataFrame:
-    """Aggregate-encoded features ``agg__...`` from the state."""
-    out = []
-    for j, c in enumerate(model.cat):
-        for k, level in enumerate(model.levels.get(c, {})):
-            out.append(F.col(f"c{j}_{k}").cast("double").alias(f"agg__{c}_{level}"))
-    for s in NUMERIC_STATS:
-        for j, c in enumerate(model.num):
-            n = F.col(f"n{j}")
-            value = {
-                "mean": F.when(n > 0, F.col(f"mean{j}")), "max": F.col(f"max{j}"), "min": F.col(f"min{j}"),
-                "sum": F.col(f"mean{j}") * n, "std": F.when(n > 1, F.sqrt(F.try_divide(F.col(f"dev{j}"), n - 1))),
-            }[s]
-            out.append(F.coalesce(value, F.lit(0.0)).alias(f"agg__{s}_{c}"))
-    return state.select(schema.case, "n_events", "last_ts", *out)
+    Spark's state store keeps counts, sums, extremes and moments per case; events themselves
+    are not kept. With ``lateness`` an event that comes again, or later than that behind the
+    newest one, is dropped.
+    """
+    if model.kind not in ("agg", "bool"):
+        raise ValueError("only aggregate encoders can be updated event by event")
+    if lateness is not None:
+        stream = stream.withWatermark(schema.ts, lateness).dropDuplicatesWithinWatermark([schema.case, *schema.tiebreak])
+    return encode(stream, schema, [model], case=schema.case)
 
 
 def score_running_cases(
-    stream: DataFrame, schema: LogSchema, model: EncoderModel, scorer: Scorer, state_path: str,
-    sink: Callable[[DataFrame, int], None], checkpoint: str, lateness: str = "1 hour", **trigger,
+    stream: DataFrame, schema: LogSchema, model: EncoderModel, scorer: Scorer, sink: Callable[[DataFrame, int], None],
+    checkpoint: str, lateness: str | None = "1 hour", **trigger,
 ) -> StreamingQuery:
-    """Update and score the touched cases of each micro-batch.
+    """Score the cases touched by each micro-batch and hand (case, score) to ``sink``."""
+    features = running_features(stream, schema, model, lateness)
 
-    ``state_path`` holds one state table per batch, ``state_path/batch=<id>``; a batch that runs
-    again reads the table before it and writes its own anew. Events later than ``lateness``
-    behind the newest event seen are dropped.
-    """
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        own, earlier = f"{state_path}/batch={number}", f"{state_path}/batch={number - 1}"
-        fresh = batch
-        seen = spark.read.parquet(earlier) if number > 0 else None
-        if seen is not None:
-            newest = seen.agg(F.max("last_ts")).scalar()
-            limit = newest - F.expr(f"INTERVAL {lateness}")
-            fresh = batch.where(newest.isNull() | (F.col(schema.ts) >= limit))
-        added = prefix_state(fresh, schema, model)
-        touched = added if seen is None else merge_states(seen, added, schema, model)
-        # The flag keeps the touched cases apart in the written table.
-        rows = touched.withColumn("touched", F.lit(True))
-        if seen is not None:
-            others = seen.drop("touched").join(added.select(schema.case), schema.case, "left_anti")
-            rows = rows.unionByName(others.withColumn("touched", F.lit(False)))
-        rows.write.mode("overwrite").parquet(own)
-        now = spark.read.parquet(own).where("touched").drop("touched")
-        sink(scorer(state_features(now, schema, model)).select(schema.case, "n_events", SCORE), number)
+        sink(scorer(batch).select(schema.case, SCORE), number)
 
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).outputMode("append")
+    writer = features.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(handle)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
