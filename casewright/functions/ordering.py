@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-_BLOCK, _SPOT = "_block", "_spot"
+_BLOCK, _SPOT = "__block", "__spot"
 
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
@@ -48,11 +48,11 @@ def with_total(df: DataFrame, order: Sequence[str | Column], out: str = "rank")
     for block, n in sizes:
         starts.append((block, total))
         total += n
-    base = df.sparkSession.createDataFrame(starts, f"{_BLOCK} long, _base long")
+    base = df.sparkSession.createDataFrame(starts, f"{_BLOCK} long, __base long")
     ranked = (
         blocks.join(F.broadcast(base), _BLOCK)
-        .withColumn(out, F.col("_base") + F.col(_SPOT) + 1)
-        .drop(_BLOCK, _SPOT, "_base")
+        .withColumn(out, F.col("__base") + F.col(_SPOT) + 1)
+        .drop(_BLOCK, _SPOT, "__base")
     )
     return ranked, total
 
@@ -75,31 +75,31 @@ def scan_within(
     blocks = sorted_blocks(df, [*by, *order])
     inside = Window.partitionBy(_BLOCK, *by).orderBy(_SPOT)
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    aggregates = [F.count("*").alias("_n")]
-    aggregates += [F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()]
-    aggregates += [F.max_by(c, _SPOT).alias(f"_last_{o}") for o, c in lags.items()]
+    aggregates = [F.count("*").alias("__n")]
+    aggregates += [F.sum(c).alias(f"__sum_{o}") for o, c in sums.items()]
+    aggregates += [F.max_by(c, _SPOT).alias(f"__last_{o}") for o, c in lags.items()]
     parts = blocks.groupBy(_BLOCK, *by).agg(*aggregates)
     keys = by if by else [F.lit(0)]
     earlier = Window.partitionBy(*keys).orderBy(_BLOCK)
     before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum("_n").over(before).alias("_carry_n")]
-    carried += [F.sum(f"_sum_{o}").over(before).alias(f"_carry_{o}") for o in sums]
-    carried += [F.lag(f"_last_{o}").over(earlier).alias(f"_carry_{o}") for o in lags]
+    carried = [F.sum("__n").over(before).alias("__carry_n")]
+    carried += [F.sum(f"__sum_{o}").over(before).alias(f"__carry_{o}") for o in sums]
+    carried += [F.lag(f"__last_{o}").over(earlier).alias(f"__carry_{o}") for o in lags]
     # Only continued groups need a carry: fewer rows than there are partitions.
-    named = [F.col(c).alias(f"_at_{i}") for i, c in enumerate(by)]
-    carry = parts.select(F.col(_BLOCK).alias("_at"), *named, *carried).where(F.col("_carry_n").isNotNull())
-    condition = F.col(_BLOCK) == F.col("_at")
+    named = [F.col(c).alias(f"__at_{i}") for i, c in enumerate(by)]
+    carry = parts.select(F.col(_BLOCK).alias("__at"), *named, *carried).where(F.col("__carry_n").isNotNull())
+    condition = F.col(_BLOCK) == F.col("__at")
     for i, c in enumerate(by):
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_at_{i}"))
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__at_{i}"))
     joined = blocks.join(F.broadcast(carry), condition, "left")
     added = []
     if rank:
-        added.append((F.row_number().over(inside).cast("long") + F.coalesce("_carry_n", F.lit(0))).alias(rank))
+        added.append((F.row_number().over(inside).cast("long") + F.coalesce("__carry_n", F.lit(0))).alias(rank))
     for o, c in sums.items():
-        added.append((F.coalesce(F.sum(c).over(until), F.lit(0)) + F.coalesce(f"_carry_{o}", F.lit(0))).alias(o))
+        added.append((F.coalesce(F.sum(c).over(until), F.lit(0)) + F.coalesce(f"__carry_{o}", F.lit(0))).alias(o))
     for o, c in lags.items():
         first = F.row_number().over(inside) == 1
-        added.append(F.when(first, F.col(f"_carry_{o}")).otherwise(F.lag(c).over(inside)).alias(o))
+        added.append(F.when(first, F.col(f"__carry_{o}")).otherwise(F.lag(c).over(inside)).alias(o))
     return joined.select(*df.columns, *added)
 
 
@@ -122,10 +122,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
         for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             here = (F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto"))
             picked.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
-    sides = joined.groupBy(*by).agg(F.max("_total").alias("_n"), *picked)
+    sides = joined.groupBy(*by).agg(F.max("_total").alias("__n"), *picked)
     result = []
     for name, p in probs.items():
-        spot = (F.col("_n") - 1) * F.lit(float(p))
+        spot = (F.col("__n") - 1) * F.lit(float(p))
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         result.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
     return sides.select(*by, *result)

@@ -137,7 +137,7 @@ class _Running(_Grouped):
 
     def __init__(self, schema: LogSchema):
         super().__init__(schema)
-        inside = Window.partitionBy(schema.case).orderBy(*schema.order)
+        inside = Window.partitionBy(schema.case).orderBy("pos")
         self.until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def stat(self, name, c):
@@ -244,43 +244,71 @@ def encode(
     return _select(grouped, models, keys, union)
 
 
+def running_heads(log: DataFrame, schema: LogSchema, max_length: int) -> DataFrame:
+    """First events of each case with static values and label as known so far, and ``case_start``.
+
+    A static value is the first one that is not null up to the event. Applying this twice
+    changes nothing, and cutting a case after any event leaves the rows before it as they are.
+    """
+    heads = case_heads(log, schema, max_length)
+    inside = Window.partitionBy(schema.case).orderBy(*schema.order)
+    until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fixed = (*schema.static_num, *schema.static_cat, schema.label)
+    filled = {c: F.first(F.col(quoted(c)), ignorenulls=True).over(until) for c in fixed}
+    used = dict.fromkeys([schema.case, schema.ts, *schema.dynamic_num, *schema.dynamic_cat, *fixed])
+    return heads.select(
+        *[filled[c].alias(c) if c in filled else F.col(quoted(c)) for c in used],
+        "pos", "case_length", F.min(schema.ts).over(whole).alias("case_start"),
+    )
+
+
 def encode_running(
     log: DataFrame, schema: LogSchema, models: Sequence[EncoderModel], max_length: int, gap: int = 1,
     buckets: DataFrame | None = None, label: str = "encoded_label",
 ) -> DataFrame:
-    """Encode all prefixes of a log by running aggregates: one shuffle, one row per prefix.
+    """Encode all prefixes of a log by running aggregates: one shuffle, one row per prefix."""
+    return encode_heads(case_heads(log, schema, max_length), schema, models, gap, buckets, label)
+
+
+def encode_heads(
+    heads: DataFrame, schema: LogSchema, models: Sequence[EncoderModel], gap: int = 1, buckets: DataFrame | None = None,
+    label: str = "encoded_label", keep: Sequence[str] = (),
+) -> DataFrame:
+    """One encoded row per prefix from the first events of each case (``case_heads``).
 
     ``buckets`` maps a prefix size to its bucket (``floor_sizes``); without it all prefixes
     are in bucket 1. Adds ``prefix_id``, ``original_case_id``, ``prefix_nr``, ``bucket`` and the label.
     """
     how = _Running(schema)
-    heads = case_heads(log, schema, max_length)
     raw = [c for t, m in enumerate(models) for c in _raw_columns(m, how, f"_{t}_")]
     first_label = F.when(how.first(schema.label) == schema.positive, 1).otherwise(0).alias("_label")
-    running = heads.select(schema.case, "pos", *raw, first_label).where((F.col("pos") - 1) % gap == 0)
+    running = heads.select(schema.case, "pos", *keep, *raw, first_label)
+    if gap > 1:
+        running = running.where((F.col("pos") - 1) % gap == 0)
     if buckets is None:
         running = running.withColumn("bucket", F.lit(1).cast("long"))
     else:
-        # At most max_length sizes.
-        running = running.join(F.broadcast(buckets.where(F.col("size") <= max_length)), F.col("pos") == F.col("size"), "left")
+        # One row per prefix length.
+        running = running.join(F.broadcast(buckets), F.col("pos") == F.col("size"), "left")
     first = F.col("pos") == 1
     keys = [
+        *keep,
         F.when(first, F.col(schema.case)).otherwise(F.concat_ws("_", schema.case, "pos")).alias("prefix_id"),
         F.col(schema.case).alias("original_case_id"), F.col("pos").alias("prefix_nr"), F.col("bucket"),
     ]
     return _select(running.withColumnRenamed("_label", label), models, [*keys, F.col(label)], True)
 
 
-def fit_running(
-    kinds: Iterable[str], log: DataFrame, schema: LogSchema, max_length: int, by_length: bool = False,
-    limit: int = VOCABULARY_LIMIT,
+def fit_heads(
+    kinds: Iterable[str], heads: DataFrame, schema: LogSchema, by_length: bool = False, limit: int = VOCABULARY_LIMIT
 ) -> list[EncoderModel]:
-    """Fit on the prefixes of a log without building them.
+    """Fit on the prefixes that ``running_heads`` stands for, without building them.
 
     Bucket b (one per length) holds the first b events of all cases with at least b, so a
-    level is known in bucket b if some such case shows it at a position up to b.
+    level is known in bucket b if some such case shows it at a position up to b; a static
+    value belongs to its own position only.
     """
-    heads = case_heads(log, schema, max_length)
     models = []
     for kind in kinds:
         cat = schema.static_cat if kind == "static" else schema.dynamic_cat
@@ -288,13 +316,8 @@ def fit_running(
         if kind == "index":
             models.append(_fit_running_positions(heads, cat, num, by_length, limit))
             continue
-        seen = heads
-        if kind == "static":
-            how = _Running(schema)
-            firsts = [how.first(c).alias(c) for c in cat]
-            seen = heads.select("pos", F.col("pos").alias("case_length"), *firsts)
-        levels = _levels_by_span(seen, cat, by_length, limit)
-        models.append(EncoderModel(kind, cat, num, levels))
+        seen = heads.withColumn("case_length", F.col("pos")) if kind == "static" else heads
+        models.append(EncoderModel(kind, cat, num, _levels_by_span(seen, cat, by_length, limit)))
     return models
 
 

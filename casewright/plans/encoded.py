@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import with_total
 from ..operators.bucket import floor_sizes
-from ..operators.encode import METHODS, EncoderModel, encode_running, fit_running
-from ..operators.prefix import case_heads, max_prefix_rule
-from ..operators.split import temporal_split
+from ..operators.encode import METHODS, EncoderModel, encode_heads, fit_heads, running_heads
+from ..operators.prefix import max_prefix_rule
 from ..schema import LogSchema
+from ..session import stage
 
 
 class EncodedSet(NamedTuple):
@@ -39,19 +40,21 @@ def encoded_with_label(
     """
     kinds = METHODS[encoding]
     longest = max_prefix_rule(log, schema) if max_length is None else max_length
-    train, test = temporal_split(log, schema, ratio)
+    # The log is shuffled by case once; everything below works on the first events of each case.
+    heads = stage(running_heads(log, schema, longest), "heads")
+    heads = mark_sets(heads, schema, ratio)
+    train = heads.where(F.col("set") == "training")
     by_length = bucketing == "prefix"
-    models = fit_running(kinds, train, schema, longest, by_length)
     buckets = None
     if by_length:
-        fitted = case_heads(train, schema, longest).select(F.col("pos").cast("long").alias("size")).distinct()
+        # The cut may have shortened training cases.
+        whole = Window.partitionBy(schema.case)
+        train = train.withColumn("case_length", F.max("pos").over(whole))
+        fitted = train.select(F.col("pos").cast("long").alias("size")).distinct()
         every = log.sparkSession.range(1, longest + 1).withColumnRenamed("id", "size")
         buckets = floor_sizes(every, fitted)
-    parts = [
-        encode_running(part, schema, models, longest, gap, buckets).withColumn("set", F.lit(name))
-        for part, name in ((train, "training"), (test, "testing"))
-    ]
-    rows = parts[0].unionByName(parts[1])
+    models = fit_heads(kinds, train, schema, by_length)
+    rows = encode_heads(heads, schema, models, gap, buckets, keep=("set",))
     if drop_empty:
         rows = rows.where(F.col("bucket").isNotNull())
     features = [f"{m.kind}__{c}" for m in models for c in m.columns]
@@ -59,6 +62,25 @@ def encoded_with_label(
     return EncodedSet(rows, features, categorical, models, longest)
 
 
+def mark_sets(heads: DataFrame, schema: LogSchema, ratio: float) -> DataFrame:
+    """Heads with their ``set``: the split of ``temporal_split`` without a join.
+
+    Whether a case trains follows from its start and id alone, once the last training case in
+    (start, id) order is known.
+    """
+    starts = heads.where(F.col("pos") == 1).select(schema.case, "case_start")
+    ranked, total = with_total(starts, [F.col("case_start").asc_nulls_last(), F.col(schema.case)])
+    last = int(ratio * total)
+    edge = {r["rank"]: r for r in ranked.where(F.col("rank").isin(last, last + 1)).collect()}
+    if last + 1 not in edge:
+        return heads.limit(0).withColumn("set", F.lit("training"))
+    first_test = edge[last + 1]
+    start, case = F.lit(first_test["case_start"]), F.lit(first_test[schema.case])
+    tested = (F.col("case_start") > start) | ((F.col("case_start") == start) & (F.col(schema.case) >= case))
+    marked = heads.withColumn("set", F.when(tested, "testing").otherwise("training"))
+    return marked.where((F.col("set") == "testing") | (F.col(schema.ts) < start))
+
+
 def catalogue(encoded: EncodedSet, dataset: str, method: str) -> DataFrame:
     """One row per bucket and set: sizes, prefix length and number of features.
 

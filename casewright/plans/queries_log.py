@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import quoted, to_long
@@ -13,7 +11,7 @@ from ..operators import encode as E
 from ..operators import prefix as P
 from ..operators import prepare as R
 from ..operators import split as S
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 from ..sources import artefacts as A
 from ..sources.logs import read_event_log
 from ..sources.tables import LINES, ORDERS, SESSIONS, lines_log, orders_log, sessions_log
@@ -25,13 +23,6 @@ LOG_COLUMNS = ["case_id", "event_id", "activity", "resource", "totalprice", "seg
 LOG_SQL = "case_id, event_id, activity, resource, totalprice, segment, nation, acctbal, label"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors can reach."""
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext.getCheckpointDir()
-    return f"{root}/{name}-{next(tempfile._get_candidate_names())}"
-
-
 def full_log(df: DataFrame) -> DataFrame:
     return df.select(*LOG_COLUMNS, stamp("ts").alias("ts"))
 
@@ -43,7 +34,7 @@ FULL_SQL = f"SELECT {LOG_SQL}, epoch_us(ts) AS ts"
 
 @query(f"WITH {O.ORDERS_GAPS} {FULL_SQL} FROM log")
 def read_event_log_csv(spark, d):
-    log, path = orders_log(spark, d, gaps=True), scratch(spark, "log")
+    log, path = orders_log(spark, d, gaps=True), scratch_path(spark, "log")
     log.write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").option("timestampFormat", "yyyy-MM-dd HH:mm:ss").option(
         "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return full_log(read_event_log(spark, ORDERS, path).withColumn("event_id", F.col("event_id").cast("long")))
@@ -51,7 +42,7 @@ def read_event_log_csv(spark, d):
 
 @query(f"WITH {O.ORDERS_GAPS} {FULL_SQL} FROM log", "read_event_log")
 def read_event_log_parquet(spark, d):
-    path = scratch(spark, "log")
+    path = scratch_path(spark, "log")
     orders_log(spark, d, gaps=True).write.parquet(path)
     return full_log(read_event_log(spark, ORDERS, path, "parquet"))
 
@@ -74,7 +65,7 @@ def lines_event_log(spark, d):
 def stored_sets(spark, d) -> str:
     """Encoded sets of the orders log, written as a partitioned table."""
     es = encoded_with_label(orders_log(spark, d, gaps=True), ORDERS)
-    path = scratch(spark, "sets")
+    path = scratch_path(spark, "sets")
     keyed = es.rows.withColumn("dataset", F.lit("orders")).withColumn("method", F.lit("single_agg")).withColumn("prefix_length", F.lit(1))
     A.write_encoded(keyed, path)
     return path
@@ -102,7 +93,7 @@ def _corr_sql(source: str, kinds: dict[str, list[str]], label: str = "y") -> str
 def read_correlations(spark, d):
     es = encoded_with_label(orders_log(spark, d, gaps=True), ORDERS)
     table = A.correlation_table(es.rows, {"num": O.NUMERIC[1:3], "cat": O.COUNTS[:2]})
-    path = scratch(spark, "corr")
+    path = scratch_path(spark, "corr")
     table.withColumn("dataset", F.lit("orders")).write.partitionBy("dataset", "kind").parquet(path)
     cat, num = A.read_correlations(spark.read.parquet(path), dataset="orders")
     both = cat.withColumn("kind", F.lit("cat")).unionByName(num.withColumn("kind", F.lit("num")))
@@ -146,14 +137,14 @@ def write_encoded(spark, d):
 SELECT 'orders' AS dataset, 'single_agg' AS method, part AS dataset_type, count(*) AS bucket_size, min(nr) AS prefix_length, max(feature_num) AS feature_num FROM enc, w GROUP BY part""")
 def write_catalogue(spark, d):
     es = encoded_with_label(orders_log(spark, d, gaps=True), ORDERS)
-    path = scratch(spark, "catalogue")
+    path = scratch_path(spark, "catalogue")
     A.write_catalogue(catalogue(es, "orders", "single_agg"), path)
     return spark.read.parquet(path)
 
 
 @query(f"WITH {O.ORDERS} SELECT activity AS metric, count(*) AS n, {O.r6('avg(totalprice)')} AS score FROM log GROUP BY activity UNION ALL SELECT 'all', count(*), {O.r6('avg(totalprice)')} FROM log")
 def write_metrics(spark, d):
-    log, path = orders_log(spark, d), scratch(spark, "metrics")
+    log, path = orders_log(spark, d), scratch_path(spark, "metrics")
     stats = [F.count("*").alias("n"), rounded(F.avg("totalprice")).alias("score")]
     A.write_metrics([log.groupBy(F.col("activity").alias("metric")).agg(*stats), log.groupBy(F.lit("all").alias("metric")).agg(*stats)], path)
     return spark.read.parquet(path)
@@ -161,7 +152,7 @@ def write_metrics(spark, d):
 
 @query(f"WITH {O.ORDERS} SELECT activity, resource, count(*) AS n FROM log GROUP BY ALL")
 def write_matrix(spark, d):
-    path = scratch(spark, "matrix")
+    path = scratch_path(spark, "matrix")
     A.write_matrix(orders_log(spark, d).groupBy("activity", "resource").agg(F.count("*").alias("n")), path)
     return spark.read.option("sep", ";").option("header", True).schema("activity string, resource string, n long").csv(path)
 
@@ -422,25 +413,25 @@ def encode_bool(spark, d):
     return _rounded_features(E.encode(pre, ORDERS, E.fit("bool", pre, ORDERS)), ["prefix_id"])
 
 
+LONGEST = 14  # longest prefix of the orders log at every scale of the test tables
+
+
 def index_columns(n: int, prefix: str = "", cat=(("activity", O.ACTIVITIES), ("resource", O.STATUSES)), num=("totalprice",)) -> list[tuple[str, str]]:
     out = [(f"{prefix}{c}_{i}", f"coalesce(max({c}) FILTER (pos = {i + 1}), 0)") for i in range(n) for c in num]
     out += [(f"{prefix}{c}_{i}_{v}", f"count(*) FILTER (pos = {i + 1} AND {c} = '{v}')") for c, levels in cat for i in range(n) for v in levels]
     return out
 
 
-FIVE = f"{O.ORDERS_GAPS}, {O.prefixes('log', 'pre', top='5')}"
-
-
-@query(f"WITH {FIVE} SELECT prefix_id, {O.feature_list(index_columns(5))} FROM pre GROUP BY prefix_id")
+@query(f"WITH {PREFIXES_O} SELECT prefix_id, {O.feature_list(index_columns(LONGEST))} FROM pre GROUP BY prefix_id")
 def encode_index(spark, d):
-    pre = P.generate_prefixes(orders_log(spark, d, gaps=True), ORDERS, 1, 5)
+    pre = order_prefixes(spark, d)
     return _rounded_features(E.encode(pre, ORDERS, E.fit("index", pre, ORDERS)), ["prefix_id"])
 
 
-@query(f"""WITH {FIVE}, w AS (SELECT prefix_id, {O.feature_list(index_columns(5))} FROM pre GROUP BY prefix_id)
+@query(f"""WITH {PREFIXES_O}, w AS (SELECT prefix_id, {O.feature_list(index_columns(LONGEST))} FROM pre GROUP BY prefix_id)
 SELECT prefix_id, feature, value FROM (UNPIVOT w ON COLUMNS(* EXCLUDE (prefix_id)) INTO NAME feature VALUE value) WHERE value <> 0""")
 def encode_index_long(spark, d):
-    pre = P.generate_prefixes(orders_log(spark, d, gaps=True), ORDERS, 1, 5)
+    pre = order_prefixes(spark, d)
     return E.encode_index_long(pre, ORDERS).withColumn("value", rounded("value"))
 
 

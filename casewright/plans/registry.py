@@ -36,4 +36,4 @@ def stamp(column: str) -> Column:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_log  # noqa: F401
+    from . import queries_log, queries_profile  # noqa: F401
