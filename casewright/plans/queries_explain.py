@@ -66,7 +66,7 @@ def permutation_sql(part: str, weights: dict[str, float], bias: float, repeats:
     )
     moved = ", ".join(
         f"""moved{i} AS (SELECT t.*, k.r, d.{O.q(f)} AS g{i} FROM plan k JOIN base d ON TRUE JOIN base t
-          ON t.rk = (primes[CAST(({i} + k.r) % len(primes) AS BIGINT) + 1] * (d.rk - 1) + (({i} * {repeats} + k.r + 1) * 7919) % d.n) % d.n + 1)"""
+          ON t.rk = (d.primes[CAST(({i} + k.r) % len(d.primes) AS BIGINT) + 1] * (d.rk - 1) + (({i} * {repeats} + k.r + 1) * 7919) % d.n) % d.n + 1)"""
         for i, f in enumerate(weights)
     )
     return f"""base AS (SELECT *, row_number() OVER (ORDER BY md5(prefix_id || '_42'), prefix_id) AS rk, count(*) OVER () AS n,
@@ -148,10 +148,10 @@ def train_phi(spark, d, weights=None, bias=O.BIAS):
     return G.shap_linear(rows, "prefix_id", weights or O.WEIGHTS, bias)
 
 
-@query(f"{PHI} SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi')} AS phi, {r6(base_sql(O.WEIGHTS, O.BIAS))} AS base FROM phi")
+@query(f"{PHI} SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi', 9)} AS phi, {r6(base_sql(O.WEIGHTS, O.BIAS), 9)} AS base FROM phi")
 def shap_linear(spark, d):
     phi, base = train_phi(spark, d)
-    return rounded_columns(phi.withColumn("base", base.scalar()), "value", "phi", "base")
+    return rounded_columns(rounded_columns(phi.withColumn("base", base.scalar()), "value"), "phi", "base", digits=9)
 
 
 @query()
@@ -168,9 +168,9 @@ def shap_ranking(spark, d):
 
 
 @query(f"""{PHI}, top AS (SELECT feature FROM phi GROUP BY feature ORDER BY sum(abs(phi)) DESC LIMIT 2)
-SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi')} AS phi FROM phi WHERE feature IN (SELECT feature FROM top)""")
+SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi', 9)} AS phi FROM phi WHERE feature IN (SELECT feature FROM top)""")
 def shap_dependence(spark, d):
-    return rounded_columns(G.shap_dependence(train_phi(spark, d)[0], "prefix_id", top=2), "value", "phi")
+    return rounded_columns(G.shap_dependence(train_phi(spark, d)[0], "prefix_id", top=2).withColumn("value", rounded("value")), "phi", digits=9)
 
 
 # --- local explanations ------------------------------------------------------------------
@@ -225,11 +225,12 @@ def lime_split_by_class(spark, d):
 
 @query(f"""{PHI}, {EXPLAINED}, b AS (SELECT {base_sql(O.WEIGHTS, O.BIAS)} AS base),
 o AS (SELECT phi.*, base, row_number() OVER w AS step, base + sum(phi) OVER w AS upto FROM phi, b WHERE prefix_id IN (SELECT prefix_id FROM picked) WINDOW w AS (PARTITION BY prefix_id ORDER BY abs(phi), feature))
-SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi')} AS phi, {r6('base')} AS base, step, {r6('upto')} AS upto FROM o""")
+SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi', 9)} AS phi, {r6('base', 9)} AS base, step, {r6('upto', 9)} AS upto FROM o""")
 def shap_local(spark, d):
     rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
     phi, base = G.shap_linear(rows, "prefix_id", O.WEIGHTS, O.BIAS)
-    return rounded_columns(Y.shap_local(phi, base, "prefix_id", explained_cases(rows)), "value", "phi", "base", "upto")
+    path = Y.shap_local(phi, base, "prefix_id", explained_cases(rows)).withColumn("value", rounded("value"))
+    return rounded_columns(path, "phi", "base", "upto", digits=9)
 
 
 # --- comparisons -------------------------------------------------------------------------
@@ -310,12 +311,13 @@ def correlated_features(spark, d):
 
 
 @query(f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, {phi_sql(O.WEIGHTS)}, {phi_sql(OTHER, 'phi2')}, {TOP_TWO}
-SELECT prefix_id, feature, {r6('phi.value')} AS value, {r6('phi.phi')} AS phi_boosted, {r6('phi2.phi')} AS phi_logit FROM phi JOIN phi2 USING (prefix_id, feature) WHERE feature IN (SELECT feature FROM chosen)""")
+SELECT prefix_id, feature, {r6('phi.value')} AS value, {r6('phi.phi', 9)} AS phi_boosted, {r6('phi2.phi', 9)} AS phi_logit FROM phi JOIN phi2 USING (prefix_id, feature) WHERE feature IN (SELECT feature FROM chosen)""")
 def compare_shap(spark, d):
     rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
     first, _ = G.shap_linear(rows, "prefix_id", O.WEIGHTS, O.BIAS)
     second, _ = G.shap_linear(rows, "prefix_id", OTHER, OTHER_BIAS)
-    return rounded_columns(X.compare_shap(first, second, "prefix_id", top_features(rows)), "value", "phi_boosted", "phi_logit")
+    both = X.compare_shap(first, second, "prefix_id", top_features(rows)).withColumn("value", rounded("value"))
+    return rounded_columns(both, "phi_boosted", "phi_logit", digits=9)
 
 
 TRIAL_LOGIT = "t AS (SELECT o_orderstatus AS details, CAST(o_orderkey % 2 + 1 AS INT) AS trial, CAST(month(o_orderdate) AS VARCHAR) AS variable, round(avg(o_totalprice), 4) AS coef FROM orders GROUP BY ALL)"
@@ -447,7 +449,7 @@ def timing_tables(spark, d) -> tuple[DataFrame, ...]:
 
 
 TIMES = """t AS (SELECT l_returnflag AS dataset, l_linestatus AS method, CASE WHEN l_suppkey % 2 = 0 THEN 'boosted' ELSE 'logit' END AS cls, l_linenumber AS prfx_len,
-  coalesce(avg(l_quantity / 10) FILTER (l_partkey % 4 - 1 <> -1), 0) AS prediction_time, CASE WHEN l_linenumber > 1 THEN avg(l_extendedprice) ELSE 0 END AS shap_time, avg(l_discount) AS ale_time, max(l_tax) AS perm_time
+  coalesce(avg(l_quantity / 10) FILTER (l_partkey % 4 - 1 <> -1), 0) AS prediction_time, coalesce(avg(l_extendedprice) FILTER (l_linenumber > 1), 0) AS shap_time, avg(l_discount) AS ale_time, max(l_tax) AS perm_time
   FROM lineitem GROUP BY ALL)"""
 TIME_COLUMNS = ["prediction_time", "shap_time", "ale_time", "perm_time"]
 
