@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 1000          # a key with more than 1/HOT_SHARE of the rows is hot: fewer than HOT_SHARE keys
 HOT_MIN_ROWS = 1_000_000  # below this a key fits a task whatever its share
-CHECK_BYTES = 256 << 20   # inputs estimated smaller than this cannot hold a hot key
+CHECK_BYTES = 256 << 20   # inputs smaller than this are not searched for hot keys
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (an upper bound for scans, filters and joins)."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+def input_bytes(df: DataFrame) -> int:
+    """Size of all tables the frame reads.
+
+    The optimizer's own estimate multiplies the sides of a join, which is far off for the
+    lookups made here.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def hot_keys(
     df: DataFrame, key: str, share: int = HOT_SHARE, min_rows: int = HOT_MIN_ROWS, check_bytes: int = CHECK_BYTES
 ) -> list:
     """Keys with more than a ``1/share`` part of the rows: at most ``share`` values."""
-    if estimated_bytes(df) < check_bytes:
+    if input_bytes(df) < check_bytes:
         return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).first()[0] or 0

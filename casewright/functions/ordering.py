@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import stage
 
 _BLOCK, _SPOT = "__block", "__spot"
 
@@ -24,13 +24,13 @@ def _columns(order: Sequence[str | Column]) -> list[Column]:
 def sorted_blocks(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     """Range-partition and sort; adds block number and 0-based position in the block.
 
-    The result is checkpointed, because two readers must see the same blocks.
+    The result is written out, because two readers must see the same blocks.
     """
     keys = _columns(order)
     spot = F.monotonically_increasing_id()
     df = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(_SPOT, spot)
-    return cut(
-        df.withColumn(_BLOCK, F.shiftright(_SPOT, 33)).withColumn(_SPOT, F.col(_SPOT).bitwiseAND((1 << 33) - 1))
+    return stage(
+        df.withColumn(_BLOCK, F.shiftright(_SPOT, 33)).withColumn(_SPOT, F.col(_SPOT).bitwiseAND((1 << 33) - 1)), "blocks"
     )
 
 
@@ -106,26 +106,43 @@ def scan_within(
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
 
-    Values are counted first, so copies cost one row, and ranks come from ``scan_within``.
+    Values are counted first, so copies cost one row, and sorted into blocks. Sizes of the
+    blocks tell which of them hold the wanted ranks; only those are scanned.
     """
-    by = list(by)
+    by, names = list(by), list(probs)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    running = scan_within(counts, by, ["_v"], sums={"_upto": "_c"})
-    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
-    if by:
-        joined = running.join(totals, by)
-    else:
-        joined = running.withColumn("_total", totals.scalar())
-    picked = []
-    for name, p in probs.items():
-        spot = (F.col("_total") - 1) * F.lit(float(p))
-        for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
-            here = (F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto"))
-            picked.append(F.max(F.when(here, F.col("_v"))).alias(f"_{side}_{name}"))
-    sides = joined.groupBy(*by).agg(F.max("_total").alias("__n"), *picked)
-    result = []
-    for name, p in probs.items():
-        spot = (F.col("__n") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        result.append((low + (high - low) * (spot - F.floor(spot))).alias(name))
-    return sides.select(*by, *result)
+    blocks = sorted_blocks(counts, [*by, "_v"])
+    # One row per group and block.
+    parts = blocks.groupBy(_BLOCK, *by).agg(F.sum("_c").alias("_sum"))
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).withColumn(
+        "_n", F.sum("_sum").over(Window.partitionBy(*keys))
+    )
+    targets = []
+    for i, p in enumerate(probs.values()):
+        spot = (F.col("_n") - 1) * F.lit(float(p))
+        for side, at in ((0, F.floor(spot)), (1, F.ceil(spot))):
+            targets.append(F.struct(F.lit(2 * i + side).alias("which"), (at - F.col("_before")).alias("at"), (spot - F.floor(spot)).alias("share")))
+    here = F.filter(F.array(*targets), lambda t: (t["at"] >= 0) & (t["at"] < F.col("_sum")))
+    wanted = placed.select(
+        F.col(_BLOCK).alias("_wb"), *[F.col(c).alias(f"_w{i}") for i, c in enumerate(by)], here.alias("_here")
+    ).where(F.size("_here") > 0)
+    condition = F.col(_BLOCK) == F.col("_wb")
+    for i, c in enumerate(by):
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_w{i}"))
+    # At most two blocks per group and probability.
+    chosen = blocks.join(F.broadcast(wanted), condition)
+    inside = Window.partitionBy(_BLOCK, *by).orderBy(_SPOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = chosen.withColumn("_upto", F.sum("_c").over(inside))
+    hits = F.filter("_here", lambda t: (t["at"] >= F.col("_upto") - F.col("_c")) & (t["at"] < F.col("_upto")))
+    found = running.select(*by, "_v", F.explode(hits).alias("_t"))
+
+    def end(i: int, side: int) -> Column:
+        return F.max(F.when(F.col("_t.which") == 2 * i + side, F.col("_v")))
+
+    def share(i: int) -> Column:
+        return F.max(F.when(F.col("_t.which") == 2 * i, F.col("_t.share")))
+
+    sides = [(end(i, 0) + (end(i, 1) - end(i, 0)) * share(i)).alias(n) for i, n in enumerate(names)]
+    return found.groupBy(*by).agg(*sides)
