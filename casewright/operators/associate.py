@@ -24,13 +24,16 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], wide: bool | None = No
     columns = list(columns)
     if wide is None:
         wide = len(columns) > PAIRWISE_COLUMNS
-    half = _matrix(df, columns) if wide else _pairs(df, columns)
-    both = half.unionByName(
-        half.where(F.col("feature_a") != F.col("feature_b")).select(
-            F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r"
-        )
-    )
-    return both
+    return _mirror(_matrix(df, columns) if wide else _pairs(df, columns), "r")
+
+
+def _mirror(half: DataFrame, value: str) -> DataFrame:
+    """Both orders of each pair from one."""
+    a, b = F.col("feature_a"), F.col("feature_b")
+    there = F.struct(a.alias("feature_a"), b.alias("feature_b"))
+    back = F.struct(b.alias("feature_a"), a.alias("feature_b"))
+    sides = F.when(a == b, F.array(there)).otherwise(F.array(there, back))
+    return half.select(F.explode(sides).alias("_p"), value).select("_p.feature_a", "_p.feature_b", value)
 
 
 def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,7 +104,7 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(feature_a, feature_b, v): bias-corrected Cramer's V, rounded to 3.
 
-    Cells are counted for all pairs in one pass. Empty cells need no rows: their share of
+    Cells are counted for all pairs in one pass, each task adding up its own first. Empty cells need no rows: their share of
     chi-square follows from the marginals; in a 2 x 2 table Yates' correction applies, where
     all four deviations are equal.
     """
@@ -113,13 +116,10 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         for a, b in pairs
     ]
     pair = ["feature_a", "feature_b"]
-    needed = sorted({c for p in pairs for c in p})
-    # Rows are counted per combination first, which is far fewer than rows times pairs.
-    combos = df.groupBy(*[quoted(c) for c in needed]).agg(F.count("*").alias("_n"))
     cells = (
-        combos.select("_n", F.explode(F.array(*entries)).alias("e")).select("_n", "e.*")
+        df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(*pair, "x", "y").agg(F.sum("_n").alias("o"))
+        .groupBy(*pair, "x", "y").agg(F.count("*").alias("o"))
     )
     rows = cells.groupBy(*pair, "x").agg(F.sum("o").alias("nx"))
     cols = cells.groupBy(*pair, "y").agg(F.sum("o").alias("ny"))
@@ -147,8 +147,10 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def cramers_v_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All ordered pairs, a column with itself included."""
-    return cramers_v(df, [(a, b) for a in columns for b in columns])
+    """All ordered pairs, a column with itself included; each pair is computed once."""
+    columns = list(columns)
+    half = cramers_v(df, [(a, b) for i, a in enumerate(columns) for b in columns[i:]])
+    return _mirror(half, "v")
 
 
 def cramers_v_with_label(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:

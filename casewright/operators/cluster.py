@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +29,9 @@ def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     dim = F.size(vector)
     norm = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x)
     rows = df.withColumn("_norm", norm)
-    sums = (
-        rows.select(cluster, F.posexplode(vector).alias("_i", "_x")).groupBy(cluster, "_i").agg(F.sum("_x").alias("_s"))
-        .groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda e: e["_s"]).alias("s"))
-    )
-    moments = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum("_norm").alias("q"))
-    packed = moments.join(sums, cluster).agg(
-        F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "q", "s")).alias("_clusters")
-    )
+    total = vector_to_array(Summarizer.sum(array_to_vector(vector)))
+    moments = rows.groupBy(cluster).agg(F.count("*").alias("n"), F.sum("_norm").alias("q"), total.alias("s"))
+    packed = moments.agg(F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "q", "s")).alias("_clusters"))
     # One row with one entry per cluster.
     clusters = packed.scalar()
 
@@ -89,10 +85,8 @@ def cluster_scaled(df: DataFrame, features: Sequence[str], k: int, seed: int = 4
 
 def centroid_distance(df: DataFrame, vector: str, cluster: str, out: str = "distance") -> DataFrame:
     """Euclidean distance of each row to the mean of its own cluster."""
-    centroids = (
-        df.select(cluster, F.posexplode(vector).alias("_i", "_x")).groupBy(cluster, "_i").agg(F.avg("_x").alias("_m"))
-        .groupBy(F.col(cluster).alias("_of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"]).alias("_centre"))
-    )
+    mean = vector_to_array(Summarizer.mean(array_to_vector(vector)))
+    centroids = df.groupBy(F.col(cluster).alias("_of")).agg(mean.alias("_centre"))
     # One vector per cluster.
     joined = df.join(F.broadcast(centroids), F.col(cluster) == F.col("_of"))
     squares = F.zip_with(F.col(vector), F.col("_centre"), lambda x, m: (x - m) * (x - m))

@@ -187,12 +187,10 @@ def pair_scatter(df: DataFrame, columns: Sequence[str], label: str, bins: int =
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"s{i}").alias("bin_x"), F.col(f"s{j}").alias("bin_y"))
         for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j
     ]
-    # Rows are counted per combination of bins first, then spread over the pairs.
-    cells = placed.groupBy(label, *[f"s{i}" for i in range(len(columns))]).agg(F.count("*").alias("_n"))
     return (
-        cells.select(label, "_n", F.explode(F.array(*pairs)).alias("p")).select(label, "_n", "p.*")
+        placed.select(label, F.explode(F.array(*pairs)).alias("p")).select(label, "p.*")
         .where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
-        .groupBy("x", "y", "bin_x", "bin_y", label).agg(F.sum("_n").alias("n"))
+        .groupBy("x", "y", "bin_x", "bin_y", label).agg(F.count("*").alias("n"))
     )
 
 

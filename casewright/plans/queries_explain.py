@@ -16,7 +16,7 @@ from ..operators.split import every_nth_case
 from ..session import scratch_path, stage
 from . import oracle_parts as O
 from .queries_model import SMALL_TREES, fitted_orders
-from .queries_profile import CORR, encoded_orders, rounded_columns
+from .queries_profile import CORR, encoded_orders, rounded_columns, staged_orders
 from .registry import query, rounded
 
 r6 = O.r6
@@ -27,7 +27,7 @@ OTHER_BIAS = -1.0
 
 
 def used_rows(spark, d) -> DataFrame:
-    rows = encoded_orders(spark, d).rows
+    rows = staged_orders(spark, d).rows
     return rows.select("set", "prefix_id", "original_case_id", "prefix_nr", "encoded_label", *[F.col(quoted(c)) for c in USED])
 
 
@@ -186,7 +186,7 @@ def explained_cases(rows: DataFrame) -> DataFrame:
 @query()
 def lime_explain(spark, d):
     """Local surrogates of the numbered training cases."""
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     found = Y.lime_explain(rows, explained_cases(rows), "prefix_id", USED, SCORER, samples=200)
     return found.withColumn("explanation", F.to_json("explanation"))
 
@@ -194,7 +194,7 @@ def lime_explain(spark, d):
 @query()
 def lime_repeats(spark, d):
     """Stability of repeated local surrogates of the numbered training cases."""
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     table = Y.lime_repeats(rows, explained_cases(rows), "prefix_id", USED, SCORER, calls=3, samples=100)
     return Y.lime_stability(table, "prefix_id")
 
@@ -227,7 +227,7 @@ def lime_split_by_class(spark, d):
 o AS (SELECT phi.*, base, row_number() OVER w AS step, base + sum(phi) OVER w AS upto FROM phi, b WHERE prefix_id IN (SELECT prefix_id FROM picked) WINDOW w AS (PARTITION BY prefix_id ORDER BY abs(phi), feature))
 SELECT prefix_id, feature, {r6('value')} AS value, {r6('phi', 9)} AS phi, {r6('base', 9)} AS base, step, {r6('upto', 9)} AS upto FROM o""")
 def shap_local(spark, d):
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     phi, base = G.shap_linear(rows, "prefix_id", O.WEIGHTS, O.BIAS)
     path = Y.shap_local(phi, base, "prefix_id", explained_cases(rows)).withColumn("value", rounded("value"))
     return rounded_columns(path, "phi", "base", "upto", digits=9)
@@ -276,7 +276,7 @@ def top_features(rows: DataFrame) -> DataFrame:
 @query(f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, {phi_sql(O.WEIGHTS)}, {phi_sql(OTHER, 'phi2')}, {TOP_TWO}, {ale_sql(O.WEIGHTS, O.BIAS, 'a')}, {ale_sql(OTHER, OTHER_BIAS, 'b')}
 SELECT feature, target, bin, {r6('a.edge')} AS edge, {r6('a.ale')} AS ale_boosted, {r6('b.ale')} AS ale_logit FROM a JOIN b USING (feature, target, bin) WHERE feature IN (SELECT feature FROM chosen)""")
 def compare_ale(spark, d):
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     first, second = G.ale(rows, USED, SCORER), G.ale(rows, USED, M.closed_form(OTHER, OTHER_BIAS))
     return rounded_columns(X.compare_ale(first, second, top_features(rows)), "edge", "ale_boosted", "ale_logit")
 
@@ -295,7 +295,7 @@ def _perm_pair(out: str, weights: dict[str, float], bias: float) -> str:
 @query(f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, {phi_sql(O.WEIGHTS)}, {phi_sql(OTHER, 'phi2')}, {TOP_TWO}, {_perm_pair('u', O.WEIGHTS, O.BIAS)}, {_perm_pair('v', OTHER, OTHER_BIAS)}
 SELECT feature, r + 1 AS repeat, {r6('u.drop_')} AS importance_boosted, {r6('v.drop_')} AS importance_logit FROM u_perm u JOIN v_perm v USING (feature, r) WHERE feature IN (SELECT feature FROM chosen)""")
 def compare_permutation(spark, d):
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     first = G.permutation_importance(rows, "prefix_id", USED, SCORER)
     second = G.permutation_importance(rows, "prefix_id", USED, M.closed_form(OTHER, OTHER_BIAS))
     got = X.compare_permutation(first, second, top_features(rows))
@@ -305,7 +305,7 @@ def compare_permutation(spark, d):
 @query(f"""WITH {CORR}, p AS (SELECT feature_a, feature_b FROM m WHERE kind = 'num' AND abs(r) >= 0.6 AND feature_a <> feature_b AND feature_b <> 'encoded_label')
 SELECT DISTINCT feature FROM (SELECT feature_a AS feature FROM p UNION ALL SELECT feature_b FROM p) ORDER BY feature LIMIT 8""")
 def correlated_features(spark, d):
-    es = encoded_orders(spark, d)
+    es = staged_orders(spark, d)
     matrix = C.encoded_correlations(es.rows, es.features, es.categorical).where(F.col("kind") == "num").drop("kind")
     return X.correlated_features(matrix, 0.6)
 
@@ -313,7 +313,7 @@ def correlated_features(spark, d):
 @query(f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, {phi_sql(O.WEIGHTS)}, {phi_sql(OTHER, 'phi2')}, {TOP_TWO}
 SELECT prefix_id, feature, {r6('phi.value')} AS value, {r6('phi.phi', 9)} AS phi_boosted, {r6('phi2.phi', 9)} AS phi_logit FROM phi JOIN phi2 USING (prefix_id, feature) WHERE feature IN (SELECT feature FROM chosen)""")
 def compare_shap(spark, d):
-    rows = stage(used_rows(spark, d).where(F.col("set") == "training"), "used")
+    rows = used_rows(spark, d).where(F.col("set") == "training")
     first, _ = G.shap_linear(rows, "prefix_id", O.WEIGHTS, O.BIAS)
     second, _ = G.shap_linear(rows, "prefix_id", OTHER, OTHER_BIAS)
     both = X.compare_shap(first, second, "prefix_id", top_features(rows)).withColumn("value", rounded("value"))

@@ -10,6 +10,7 @@ from ..operators import associate as C
 from ..operators import binning as N
 from ..operators import profile as L
 from ..operators.prepare import encode_label
+from ..session import stage
 from ..sources.tables import LINES, ORDERS, SESSIONS, lines_log, orders_log, sessions_log
 from . import oracle_parts as O
 from .encoded import encoded_with_label
@@ -22,6 +23,12 @@ def encoded_orders(spark, d):
     return encoded_with_label(orders_log(spark, d, gaps=True), ORDERS)
 
 
+def staged_orders(spark, d):
+    """The encoded set written out once, for queries that read it several times."""
+    es = encoded_orders(spark, d)
+    return es._replace(rows=stage(es.rows, "encoded"))
+
+
 def rounded_columns(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for c in columns:
         df = df.withColumn(c, rounded(c, digits))
@@ -183,7 +190,7 @@ def pearson_matrix(spark, d):
 
 @query(f"WITH {O.ENCODED_SET}, x AS (SELECT * FROM enc) {matrix_sql('x', O.NUMERIC + O.COUNTS + O.DUMMIES)}")
 def pearson_matrix_wide(spark, d):
-    es = encoded_orders(spark, d)
+    es = staged_orders(spark, d)
     return rounded_columns(C.pearson_matrix(es.rows, O.NUMERIC + O.COUNTS + O.DUMMIES), "r")
 
 
@@ -200,7 +207,7 @@ m AS (SELECT * FROM corr_num UNION ALL SELECT * FROM corr_cat)"""
 
 
 def orders_correlations(spark, d) -> DataFrame:
-    es = encoded_orders(spark, d)
+    es = staged_orders(spark, d)
     return C.encoded_correlations(es.rows, es.features, es.categorical)
 
 
@@ -330,14 +337,14 @@ j AS (SELECT feature, o, sum(o) OVER (PARTITION BY feature, x) AS nx, sum(o) OVE
 s AS (SELECT feature, {r6('greatest(0, sum(o / n * ln((o / n) / (nx / n * (ny / n)))))')} AS mi FROM j GROUP BY feature)
 SELECT feature, mi FROM s ORDER BY mi DESC, feature LIMIT 21""")
 def mutual_info_rank(spark, d):
-    es = encoded_orders(spark, d)
+    es = staged_orders(spark, d)
     return C.mutual_info_rank(rounded_columns(C.mutual_info_discrete(es.rows, DISCRETE, "encoded_label"), "mi"))
 
 
 @query()
 def mutual_info_encoded(spark, d):
     """Mutual information of all encoded features, continuous ones by neighbours."""
-    es = encoded_orders(spark, d)
+    es = staged_orders(spark, d)
     rows = es.rows.select("prefix_id", "encoded_label", *[F.col(quoted(f)) for f in es.features])
     numbers = C.mutual_info_continuous(rows, "prefix_id", es.numeric, "encoded_label")
     return C.mutual_info_rank(numbers.unionByName(C.mutual_info_discrete(rows, es.categorical, "encoded_label")))
@@ -362,13 +369,13 @@ BINNED = ["static__acctbal", "agg__max_totalprice", "agg__min_totalprice", "agg_
 
 @query(discretize_sql(BINNED, False))
 def discretize_uniform(spark, d):
-    rows = encoded_orders(spark, d).rows.select("prefix_id", "encoded_label", *[F.col(quoted(c)) for c in BINNED])
+    rows = staged_orders(spark, d).rows.select("prefix_id", "encoded_label", *[F.col(quoted(c)) for c in BINNED])
     return N.discretize_uniform(rows, BINNED)
 
 
 @query(discretize_sql(BINNED, True))
 def discretize_uniform_compat(spark, d):
-    rows = encoded_orders(spark, d).rows.select("prefix_id", "encoded_label", *[F.col(quoted(c)) for c in BINNED])
+    rows = staged_orders(spark, d).rows.select("prefix_id", "encoded_label", *[F.col(quoted(c)) for c in BINNED])
     return N.discretize_uniform(rows, BINNED, compat=True)
 
 
