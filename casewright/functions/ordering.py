@@ -103,15 +103,20 @@ def scan_within(
     return joined.select(*df.columns, *added)
 
 
+def value_blocks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Counts ``_c`` of each non-null value ``_v`` per group, sorted into blocks and written out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    return sorted_blocks(counts, [*by, "_v"])
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per entry of ``probs``.
+    """Exact linearly interpolated quantiles per group, one column per entry of ``probs``."""
+    return block_quantiles(value_blocks(df, by, value), by, probs)
 
-    Values are counted first, so copies cost one row, and sorted into blocks. Sizes of the
-    blocks tell which of them hold the wanted ranks; only those are scanned.
-    """
+
+def block_quantiles(blocks: DataFrame, by: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """Quantiles from ``value_blocks``: block sizes tell where the wanted ranks are, and only those are scanned."""
     by, names = list(by), list(probs)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    blocks = sorted_blocks(counts, [*by, "_v"])
     # One row per group and block.
     parts = blocks.groupBy(_BLOCK, *by).agg(F.sum("_c").alias("_sum"))
     keys = [F.col(c) for c in by] or [F.lit(0)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import quoted, to_long
-from ..functions.ordering import exact_quantiles, with_total
+from ..functions.ordering import block_quantiles, value_blocks, with_total
 from .model import SCORE, Scorer
 
 IMPORTANCE_TYPES = ("weight", "gain", "cover", "total_gain", "total_cover")
@@ -109,14 +109,13 @@ def permutation_importance(
 
 def ale_edges(df: DataFrame, features: Sequence[str], bins: int = 20, few: int = 10) -> DataFrame:
     """(feature, edges): distinct quantiles, or all values of a feature with fewer than ``few``."""
-    long = to_long(df, [], features)
+    blocks = value_blocks(to_long(df, [], features), ["feature"], "value")
     probs = {f"q{i}": i / bins for i in range(bins + 1)}
-    quantiles = exact_quantiles(long, ["feature"], "value", probs)
-    values = long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    width = values.groupBy("feature").agg(F.count("*").alias("_width"))
+    quantiles = block_quantiles(blocks, ["feature"], probs)
+    width = blocks.groupBy("feature").agg(F.count("*").alias("_width")).where(F.col("_width") < few)
     # Only features with fewer than ``few`` values are listed.
-    listed = values.join(F.broadcast(width.where(F.col("_width") < few)), "feature").groupBy("feature").agg(
-        F.sort_array(F.collect_list("value")).alias("_values")
+    listed = blocks.join(F.broadcast(width), "feature", "left_semi").groupBy("feature").agg(
+        F.sort_array(F.collect_list("_v")).alias("_values")
     )
     edges = quantiles.select("feature", F.array_sort(F.array_distinct(F.array(*probs))).alias("_quantiles"))
     return edges.join(F.broadcast(listed), "feature", "left").select(
@@ -189,6 +188,12 @@ def shap_linear(df: DataFrame, row: str, weights: Mapping[str, float], bias: flo
     return phi, means.select(base.alias("base"))
 
 
+def feature_orders(n: int, orders: int, seed: int = 42) -> list[list[int]]:
+    """Seeded random orders of n features."""
+    rng = random.Random(seed)
+    return [rng.sample(range(n), n) for _ in range(orders)]
+
+
 def shap_sampled(
     df: DataFrame, row: str, features: Sequence[str], scorer: Scorer, orders: int = 10, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -200,10 +205,8 @@ def shap_sampled(
     attributions add up to the score minus the base.
     """
     features = list(features)
-    rng = random.Random(seed)
     steps = []
-    for _ in range(orders):
-        order = rng.sample(range(len(features)), len(features))
+    for order in feature_orders(len(features), orders, seed):
         for k in range(len(features) + 1):
             on = [i in order[:k] for i in range(len(features))]
             steps.append(F.struct(

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import first_non_null, quoted, to_long
 from ..functions.keyed import spread_join
-from ..functions.ordering import exact_quantiles, scan_within
+from ..functions.ordering import block_quantiles, scan_within, value_blocks
 from ..schema import LogSchema
-from .prefix import case_heads, length_histogram, max_prefix_rule
+from .prefix import case_heads, max_prefix_rule
 
 
 def trace_variants(log: DataFrame, schema: LogSchema, max_length: int) -> DataFrame:
@@ -51,27 +51,32 @@ def categorical_levels(log: DataFrame, schema: LogSchema) -> DataFrame:
 def log_statistics(log: DataFrame, schema: LogSchema, max_length: int | None = None) -> DataFrame:
     """One summary row of thirteen columns; the average trace length is the median."""
     longest = max_prefix_rule(log, schema) if max_length is None else max_length
-    lengths = length_histogram(log, schema).agg(
-        F.sum("n_cases").alias("traces"), F.min("length").alias("shortest_trace"),
-        F.percentile("length", F.lit(0.5), F.col("n_cases")).alias("average_trace_length"),
-        F.max("length").alias("longest_trace"),
+    cases = log.groupBy(schema.case).agg(F.count("*").alias("length"), first_non_null(schema.label, schema.order).alias("_label"))
+    # Lengths have few distinct values: their number grows with the square root of the log at most.
+    lengths = cases.groupBy("length").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("_label") == schema.positive).alias("_pos")
+    ).agg(
+        F.sum("_n").alias("traces"), F.min("length").alias("shortest_trace"), F.max("length").alias("longest_trace"),
+        F.percentile("length", F.lit(0.5), F.col("_n")).alias("average_trace_length"), F.sum("_pos").alias("_pos"),
     )
-    variants = trace_variants(log, schema, longest).agg(F.count("*"))
-    positive = case_class_frequencies(log, schema).where(F.col(schema.label) == schema.positive).agg(F.sum("n_cases"))
-    activities = column_cardinality(log, [schema.activity]).agg(F.sum("n_values"))
-    levels = categorical_levels(log, schema)
+    variants = trace_variants(log, schema, longest).agg(F.count("*")).scalar()
+    counts = column_cardinality(log, sorted({schema.activity, *schema.categorical}))
 
-    def level_count(kind: str):
-        return F.coalesce(levels.where(F.col("kind") == kind).agg(F.sum("n_levels")).scalar(), F.lit(0))
+    def total(columns: Sequence[str]):
+        hit = F.col("feature").isin(list(columns))
+        return F.coalesce(F.sum(F.when(hit, F.col("n_values"))), F.lit(0))
 
-    return lengths.select(
+    levels = counts.agg(F.struct(
+        total([schema.activity]).alias("activity"), total(schema.static_cat).alias("static"), total(schema.dynamic_cat).alias("dynamic")
+    )).scalar()
+    return lengths.withColumn("_levels", levels).select(
         F.lit(schema.name).alias("dataset"), "traces", "shortest_trace", "average_trace_length", "longest_trace",
-        F.lit(longest).alias("max_prefix_length"), variants.scalar().alias("trace_variants"),
-        F.round(F.coalesce(positive.scalar(), F.lit(0)) / F.col("traces"), 5).alias("positive_share"),
-        activities.scalar().alias("event_classes"),
+        F.lit(longest).alias("max_prefix_length"), variants.alias("trace_variants"),
+        F.round(F.col("_pos") / F.col("traces"), 5).alias("positive_share"),
+        F.col("_levels.activity").alias("event_classes"),
         F.lit(len(schema.static_cat) + len(schema.static_num)).alias("static_columns"),
         F.lit(len(schema.dynamic_cat) + len(schema.dynamic_num)).alias("dynamic_columns"),
-        level_count("static").alias("static_cat_levels"), level_count("dynamic").alias("dynamic_cat_levels"),
+        F.col("_levels.static").alias("static_cat_levels"), F.col("_levels.dynamic").alias("dynamic_cat_levels"),
     )
 
 
@@ -84,11 +89,9 @@ def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
         F.max(value).alias("max"), F.count_if(value == 0).alias("n_zero"),
     )
-    distinct = (
-        long.where(value.isNotNull()).groupBy("feature", "value").agg(F.count("*").alias("n"))
-        .groupBy("feature").agg(F.count("*").alias("n_distinct"))
-    )
-    quartiles = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    blocks = value_blocks(long, ["feature"], "value")
+    distinct = blocks.groupBy("feature").agg(F.count("*").alias("n_distinct"))
+    quartiles = block_quantiles(blocks, ["feature"], {"q25": 0.25, "median": 0.5, "q75": 0.75})
     # One row per column on each side.
     return (
         base.join(F.broadcast(distinct), "feature", "left").join(F.broadcast(quartiles), "feature", "left")

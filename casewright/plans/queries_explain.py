@@ -154,12 +154,28 @@ def shap_linear(spark, d):
     return rounded_columns(rounded_columns(phi.withColumn("base", base.scalar()), "value"), "phi", "base", digits=9)
 
 
-@query()
+def sampled_sql(orders: int = 4) -> str:
+    """Change in score when a feature switches from its mean to the row's value, averaged over the orders."""
+    def score(on: list[int]) -> str:
+        return O.score_sql(O.WEIGHTS, O.BIAS, "src", {f: f"avgs.m{i}" for i, f in enumerate(USED) if i not in on})
+
+    gains: dict[int, list[str]] = {i: [] for i in range(len(USED))}
+    for order in G.feature_orders(len(USED), orders):
+        for k, i in enumerate(order):
+            gains[i].append(f"({score(order[:k + 1])} - {score(order[:k])})")
+    means = ", ".join(f"avg({O.q(f)}) AS m{i}" for i, f in enumerate(USED))
+    rows = " UNION ALL ".join(
+        f"SELECT prefix_id, '{f}' AS feature, {r6(O.q(f))} AS value, {r6('(' + ' + '.join(gains[i]) + f') / {orders}', 9)} AS phi, {r6(score([]), 9)} AS base FROM src, avgs"
+        for i, f in enumerate(USED)
+    )
+    return f"WITH {O.ENCODED_SET}, {TRAIN_SRC}, avgs AS (SELECT {means} FROM src) {rows}"
+
+
+@query(sampled_sql())
 def shap_sampled(spark, d):
-    """Sampled attributions of the closed-form score on all training prefixes."""
     rows = used_rows(spark, d).where(F.col("set") == "training")
     phi, base = G.shap_sampled(rows, "prefix_id", USED, SCORER, orders=4)
-    return phi.withColumn("base", base.scalar())
+    return rounded_columns(phi.withColumn("base", base.scalar()).withColumn("value", rounded("value")), "phi", "base", digits=9)
 
 
 @query(f"{PHI} SELECT feature, {r6('sum(abs(phi))', 4)} AS total FROM phi GROUP BY feature ORDER BY total DESC LIMIT 10")

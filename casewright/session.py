@@ -18,6 +18,8 @@ def build_session(app: str = "casewright", master: str | None = None, **settings
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Call sites of column expressions cost milliseconds each when plans are built.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     defaults.update({key.replace("__", "."): value for key, value in settings.items()})
     for key, value in defaults.items():
