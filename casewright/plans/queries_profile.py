@@ -341,13 +341,33 @@ def mutual_info_rank(spark, d):
     return C.mutual_info_rank(rounded_columns(C.mutual_info_discrete(es.rows, DISCRETE, "encoded_label"), "mi"))
 
 
-@query()
+def near_sql(source: str, features: list[str]) -> str:
+    """Brute-force neighbour counts of several columns: inequality joins with all rows of the column."""
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, prefix_id AS id, y, round(CAST({O.q(f)} AS DOUBLE), 4) AS value FROM {source}" for f in features)
+    gaps = ", ".join([f"value - lag(value, {i}) OVER o" for i in (1, 2, 3)] + [f"lead(value, {i}) OVER o - value" for i in (1, 2, 3)])
+    return f"""nv AS ({rows}),
+nw AS (SELECT feature, id, y, value, count(*) OVER (PARTITION BY feature, y) AS size, list_sort(list_filter([{gaps}], lambda x: x IS NOT NULL)) AS near
+  FROM nv WINDOW o AS (PARTITION BY feature, y ORDER BY value, id)),
+np AS (SELECT feature, id, y, value, size, least(3, size - 1) AS k, near[least(3, size - 1)] AS radius FROM nw WHERE size > 1),
+far AS (SELECT feature, id, value, value - radius AS low, value + radius AS high FROM np WHERE radius > 0),
+ni AS (SELECT a.feature, a.id, count(*) AS inside FROM far a JOIN np b ON a.feature = b.feature AND b.value > a.low AND b.value < a.high GROUP BY ALL
+  UNION ALL SELECT a.feature, a.id, count(*) FROM np a JOIN np b ON a.feature = b.feature AND a.value = b.value WHERE a.radius = 0 GROUP BY ALL),
+nmi AS (SELECT feature, {r6(f"greatest(0, {digamma_sql('count(*)')} + avg({digamma_sql('k')}) - avg({digamma_sql('size')}) - avg({digamma_sql('inside')}))")} AS mi FROM np JOIN ni USING (feature, id) GROUP BY feature)"""
+
+
+@query(f"""WITH {O.ENCODED_SET}, {near_sql('enc', O.NUMERIC)}, v AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({O.q(c)} AS VARCHAR) AS x, y FROM enc" for c in DISCRETE)}),
+c AS (SELECT feature, x, y, count(*) AS o FROM v GROUP BY ALL),
+j AS (SELECT feature, o, sum(o) OVER (PARTITION BY feature, x) AS nx, sum(o) OVER (PARTITION BY feature, y) AS ny, sum(o) OVER (PARTITION BY feature) AS n FROM c),
+s AS (SELECT feature, {r6('greatest(0, sum(o / n * ln((o / n) / (nx / n * (ny / n)))))')} AS mi FROM j GROUP BY feature UNION ALL SELECT feature, mi FROM nmi)
+SELECT feature, mi FROM s ORDER BY mi DESC, feature LIMIT 21""")
 def mutual_info_encoded(spark, d):
     """Mutual information of all encoded features, continuous ones by neighbours."""
     es = staged_orders(spark, d)
-    rows = es.rows.select("prefix_id", "encoded_label", *[F.col(quoted(f)) for f in es.features])
-    numbers = C.mutual_info_continuous(rows, "prefix_id", es.numeric, "encoded_label")
-    return C.mutual_info_rank(numbers.unionByName(C.mutual_info_discrete(rows, es.categorical, "encoded_label")))
+    numbers = es.rows.select("prefix_id", "encoded_label", *[F.round(F.col(quoted(f)), 4).alias(f) for f in es.numeric])
+    scores = C.mutual_info_continuous(numbers, "prefix_id", es.numeric, "encoded_label").unionByName(
+        C.mutual_info_discrete(es.rows, es.categorical, "encoded_label")
+    )
+    return C.mutual_info_rank(rounded_columns(scores, "mi"))
 
 
 # --- binning -----------------------------------------------------------------------------
