@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import VOCABULARY_LIMIT, first_non_null, quoted, to_long, vocabulary
+from ..functions.keyed import hot_keys
+from ..functions.ordering import scan_within
 from ..schema import LogSchema
 from .prefix import case_heads
 
@@ -73,11 +75,15 @@ def fit(
     cat, num = schema.dynamic_cat, schema.dynamic_num
     if kind != "index":
         return EncoderModel(kind, cat, num, _freeze(vocabulary(prefixes, cat, bucket, limit)))
-    seen = _with_position(prefixes, schema, case)
-    group = [F.col(bucket)] if bucket else [F.lit(0)]
-    longest = seen.groupBy(*[g.alias("_g") for g in group]).agg(F.max("pos").alias("_m")).collect()
+    group = F.col(bucket) if bucket else F.lit(0)
+    sizes = prefixes.groupBy(case, group.alias("_g")).agg(F.count("*").alias("_m"))
+    # One row per bucket.
+    longest = sizes.groupBy("_g").agg(F.max("_m").alias("_m")).collect()
     bucket_max = tuple(sorted((r["_g"], r["_m"]) for r in longest if r["_g"] is not None))
     length = max_events or max((m for _, m in bucket_max), default=0)
+    if length * len(num) > limit:
+        raise ValueError(f"{length} positions make more than {limit} columns; use the long form or max_events")
+    seen = _with_position(prefixes, schema, case)
     return _fit_positions(seen, cat, num, bucket, length, bucket_max, limit)
 
 
@@ -103,8 +109,11 @@ def _fit_positions(seen, cat, num, bucket, length, bucket_max, limit) -> Encoder
 
 
 def _with_position(prefixes: DataFrame, schema: LogSchema, case: str) -> DataFrame:
+    """1-based ``pos`` of each event; cases too long for one task are ranked in blocks."""
     if "pos" in prefixes.columns:
         return prefixes
+    if hot_keys(prefixes, case):
+        return scan_within(prefixes, [case], list(schema.order), rank="pos")
     inside = Window.partitionBy(case).orderBy(*schema.order)
     return prefixes.withColumn("pos", F.row_number().over(inside))
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import quoted, to_long
@@ -32,7 +32,7 @@ def tree_importances(model: PipelineModel, features: Sequence[str], path: str) -
     """
     trees = next(s for s in model.stages if isinstance(s, GBTClassificationModel))
     trees.write().overwrite().save(path)
-    spark = _session()
+    spark = SparkSession.active()
     nodes = spark.read.parquet(f"{path}/data").select("nodeData.*")
     splits = nodes.where(F.col("leftChild") >= 0).groupBy(F.col("split.featureIndex").alias("_index")).agg(
         F.count("*").cast("double").alias("weight"), F.avg("gain").alias("gain"), F.avg("rawCount").cast("double").alias("cover"),
@@ -43,17 +43,11 @@ def tree_importances(model: PipelineModel, features: Sequence[str], path: str) -
     return named.unpivot(["feature"], list(IMPORTANCE_TYPES), "type", "score").select("type", "feature", "score")
 
 
-def _session():
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active()
-
-
 def logit_coefficients(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """(variable, coef) of a logistic model, in descending order of coef."""
     logit = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
     rows = [(f, float(c)) for f, c in zip(features, logit.coefficients)]
-    return _session().createDataFrame(rows, "variable string, coef double").orderBy(F.col("coef").desc(), "variable")
+    return SparkSession.active().createDataFrame(rows, "variable string, coef double").orderBy(F.col("coef").desc(), "variable")
 
 
 def importance_trials(importances: DataFrame, dataset: str, seconds: Mapping[str, float] | None = None) -> DataFrame:

@@ -53,23 +53,23 @@ def rule_text(feature: str, edges: Sequence[float], bin: int) -> str:
 
 
 def lime_samples(
-    cases: DataFrame, row: str, features: Sequence[str], bins: dict, scorer: Scorer, samples: int, seed: int, repeat: int = 0
+    cases: DataFrame, row: str, features: Sequence[str], bins: dict, scorer: Scorer, samples: int, seed: int, repeats: int = 1
 ) -> DataFrame:
-    """(row, same, p): scored samples around each case; ``same`` flags features in the case's own bin.
+    """(row, repeat, same, p): scored samples around each case; ``same`` flags features in the case's own bin.
 
-    Sample 0 is the case itself. Draws depend on (row, sample, feature, seed) alone.
+    Sample 0 is the case itself. Draws depend on (row, repeat, sample, feature, seed) alone.
     """
     features = [f for f in features if f in bins]
     drawn = cases.select(row, *[F.col(quoted(f)).cast("double").alias(f) for f in features]).withColumn(
-        "_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
-    )
+        "repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
+    ).withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     same, picks = [], []
     for i, f in enumerate(features):
         own = bins[f]
         total = float(sum(own["n"]))
 
         def draw(tag: str):
-            h = F.xxhash64(F.col(row), F.col("_sample"), F.lit(i), F.lit(seed), F.lit(repeat), F.lit(tag))
+            h = F.xxhash64(F.col(row), F.col("_sample"), F.lit(i), F.lit(seed), F.col("repeat"), F.lit(tag))
             return F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
 
         u, v = draw("bin"), draw("spot")
@@ -86,14 +86,14 @@ def lime_samples(
         origin = F.col("_sample") == 0
         same.append(F.when(origin | (chosen == mine), 1.0).otherwise(0.0))
         picks.append(F.when(origin, x).otherwise(value).alias(f))
-    varied = drawn.select(row, "_sample", F.array(*same).alias("same"), *picks)
-    return scorer(varied).select(row, "_sample", "same", F.col(SCORE).alias("p"))
+    varied = drawn.select(row, "repeat", F.array(*same).alias("same"), *picks)
+    return scorer(varied).select(row, "repeat", "same", F.col(SCORE).alias("p"))
 
 
 def lime_fit(samples: DataFrame, row: str, names: Sequence[str], top: int = 6, kernel_width: float | None = None) -> DataFrame:
-    """(row, feature_nr, feature, weight, se, intercept): weighted ridge fit of each case's samples.
+    """(row, repeat, feature, weight, se, intercept): weighted ridge fit of each case's samples.
 
-    A group is the fixed number of samples of one case.
+    A group is the fixed number of samples of one case and repeat.
     """
     names = list(names)
     width = kernel_width or 0.75 * np.sqrt(len(names))
@@ -120,12 +120,12 @@ def lime_fit(samples: DataFrame, row: str, names: Sequence[str], top: int = 6, k
         chosen = sorted(sorted(range(len(names)), key=lambda j: (-abs(first[j]), names[j]))[:top])
         beta, se, intercept = ridge(chosen)
         return pd.DataFrame({
-            row: [pdf[row].iloc[0]] * len(chosen), "feature_nr": np.array(chosen, dtype="int32"), "feature": [names[j] for j in chosen],
+            row: [pdf[row].iloc[0]] * len(chosen), "repeat": pdf["repeat"].iloc[0], "feature": [names[j] for j in chosen],
             "weight": beta, "se": se, "intercept": np.repeat(intercept, len(chosen)),
         })
 
-    layout = f"`{row}` {row_type}, feature_nr int, feature string, weight double, se double, intercept double"
-    return samples.groupBy(row).applyInPandas(fit, layout)
+    layout = f"`{row}` {row_type}, repeat int, feature string, weight double, se double, intercept double"
+    return samples.groupBy(row, "repeat").applyInPandas(fit, layout)
 
 
 def lime_explain(
@@ -165,17 +165,11 @@ def lime_repeats(
     train: DataFrame, cases: DataFrame, row: str, features: Sequence[str], scorer: Scorer, calls: int = 10,
     samples: int = 1000, top: int = 6, seed: int = 42,
 ) -> DataFrame:
-    """(row, repeat, feature, weight, se) of repeated explanations of the same cases."""
+    """(row, repeat, feature, weight, se) of repeated explanations of the same cases, all in one job."""
     bins = quartile_bins(train, features)
     names = [f for f in features if f in bins]
-    parts = []
-    for k in range(calls):
-        fitted = lime_fit(lime_samples(cases, row, names, bins, scorer, samples, seed, k + 1), row, names, top)
-        parts.append(fitted.select(row, F.lit(k + 1).alias("repeat"), "feature", "weight", "se"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    drawn = lime_samples(cases, row, names, bins, scorer, samples, seed, calls)
+    return lime_fit(drawn, row, names, top).select(row, "repeat", "feature", "weight", "se")
 
 
 def lime_stability(repeats: DataFrame, row: str, z: float = 1.96) -> DataFrame:

@@ -18,6 +18,8 @@ def build_session(app: str = "casewright", master: str | None = None, **settings
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Levels such as Yes and yes become different columns.
+        "spark.sql.caseSensitive": "true",
         # Call sites of column expressions cost milliseconds each when plans are built.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
@@ -40,12 +42,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the checkpoint folder."""
     ensure_checkpoint_dir(spark)
@@ -55,7 +51,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and read it back.
 
-    Unlike ``cut`` later readers take only the columns they need and see the true size.
+    This cuts lineage as a checkpoint does, but later readers take only the columns they need
+    and the optimizer sees the true size.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
