@@ -392,7 +392,7 @@ def bucket_prefix_length(spark, d):
 # --- encoders ----------------------------------------------------------------------------
 
 def _rounded_features(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[rounded(F.col(quoted(c))).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[rounded(F.col(quoted(c)), O.digits_of(c)).alias(c) for c in df.columns if c not in keys])
 
 
 @query(f"WITH {PREFIXES_O} SELECT prefix_id, {O.feature_list(O.static_columns(''))} FROM pre GROUP BY prefix_id")

@@ -12,7 +12,9 @@ from casewright.operators import associate, prefix
 from casewright.operators.encode import encode_running, fit
 from casewright.operators.prepare import filter_cases
 from casewright.sources.tables import ORDERS, orders_log
+from casewright.operators.profile import derive_time_features
 from casewright.plans import registry
+from casewright.plans.encoded import encoded_with_label
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,6 +111,35 @@ def test_neighbour_counts_with_small_runs(spark):
         assert got.loc[a.id, "inside"] == inside
 
 
+def test_a_case_with_a_third_of_all_events(spark):
+    """Split, encoding and time features of a log with one very long case, against pandas."""
+    rng = np.random.default_rng(8)
+    n = 9000
+    case = np.where(rng.random(n) < 0.33, "long", np.char.add("c", rng.integers(0, 400, n).astype(str)))
+    pdf = pd.DataFrame({
+        "case_id": case, "event_id": np.arange(n), "activity": rng.choice(["p", "q"], n), "resource": rng.choice(["r", "s"], n),
+        "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(rng.integers(0, 5_000_000, n), unit="s"), "totalprice": rng.normal(size=n),
+        "segment": "x", "nation": "y", "acctbal": 1.0,
+    })
+    pdf["label"] = np.where(pdf.case_id.str.len() % 2 == 0, "deviant", "regular")
+    log = spark.createDataFrame(pdf)
+    got = encoded_with_label(log, ORDERS, max_length=6).rows.groupBy("set").agg(F.count("*").alias("n"), F.sum("agg__sum_totalprice").alias("s")).collect()
+    starts = pdf.groupby("case_id")["ts"].min().reset_index().sort_values(["ts", "case_id"])
+    first = set(starts["case_id"][: int(0.8 * len(starts))])
+    test = pdf[~pdf.case_id.isin(first)]
+    train = pdf[pdf.case_id.isin(first) & (pdf.ts < test.ts.min())]
+    for r in got:
+        part = (train if r["set"] == "training" else test).sort_values(["ts", "activity", "event_id"])
+        heads = part.groupby("case_id").head(6)
+        assert r["n"] == len(heads)
+        assert r["s"] == pytest.approx(heads.groupby("case_id")["totalprice"].cumsum().sum())
+    timed = derive_time_features(log, ORDERS).toPandas().set_index("event_id")
+    ordered = pdf.sort_values(["case_id", "ts", "activity", "event_id"])
+    assert (timed.loc[ordered.event_id, "event_nr"].to_numpy() == ordered.groupby("case_id").cumcount() + 1).all()
+    gaps = ordered.groupby("case_id")["ts"].diff().dt.total_seconds().fillna(0)
+    assert np.allclose(timed.loc[ordered.event_id, "timesincelastevent"], gaps)
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
