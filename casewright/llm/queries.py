@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .curriculum import mixing_table
 from .jaccard_join import ngram_jaccard_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,3 +28,35 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the size of their shingle set and the component of links at 75 percent."""
     return ngram_jaccard_join(table(spark, folder, "documents"))
+
+
+OP4 = """
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM totals),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][1 + i % 3]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM ranked),
+filled AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS below, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest
+  FROM weighed WINDOW w AS (ORDER BY cap / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, (1.5 * (SELECT sum(size) FROM sized) - below) / rest AS level FROM filled),
+lift AS (SELECT arg_min(level, cap / weight) FILTER (level <= cap / weight) AS level FROM levels),
+facts AS (SELECT weighed.*, least(cap, weight * level) AS target FROM weighed, lift),
+placed AS (SELECT doc_id, size, source_size, target, i, floor(target + 0.5)::BIGINT AS goal,
+  sum(size) OVER (PARTITION BY i ORDER BY md5('mix' || doc_id::VARCHAR)) - size AS start
+  FROM sized JOIN facts ON sized.source IS NOT DISTINCT FROM facts.source),
+spans AS (SELECT *, greatest(0, least(size, goal - start)) AS t1, greatest(0, least(size, goal - start - source_size)) AS t2 FROM placed),
+shares AS (SELECT *, (start + t1 / 2) / greatest(goal, 1) AS u1, (start + source_size + t2 / 2) / greatest(goal, 1) AS u2,
+  [-1.0, 0.0, 1.0][1 + i % 3]::DOUBLE AS slope, [1.5, 1.0, 0.5][1 + i % 3]::DOUBLE AS w0 FROM spans)
+SELECT doc_id, size, source_size, round(target, 3) AS target, (t1 + t2)::BIGINT AS taken,
+  CASE WHEN t1 > 0 THEN round(2 * u1 / (w0 + sqrt(greatest(0, w0 * w0 + 2 * slope * u1))), 6) END AS position_1,
+  CASE WHEN t2 > 0 THEN round(2 * u2 / (w0 + sqrt(greatest(0, w0 * w0 + 2 * slope * u2))), 6) END AS position_2
+FROM shares"""
+
+
+@query
+def op4_curriculum_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words taken of every document by the curriculum, with its positions in training time."""
+    rows = mixing_table(table(spark, folder, "documents"))
+    return rows.withColumns({"target": F.round("target", 3), **{p: F.round(p, 6) for p in ("position_1", "position_2")}})
+
+
+ORACLES["op4_curriculum_mixing"] = OP4.strip()
