@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .curriculum import mixing_table
+from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +61,10 @@ def op4_curriculum_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op4_curriculum_mixing"] = OP4.strip()
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that importance resampling keeps, with their log weights."""
+    sample = importance_sample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return sample.where("kept").select("doc_id", "log_weight", "noisy")
