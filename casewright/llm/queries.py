@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path, stage
 from .curriculum import mixing_table
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
+from .token_files import read_documents, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,6 +23,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -68,3 +76,17 @@ def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that importance resampling keeps, with their log weights."""
     sample = importance_sample(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return sample.where("kept").select("doc_id", "log_weight", "noisy")
+
+
+def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Write token files of ``docs`` to the shared folder and digest what is read back."""
+    path = scratch_path(spark, "token-files")
+    write_token_files(docs, path, tokenizer)
+    back = read_documents(spark, path).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return stage(back, "token-digest")
+
+
+@query
+def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read from the token files."""
+    return token_digest(spark, table(spark, folder, "documents"), tokenizer_path())

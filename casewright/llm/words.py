@@ -39,7 +39,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_VALUE = mix((_LOWER + 1).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+_VALUE = _EXACT[_LOWER]
 _PLACES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -77,8 +78,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(texts: pa.Array) -> Words:
-    """Split texts and hash their words."""
+def words_of(texts: pa.Array, lower: bool = True) -> Words:
+    """Split texts and hash their words, with A-Z as a-z if ``lower``."""
     data, offsets = bytes_of(texts)
     n = len(data)
     if n == 0:
@@ -99,7 +100,7 @@ def words_of(texts: pa.Array) -> Words:
         _POWER[size] = _powers(_FACTOR, size), _powers(_INVERSE, size)
     up, down = _POWER[size]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:n], out=total[1:])
+    np.cumsum((_VALUE if lower else _EXACT)[data] * up[:n], out=total[1:])
     hashed = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
     return Words(mix(hashed), np.searchsorted(start, offsets), start, stop, data)
 
