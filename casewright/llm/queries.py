@@ -11,6 +11,7 @@ from ..session import scratch_path, stage
 from .curriculum import mixing_table
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
+from .paragraph_dedup import paragraph_repeats
 from .token_files import read_documents, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +91,9 @@ def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFr
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read from the token files."""
     return token_digest(spark, table(spark, folder, "documents"), tokenizer_path())
+
+
+@query
+def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that occur more than once, with what is removed."""
+    return paragraph_repeats(table(spark, folder, "documents"))

@@ -44,11 +44,14 @@ def each_set(batch: pa.RecordBatch, column: str = "text", width: int = SHINGLE)
             yield part, i, len(own), distinct(shingles_of(own, width))
 
 
-def describe(texts: DataFrame, keys: Sequence[str], width: int = SHINGLE, least: int = 1) -> DataFrame:
+def describe(
+    texts: DataFrame, keys: Sequence[str], width: int = SHINGLE, least: int = 1, hot: int = HOT,
+) -> DataFrame:
     """``keys`` (longs) of each text with n_words, n_shingles, node and bits.
 
-    ``node`` is the id of the shingle set, so equal sets are one node; 0 is the empty set. Rows with
-    a ``cell`` have no text: they count how many texts of a task have shingles in frequent cells.
+    ``node`` is the id of the shingle set, so equal sets are one node; 0 is the empty set, which
+    texts of fewer than ``least`` words also get. Rows with a ``cell`` have no text: they count the
+    shingles of a task's texts in a cell, for cells with at least ``hot``.
     """
     fields = [(k, pa.int64()) for k in keys]
     schema = pa.schema([
@@ -80,7 +83,7 @@ def describe(texts: DataFrame, keys: Sequence[str], width: int = SHINGLE, least:
                 pa.array(signed(np.array(nodes, np.uint64))), pa.array(bits, pa.binary()), pa.nulls(n, pa.int64()),
                 pa.nulls(n, pa.int64()),
             ], schema=schema)
-        at = np.flatnonzero(cells >= HOT)
+        at = np.flatnonzero(cells >= hot)
         if len(at):
             none = [pa.nulls(len(at), f.type) for f in schema][:-2]
             yield pa.record_batch([*none, pa.array(at), pa.array(cells[at].astype(np.int64))], schema=schema)
@@ -95,8 +98,10 @@ def _cell(members: np.ndarray) -> np.ndarray:
 
 def frequent_cells(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent cells in order with their counts; at most ``CELLS`` of them."""
-    rows = described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("freq").alias("freq")).toPandas().sort_values("cell")
-    return rows["cell"].to_numpy(np.int64), rows["freq"].to_numpy(np.int64)
+    rows = described.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("freq").alias("freq")).toArrow()
+    cell, freq = rows.column("cell").to_numpy(), rows.column("freq").to_numpy()
+    order = np.argsort(cell)
+    return cell[order].astype(np.int64), freq[order].astype(np.int64)
 
 
 def frequency(members: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
