@@ -11,6 +11,7 @@ from ..session import scratch_path, stage
 from .curriculum import mixing_table
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
+from .line_dedup import line_repeats
 from .paragraph_dedup import paragraph_repeats
 from .token_files import read_documents, write_token_files
 
@@ -97,3 +98,9 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words or more that occur more than once, with what is removed."""
     return paragraph_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that match an earlier line at 80 percent, with the earliest match."""
+    return line_repeats(table(spark, folder, "documents"))
