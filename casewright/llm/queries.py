@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
 from .curriculum import mixing_table
+from .decontaminate import leaks
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import line_repeats
@@ -104,3 +105,9 @@ def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that match an earlier line at 80 percent, with the earliest match."""
     return line_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item at 75 percent or more, with the best window."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tk")
