@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
+from .class_lm import score
 from .curriculum import mixing_table
 from .decontaminate import leaks
 from .importance import importance_sample
@@ -111,3 +112,9 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item at 75 percent or more, with the best window."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tk")
+
+
+@query
+def op3_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under word counts and under the class bigram model."""
+    return score(table(spark, folder, "documents"))
