@@ -17,8 +17,11 @@ begins a new shard at ``SHARD_BYTES``, so a shard never grows with the data.
 from __future__ import annotations
 
 import json
+import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
+from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
@@ -30,23 +33,61 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import scan_within
 from .scratch import Scratch
-from .words import mix, slices, words_of
+from .words import Words, hash_spans, mix, slices, words_of
 
-SHARD_BYTES = 32 << 20
-CHUNK_BYTES = 2 << 20
+SHARD_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
 #: Documents of an index bucket on average.
 BUCKET_KEYS = 50_000
-#: Distinct words whose ids a task keeps; the table is emptied when it is full.
-KNOWN_WORDS = 1_000_000
+#: Distinct pieces whose ids a task keeps; the table is emptied when it is full.
+KNOWN_PIECES = 500_000
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 1 << 20
 _ENTRY = np.dtype([("print", "<u4"), ("shard", "<u8"), ("offset", "<u8"), ("n", "<u8"), ("key", "<i8"), ("null", "<u1"), ("copy", "<u8")])
 _KEY = np.dtype([("key", "<i8"), ("null", "<u1"), ("n", "<u8")])
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.arange(256) < 128
+_MARK &= ~_LETTER
+_MARK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+
+
+def pieces_of(texts: pa.Array) -> Words:
+    """Words cut further where an ASCII letter meets another ASCII sign; A-Z count as a-z.
+
+    The tokenizer always cuts there, but for an apostrophe before a letter. A word with "<" may
+    hold a special token, so it stays whole and keeps its case.
+    """
+    words = words_of(texts)
+    data, start, stop = words.data, words.start, words.stop
+    if len(data) < 2:
+        return words
+    letter, mark = _LETTER[data], _MARK[data]
+    edge = letter[:-1] & mark[1:]
+    edge |= mark[:-1] & letter[1:] & (data[:-1] != 0x27)
+    cut = np.flatnonzero(edge) + 1
+    special = np.unique(np.searchsorted(start, np.flatnonzero(data == 0x3C), "right") - 1)
+    if len(special):
+        cut = cut[~np.isin(np.searchsorted(start, cut, "right") - 1, special)]
+    # A cut at the edge between two texts is no new piece.
+    first = start[np.minimum(words.first[:-1], len(start) - 1)]
+    cut = cut[~np.isin(cut, first)]
+    begin, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([stop, cut]))
+    hashed = hash_spans(data, begin, end)
+    if len(special):
+        at = np.searchsorted(begin, start[special])
+        hashed[at] = hash_spans(data, begin[at], end[at], lower=False) ^ np.uint64(1)
+    lasts = np.concatenate([start, [len(data)]])[words.first]
+    return Words(hashed, np.searchsorted(begin, lasts), begin, end, data)
+
+
 class Encoder:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the ids of their pieces.
 
-    For tokenizers that drop white space and never join across it, a text's ids are those of its
-    words in a row, so each distinct word of a task is encoded once.
+    For lower-casing tokenizers that drop white space and cut between letters and other signs, a
+    text's ids are those of its pieces in a row, so each distinct piece of a task is encoded once.
     """
 
     def __init__(self, path: str):
@@ -62,34 +103,43 @@ class Encoder:
         self.known, self.where = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, words: list[str], hashes: np.ndarray) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.array([len(x) for x in ids], np.int64)
-        begin = len(self.pool) + np.cumsum(length) - length
-        self.known = np.concatenate([self.known, hashes])
-        self.where = np.concatenate([self.where, np.arange(len(self.begin), len(self.begin) + len(ids))])
-        self.begin, self.length = np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
-        self.pool = np.concatenate([self.pool, *ids])
-        order = np.argsort(self.known, kind="stable")
-        self.known, self.where = self.known[order], self.where[order]
+    def learn(self, pieces: list[str], hashes: np.ndarray) -> None:
+        for i in range(0, len(pieces), 10_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i: i + 10_000], add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            begin = len(self.pool) + np.cumsum(length) - length
+            self.begin, self.length = np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.where = np.concatenate([self.where, np.arange(len(self.where), len(known))])[order]
+        self.known = known[order]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text."""
-        words = words_of(texts, lower=False)
-        distinct, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > KNOWN_WORDS:
+        pieces = pieces_of(texts)
+        distinct, first, back = np.unique(pieces.hash, return_index=True, return_inverse=True)
+        if len(self.known) + len(distinct) > KNOWN_PIECES:
             self.forget()
         at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
         new = self.known[at] != distinct if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
-            raw = words.data.tobytes()
-            spelt = [raw[a:b].decode() for a, b in zip(words.start[first[new]], words.stop[first[new]], strict=True)]
+            raw = pieces.data.tobytes()
+            spelt = [raw[a:b].decode() for a, b in zip(pieces.start[first[new]], pieces.stop[first[new]], strict=True)]
             self.learn(spelt, distinct[new])
         own = self.where[np.searchsorted(self.known, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
         length = self.length[own]
         total = np.concatenate([[0], np.cumsum(length)])
         ids = self.pool[np.repeat(self.begin[own] - total[:-1], length) + np.arange(total[-1])]
-        return ids, np.diff(total[words.first])
+        return ids, np.diff(total[pieces.first])
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps what earlier tasks have learnt."""
+    held = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Shards:
@@ -142,15 +192,15 @@ def write_token_files(
     schema = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("seq", pa.int64()), ("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out = Encoder(tokenizer), Shards(TaskContext.get().partitionId(), width, end_id)
+        ready, out = encoder(tokenizer), Shards(TaskContext.get().partitionId(), width, end_id)
 
         def sent(parts):
             for part in parts:
                 yield pa.record_batch([pa.array([x], f.type) for x, f in zip(part, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, counts = encoder.encode(part.column("text"))
+            for part in slices(batch, "text", ENCODE_BYTES):
+                ids, counts = ready.encode(part.column("text"))
                 column = part.column("key")
                 keys = np.zeros(part.num_rows, _KEY)
                 keys["key"] = pc.fill_null(column, 0).to_numpy()
@@ -328,14 +378,16 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "key long, copy long, shard long, offset long, n long")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(key, copy, start, n_tokens, ids_crc32, ids as little-endian 4-byte numbers) read back from the files.
+def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+    """(key, copy, start, n_tokens, ids_crc32) read back from the files, and the ids if asked for.
 
-    ``start`` counts the ids of all documents before. Select the columns you need.
+    ``start`` counts the ids of all documents before, ``copy`` tells rows with equal keys apart. The
+    checksum is over the ids as little-endian 4-byte numbers, which is also the form of ``ids``.
     """
     manifest = read_manifest(spark, path)
+    columns = "key long, copy long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     if not manifest["documents"]:
-        return spark.createDataFrame([], "key long, copy long, start long, n_tokens long, ids_crc32 long, ids binary")
+        return spark.createDataFrame([], columns)
     width = manifest["width"]
     entries = read_entries(spark, path)
     sizes = entries.groupBy("shard").agg(F.sum("n").alias("n"))
@@ -347,7 +399,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     bases = spark.createDataFrame(bases, "shard long, base long")
     # A shard holds at most SHARD_BYTES of ids, which bounds its list.
     lists = entries.groupBy("shard").agg(F.collect_list(F.struct("key", "copy", "offset", "n")).alias("entries"))
-    schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("copy", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())][: int(with_ids)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,18 +407,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ids = np.frombuffer(batch.column("content")[row].as_buffer(), f"<u{width}")
                 own, base = batch.column("entries")[row].values, batch.column("base")[row].as_py()
                 offset, n = own.field("offset").to_numpy(), own.field("n").to_numpy()
-                for i in range(0, len(n), 1000):
-                    raw = [ids[a: a + m].astype("<u4").tobytes() for a, m in zip(offset[i: i + 1000], n[i: i + 1000], strict=True)]
-                    part = slice(i, i + 1000)
+                for i in range(0, len(n), 500):
+                    raw = [ids[a: a + m].astype("<u4").tobytes() for a, m in zip(offset[i: i + 500], n[i: i + 500], strict=True)]
+                    part = slice(i, i + 500)
                     yield pa.record_batch([
-                        own.field("key").slice(i, 1000), own.field("copy").slice(i, 1000), pa.array(base + offset[part]),
-                        pa.array(n[part]), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary()),
+                        own.field("key").slice(i, 500), own.field("copy").slice(i, 500), pa.array(base + offset[part]),
+                        pa.array(n[part]), pa.array([zlib.crc32(x) for x in raw], pa.int64()), *[pa.array(raw, pa.binary())][: int(with_ids)],
                     ], schema=schema)
 
     shards = _files(spark, path, "ids").join(lists, "shard").join(F.broadcast(bases), "shard")
-    return shards.select("content", "entries", "base").mapInArrow(
-        run, "key long, copy long, start long, n_tokens long, ids_crc32 long, ids binary"
-    )
+    return shards.select("content", "entries", "base").mapInArrow(run, columns)
 
 
 class KeyedReader:

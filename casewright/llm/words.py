@@ -78,11 +78,10 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words_of(texts: pa.Array, lower: bool = True) -> Words:
-    """Split texts and hash their words, with A-Z as a-z if ``lower``."""
+def words_of(texts: pa.Array) -> Words:
+    """Split texts and hash their words, with A-Z as a-z."""
     data, offsets = bytes_of(texts)
-    n = len(data)
-    if n == 0:
+    if len(data) == 0:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), none, none, data)
     solid = ~_SPACE[data]
@@ -94,6 +93,12 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     begin[heads] = solid[heads]
     last[tails] = solid[tails]
     start, stop = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    return Words(hash_spans(data, start, stop), np.searchsorted(start, offsets), start, stop, data)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of parts of the data, with A-Z as a-z if ``lower``."""
+    n = len(data)
     size = 1 << max(21, int(n).bit_length())
     if size not in _POWER:
         _POWER.clear()
@@ -101,8 +106,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> Words:
     up, down = _POWER[size]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_VALUE if lower else _EXACT)[data] * up[:n], out=total[1:])
-    hashed = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
-    return Words(mix(hashed), np.searchsorted(start, offsets), start, stop, data)
+    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
 
 
 def shingles_of(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
