@@ -11,6 +11,8 @@ from ..session import scratch_path, stage
 from .class_lm import score
 from .curriculum import mixing_table
 from .decontaminate import leaks
+from .embedding_dedup import near_duplicates
+from .html_text import extract_pages
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import line_repeats
@@ -118,3 +120,15 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op3_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Log probability of every document under word counts and under the class bigram model."""
     return score(table(spark, folder, "documents"))
+
+
+@query
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, folder, "pages"))
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of the vectors of one label at a cosine of 0.98."""
+    return near_duplicates(table(spark, folder, "embeddings"))
