@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sized
 from .words import SHINGLE, mix, shingles_of, slices, words_of
 
 #: Bits of a fingerprint and of a block; with one wrong bit allowed a block, all within RADIUS are found.
@@ -223,4 +223,4 @@ def without_leaks(docs: DataFrame, found: DataFrame, key: str = "doc_id", text:
     dirty = found.select(F.col(key).alias("__key"), F.col("tk").alias("__tk")).distinct()
     own = docs.withColumn("__own", F.xxhash64(F.col(text).cast("string")))
     match = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
-    return own.join(dirty, match, "left_anti").select(*docs.columns)
+    return own.join(sized(dirty), match, "left_anti").select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import global_rank
-from .scratch import Scratch
+from .scratch import Scratch, sized
 from .words import bytes_of, mix, slices
 
 #: Buckets of hashed n-grams, a fixed size of both models.
@@ -130,4 +130,4 @@ def kept_documents(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text
     wanted = sample.where("kept").select(F.col(key).alias("__key"), F.col("tk").alias("__tk")).distinct()
     own = docs.withColumn("__own", F.xxhash64(F.col(text).cast("string")))
     match = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
-    return own.join(wanted, match, "left_semi").select(*docs.columns)
+    return own.join(sized(wanted), match, "left_semi").select(*docs.columns)

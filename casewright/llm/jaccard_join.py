@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .links import SIGNATURES, Gatherer, linked
-from .scratch import Scratch
+from .scratch import Scratch, sized
 from .shingles import each_set, describe, frequency, frequent_cells, nodes_of, text_key, verifier
 from .words import SHINGLE, mix, set_id
 
@@ -98,30 +98,63 @@ def ngram_jaccard_join(
     with the same key keep a row each; a null key stays null and never becomes a component's name.
     Other columns are not read. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    with Scratch(docs.sparkSession, "jaccard-join") as scratch:
+        described, labels = classes(scratch, docs, key, text, percent, width)
+        return scratch.result(named(described, labels, key))
+
+
+def classes(scratch: Scratch, docs: DataFrame, key: str, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Described documents (doc_id, tk, n_shingles, node), and (node, label) of all linked nodes."""
+    spark = scratch.spark
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = texts.withColumn("tk", text_key())
-    with Scratch(spark, "jaccard-join") as scratch:
-        described = scratch.stage(describe(texts, ["doc_id", "tk"], width), "described")
-        nodes = scratch.stage(nodes_of(described), "nodes")
-        cells = spark.sparkContext.broadcast(frequent_cells(described))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, seen = Gatherer(), set()
-            for batch in batches:
-                for _, _, _, members in each_set(batch, width=width):
-                    node = set_id(members)
-                    if node and node not in seen:
-                        seen.add(node)
-                        found.add(signatures_of(members, percent, frequency(members, *cells.value)), node)
-                        if found.full():
-                            yield from found.rows()
-                            seen.clear()
-            yield from found.rows()
-
-        signatures = texts.select("text").mapInArrow(run, SIGNATURES)
-        labels = linked(scratch, signatures, verifier(scratch, texts, nodes, percent, width))
-        return scratch.result(named(described, labels, key))
+    described = scratch.stage(describe(texts, ["doc_id", "tk"], width), "described")
+    nodes = scratch.stage(nodes_of(described), "nodes")
+    cells = spark.sparkContext.broadcast(frequent_cells(described))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = Gatherer(), set()
+        for batch in batches:
+            for _, _, _, members in each_set(batch, width=width):
+                node = set_id(members)
+                if node and node not in seen:
+                    seen.add(node)
+                    found.add(signatures_of(members, percent, frequency(members, *cells.value)), node)
+                    if found.full():
+                        yield from found.rows()
+                        seen.clear()
+        yield from found.rows()
+
+    signatures = texts.select("text").mapInArrow(run, SIGNATURES)
+    return described, linked(scratch, signatures, verifier(scratch, texts, nodes, percent, width))
+
+
+def first_of_groups(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, width: int = SHINGLE,
+) -> DataFrame:
+    """The rows of ``docs`` with one document for each group of linked ones.
+
+    The one with the least key stays (of equal keys, the least hash of the text; keys before null).
+    Rows that repeat it in key and text go, too. Documents without words stay as they are.
+    """
+    with Scratch(docs.sparkSession, "first-of-groups") as scratch:
+        described, labels = classes(scratch, docs, key, text, percent, width)
+        rows = described.where("cell IS NULL").select("doc_id", "tk", "node").join(labels, "node", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "node"))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "tk")
+        firsts = rows.where("node <> 0").groupBy("label").agg(F.min(order).alias("first"))
+        firsts = firsts.select("first.doc_id", "first.tk", F.lit(True).alias("grouped"))
+        blank = rows.where("node = 0").select("doc_id", "tk", F.lit(False).alias("grouped")).distinct()
+        stay = firsts.union(blank).toDF("__key", "__tk", "__grouped")
+        counts = rows.groupBy("doc_id", "tk").count().where("count > 1").toDF("__again", "__hash", "__n")
+        match = F.col("__key").eqNullSafe(F.col("__again")) & (F.col("__tk") == F.col("__hash"))
+        stay = scratch.stage(stay.join(counts, match, "left").select("__key", "__tk", (F.col("__grouped") & F.col("__n").isNotNull()).alias("__one")), "stay")
+        own = docs.withColumn("__own", text_key(F.col(text).cast("string")))
+        match = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
+        found = own.join(sized(stay), match)
+        # Only repeated rows have to be brought together.
+        once = found.where("__one").dropDuplicates(["__key", "__tk"])
+        return scratch.result(found.where("NOT __one").union(once).select(*docs.columns))
 
 
 def named(described: DataFrame, labels: DataFrame, key: str) -> DataFrame:

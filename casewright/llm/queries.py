@@ -132,3 +132,11 @@ def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of the vectors of one label at a cosine of 0.98."""
     return near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Token digest of the corpus after all stages of the pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)

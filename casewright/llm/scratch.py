@@ -4,8 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..session import scratch_path, stage
 
+#: Rows of a few numbers up to which a join side is broadcast; a longer one is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows allow it. For narrow tables only."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
 
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder through the file system that holds it."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, sized
 from .words import SHINGLE, distinct, set_id, shingles_of, signed, slices, words_of
 
 #: Bits of the parity bitmap of a set.
@@ -17,8 +17,6 @@ BITS = 1024
 #: Cells of the table of shingle frequencies, and the least count that a task reports for a cell.
 CELLS = 1 << 22
 HOT = 8
-#: Keys up to which a list of wanted texts is broadcast (8 bytes each); a longer one is shuffled.
-BROADCAST_KEYS = 1_000_000
 
 
 def text_key(text: str | Column = "text") -> Column:
@@ -122,9 +120,7 @@ def nodes_of(described: DataFrame) -> DataFrame:
 
 def members_of(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(node, members) of the texts whose key is in ``wanted`` (tk), one row a node."""
-    wanted = wanted.select("tk").distinct()
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+    wanted = sized(wanted.select("tk").distinct())
     schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
