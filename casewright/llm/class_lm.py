@@ -187,7 +187,7 @@ def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, own_class:
         rest[a] -= r
         rest[:, a] -= l
         rest[a, a] -= s
-        out, into = rest.sum(axis=1), rest.sum(axis=0)
+        out, into = rest.sum(axis=1) + l, rest.sum(axis=0) + r
         dr, dl = np.flatnonzero(r), np.flatnonzero(l)
         # Gain of adding the unit to class c: cells (c, d), (d, c) and (c, c), and the two margins.
         value = (_log(rest[:, dr] + r[dr]) - _log(rest[:, dr])).sum(axis=1)

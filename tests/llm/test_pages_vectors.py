@@ -48,7 +48,7 @@ def test_pages_of_a_table(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS key", "3 AS n_chars")
     out = extract_pages(pages).collect()
     assert [(r.page_id, r.url) for r in out] == [(r[0], r[1]) for r in rows]
-    assert all(r.n_chars == len(r.text) for r in out) and out[4].n_chars == 220_000 and out[2].text == "" == out[3].text
+    assert all(r.n_chars == len(r.text) for r in out) and out[4].n_chars == 220_001 and out[2].text == "" == out[3].text
     assert extract_pages(pages.limit(0)).collect() == []
 
 
