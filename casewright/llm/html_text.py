@@ -152,7 +152,9 @@ def blocks_of(html: str) -> list[Block]:
         inside = stack[-1]
         content, boilerplate = _evidence(tag, attributes, inside)
         numbers += 1
-        stack.append(Open(tag, numbers, max(content, inside.content), max(boilerplate, inside.boilerplate), inside.silent or tag in SILENT))
+        # Boilerplate inside the article is not made better by it.
+        content = 0.0 if boilerplate else max(content, inside.content)
+        stack.append(Open(tag, numbers, content, max(boilerplate, inside.boilerplate), inside.silent or tag in SILENT))
         opened[tag] = opened.get(tag, 0) + 1
     if at < len(html) and not stack[-1].silent:
         pieces.append(html[at:])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .links import SIGNATURES, Gatherer, linked
 from .scratch import Scratch, sized
-from .shingles import each_set, describe, frequency, frequent_cells, nodes_of, text_key, verifier
+from .shingles import Check, each_set, describe, frequency, frequent_cells, nodes_of, text_key
 from .words import SHINGLE, mix, set_id
 
 #: Sizes up to which a band uses one-deletion neighbourhoods.
@@ -126,7 +126,7 @@ def classes(scratch: Scratch, docs: DataFrame, key: str, text: str, percent: int
         yield from found.rows()
 
     signatures = texts.select("text").mapInArrow(run, SIGNATURES)
-    return described, linked(scratch, signatures, verifier(scratch, texts, nodes, percent, width))
+    return described, linked(scratch, signatures, Check(scratch, texts, nodes, percent, width))
 
 
 def first_of_groups(

@@ -13,23 +13,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .shingles import Check
 from .words import mix, signed
 
 #: Signatures a task gathers before it groups them and sends them on.
-GATHER = 2_000_000
-SIGNATURES = "slot long, local boolean, sig long, node long"
-_ARROW = pa.schema([("slot", pa.int64()), ("local", pa.bool_()), ("sig", pa.int64()), ("node", pa.int64())])
+GATHER = 1_000_000
+#: Nodes of a signature that a task sends on as they are; of more, only the least meets other tasks'.
+PLAIN = 8
+SIGNATURES = "sig long, node long"
+_ARROW = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
+_MET = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 class Gatherer:
     """Collects (signature, node) arrays in a task and gives them out as rows of ``SIGNATURES``.
 
-    Of nodes that share a signature here, the least goes on to be compared with other tasks; all of
-    them also go out as local rows, dealt by signature and node, so that they spread.
+    Where more than ``PLAIN`` nodes share a signature here, the least goes on to be compared with
+    other tasks, and all of them also go out as local rows, dealt by signature and node, so that
+    they spread. The lowest bit of a signature marks local rows.
     """
 
     def __init__(self) -> None:
@@ -49,75 +54,104 @@ class Gatherer:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        sig, node = np.concatenate(self.sigs), signed(np.concatenate(self.nodes))
+        sig = np.concatenate(self.sigs) & ~np.uint64(1)
+        node = signed(np.concatenate(self.nodes))
         self.__init__()
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[fresh], node[fresh]
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        shared = np.zeros(len(sig), bool)
-        shared[:-1] = ~head[1:]
-        shared |= ~head
-        yield from _batches(sig[head], False, sig[head], node[head])
-        if shared.any():
-            s, v = sig[shared], node[shared]
-            yield from _batches(mix(s ^ mix(v.view(np.uint64))), True, s, v)
-
-
-def _batches(slot: np.ndarray, local: bool, sig: np.ndarray, node: np.ndarray, size: int = 100_000) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sig, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(sig[order]) != 0]))
+        size = np.diff(np.append(start, len(sig)))
+        large = np.repeat(size > PLAIN, size)
+        if large.any():
+            s, v = sig[order[large]], node[order[large]]
+            head = np.flatnonzero(np.concatenate([[True], np.diff(s) != 0]))
+            yield from _batches(s[head], np.minimum.reduceat(v, head))
+            yield from _batches(s | np.uint64(1), v)
+        # In the order of nodes, so that a node's rows lie together and pack well.
+        plain = np.sort(order[~large])
+        yield from _batches(sig[plain], node[plain])
+
+
+def _batches(sig: np.ndarray, node: np.ndarray, size: int = 100_000) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(sig), size):
-        part = slice(i, i + size)
-        yield pa.record_batch([
-            pa.array(signed(slot[part])), pa.array(np.full(len(sig[part]), local)), pa.array(signed(sig[part])),
-            pa.array(node[part]),
-        ], schema=_ARROW)
+        yield pa.record_batch([pa.array(signed(sig[i: i + size])), pa.array(node[i: i + size])], schema=_ARROW)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sigs, nodes = [], []
     for batch in batches:
-        local = batch.column("local").to_numpy(zero_copy_only=False)
         sig, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
+        local = (sig & 1).astype(bool)
         if local.any():
-            yield pa.record_batch([sig[local], node[local]], names=["sig", "node"])
-        sigs.append(sig[~local])
-        nodes.append(node[~local])
-    if not sigs:
+            yield from _met(sig[local] ^ 1, node[local], None)
+            sig, node = sig[~local], node[~local]
+        sigs.append(sig)
+        nodes.append(node)
+    if not sigs or not sum(map(len, sigs)):
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
+    del sigs, nodes
+    # Signatures that one node has are left out before the pairs of sorting keys are made.
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    low, high = (f.reduceat(node, start) if len(sig) else node for f in (np.minimum, np.maximum))
-    meet = np.repeat(low != high, np.diff(np.append(start, len(sig))))
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    meet = np.repeat(np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start), np.diff(np.append(start, len(sig))))
     sig, node = sig[meet], node[meet]
-    for i in range(0, len(sig), 100_000):
-        yield pa.record_batch([sig[i: i + 100_000], node[i: i + 100_000]], names=["sig", "node"])
+    if not len(sig):
+        return
+    order = np.lexsort((node, sig))
+    sig, node = sig[order], node[order]
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
+    sig, node = sig[fresh], node[fresh]
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.append(start, len(sig)))
+    two = start[size == 2]
+    pairs = np.unique(np.stack([node[two], node[two + 1]], axis=1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
+    yield from _met(None, pairs[:, 0], pairs[:, 1])
+    # Of signatures with the same nodes, one is enough.
+    many = size > 2
+    if many.any():
+        name = np.add.reduceat(mix(node.view(np.uint64)), start)[many]
+        _, first = np.unique(name, return_index=True)
+        keep = np.zeros(len(start), bool)
+        keep[np.flatnonzero(many)[first]] = True
+        keep = np.repeat(keep, size)
+        yield from _met(sig[keep], node[keep], None)
+
+
+def _met(sig: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(a), 100_000):
+        s = slice(i, i + 100_000)
+        n = len(a[s])
+        yield pa.record_batch([
+            pa.nulls(n, pa.int64()) if sig is None else pa.array(sig[s]), pa.array(a[s]), pa.nulls(n, pa.int64()) if b is None else pa.array(b[s]),
+        ], schema=_MET)
 
 
 def meetings(signatures: DataFrame) -> DataFrame:
-    """(sig, node) rows of the signatures that more than one node has, from ``Gatherer`` rows."""
-    return signatures.repartition("slot").mapInArrow(_meetings, "sig long, node long")
+    """Signatures that several nodes have: a pair (a, b) of two, or rows (sig, a) of more."""
+    place = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, F.xxhash64("sig", "node")).otherwise(F.col("sig"))
+    return signatures.repartition(place).mapInArrow(_meetings, "sig long, a long, b long")
 
 
 def star_pairs(met: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of each signature's least node with its other nodes."""
-    low = met.groupBy("sig").agg(F.min("node").alias("a"))
-    return met.join(low, "sig").where("a < node").select("a", F.col("node").alias("b")).distinct()
+    """Distinct pairs a < b: those that share a signature alone, and of others the least node with each."""
+    many = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node"))
+    low = many.groupBy("sig").agg(F.min("node").alias("a"))
+    stars = many.join(low, "sig").where("a < node").select("a", F.col("node").alias("b"))
+    return met.where("sig IS NULL").select("a", "b").union(stars).distinct()
 
 
-def cross_pairs(met: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-    """Distinct untried pairs a < b that share a signature but lie in different components."""
-    placed = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def cross_pairs(met: DataFrame, labels: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct pairs a < b that share a signature, lie in different components and may be similar."""
+    many = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
+    placed = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rest = placed.join(open_.select("sig"), "sig")
-    left = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "sig").where("a < b AND la <> lb").select("a", "b").distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+    rest = placed.join(open_.select("sig"), "sig").join(nodes, "node")
+    side = [c for c in nodes.columns if c != "node"]
+    left = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"a_{c}") for c in side))
+    right = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), *(F.col(c).alias(f"b_{c}") for c in side))
+    found = left.join(right, (left.sig == right.sig) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near("a_", "b_"))
+    return found.select("a", "b").distinct()
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -143,18 +177,17 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def linked(
-    scratch: Scratch, signatures: DataFrame, verify: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """(node, label) of all nodes with a link. ``verify`` takes pairs (a, b), returns those linked."""
+def linked(scratch: Scratch, signatures: DataFrame, check: Check) -> DataFrame:
+    """(node, label) of all nodes with a link."""
     met = scratch.stage(meetings(signatures), "met")
-    stars = scratch.stage(star_pairs(met), "star-pairs")
-    edges = scratch.stage(verify(stars).select("a", "b"), "star-links")
+    likely = scratch.stage(check.likely(star_pairs(met)), "star-pairs")
+    edges = scratch.stage(check.linked(likely), "star-links")
     labels = scratch.stage(components(scratch, edges), "star-labels")
-    cross = scratch.stage(cross_pairs(met, labels, stars), "cross-pairs")
+    cross = cross_pairs(met, labels, check.nodes.drop("tk"), check.near).join(likely, ["a", "b"], "left_anti")
+    cross = scratch.stage(cross, "cross-pairs")
     if cross.isEmpty():
         return labels
-    more = scratch.stage(verify(cross).select("a", "b"), "cross-links")
+    more = scratch.stage(check.linked(cross), "cross-links")
     if more.isEmpty():
         return labels
     return scratch.stage(components(scratch, edges.union(more)), "labels")

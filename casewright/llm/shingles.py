@@ -24,13 +24,13 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def parity(members: np.ndarray) -> bytes:
-    """Bitmap with a bit for each cell that an odd number of members fall in.
+def parity(members: np.ndarray) -> np.ndarray:
+    """Bitmap of ``BITS`` bits as longs, with a bit for each cell that an odd number of members fall in.
 
     Two sets differ in at least as many members as their bitmaps differ in bits.
     """
     odd = (np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).tobytes()
+    return np.packbits(odd).view(np.int64)
 
 
 def each_set(batch: pa.RecordBatch, column: str = "text", width: int = SHINGLE) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
@@ -53,7 +53,7 @@ def describe(
     """
     fields = [(k, pa.int64()) for k in keys]
     schema = pa.schema([
-        *fields, ("n_words", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()),
+        *fields, ("n_words", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bits", pa.list_(pa.int64())),
         ("cell", pa.int64()), ("freq", pa.int64()),
     ])
 
@@ -78,7 +78,7 @@ def describe(
             n = batch.num_rows
             yield pa.record_batch([
                 *(batch.column(k) for k in keys), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(signed(np.array(nodes, np.uint64))), pa.array(bits, pa.binary()), pa.nulls(n, pa.int64()),
+                pa.array(signed(np.array(nodes, np.uint64))), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int64()),
                 pa.nulls(n, pa.int64()),
             ], schema=schema)
         at = np.flatnonzero(cells >= hot)
@@ -86,7 +86,7 @@ def describe(
             none = [pa.nulls(len(at), f.type) for f in schema][:-2]
             yield pa.record_batch([*none, pa.array(at), pa.array(cells[at].astype(np.int64))], schema=schema)
 
-    out = ", ".join([*(f"{k} long" for k in keys), "n_words long, n_shingles long, node long, bits binary, cell long, freq long"])
+    out = ", ".join([*(f"{k} long" for k in keys), "n_words long, n_shingles long, node long, bits array<bigint>, cell long, freq long"])
     return texts.select(*keys, "text").mapInArrow(run, out)
 
 
@@ -144,20 +144,6 @@ def members_of(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> Dat
     return found.dropDuplicates(["node"])
 
 
-def _agree(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs whose sizes and bitmaps allow a similarity of ``percent``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n").to_numpy() + batch.column("m").to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("x", "y"))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = apart * (100 + percent) <= n * (100 - percent)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return run
-
-
 def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,22 +158,35 @@ def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def verifier(scratch: Scratch, texts: DataFrame, nodes: DataFrame, percent: int, width: int = SHINGLE) -> Callable[[DataFrame], DataFrame]:
-    """Exact check of pairs (a, b) of nodes: 100 * common >= percent * union."""
+class Check:
+    """Exact check of pairs (a, b) of nodes: 100 * common >= percent * union of their sets."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, nodes: DataFrame, percent: int, width: int = SHINGLE):
+        self.scratch, self.texts, self.nodes, self.percent, self.width = scratch, texts, nodes, percent, width
+
+    def near(self, left: str, right: str) -> Column:
+        """Whether sizes and bitmaps of two sides, whose columns have these prefixes, allow a link."""
+        n, m = F.col(f"{left}n"), F.col(f"{right}n")
+        x, y = F.col(f"{left}bits"), F.col(f"{right}bits")
+        apart = F.lit(0)
+        for k in range(BITS // 64):
+            apart = apart + F.bit_count(x[k].bitwiseXOR(y[k]))
+        sizes = 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+        return sizes & (apart * (100 + self.percent) <= (n + m) * (100 - self.percent))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = nodes.select(F.col("node").alias("a"), "n", F.col("bits").alias("x"))
-        right = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
-        near = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-        likely = pairs.select("a", "b").join(left, "a").join(right, "b").where(near)
-        likely = scratch.stage(likely.mapInArrow(_agree(percent), "a long, b long"), "likely")
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that may link."""
+        left, right = (
+            self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "ab"
+        )
+        return pairs.join(left, "a").join(right, "b").where(self.near("a_", "b_")).select("a", "b")
+
+    def linked(self, likely: DataFrame) -> DataFrame:
+        """The pairs that do; ``likely`` is a staged table."""
         ends = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        sets = members_of(texts, nodes.join(ends, "node", "left_semi"), width)
-        sets = scratch.stage(sets, "members")
+        sets = self.scratch.stage(members_of(self.texts, self.nodes.join(ends, "node", "left_semi"), self.width), "members")
         return (
             likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-            .mapInArrow(_similar(percent), "a long, b long")
+            .mapInArrow(_similar(self.percent), "a long, b long")
         )
-
-    return verify

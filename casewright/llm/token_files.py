@@ -211,7 +211,7 @@ def write_token_files(
     encoded = rows.select("key", "text").mapInArrow(run, "kind string, shard long, seq long, value binary")
     encoded = encoded.sortWithinPartitions("kind", "shard", "seq")
     _write(encoded.select("kind", "shard", "value"), f"{path}/data", end_id.to_bytes(width, "little"))
-    _write_index(spark, path, width, end_id)
+    _write_index(spark, path, width, end_id, docs.isEmpty())
 
 
 def _write(df: DataFrame, path: str, close: bytes) -> None:
@@ -327,10 +327,10 @@ def find(raw: bytes, keys: np.ndarray, null: np.ndarray, copy: np.ndarray) -> tu
     return found, (slot >= 0) & (found["print"] == (hashed >> np.uint64(32)).astype(np.uint32))
 
 
-def _write_index(spark: SparkSession, path: str, width: int, end_id: int) -> None:
+def _write_index(spark: SparkSession, path: str, width: int, end_id: int, empty: bool) -> None:
     with Scratch(spark, "token-index") as scratch:
-        places = scratch.stage(_places(spark, path, width), "places")
-        documents = places.count()
+        places = None if empty else scratch.stage(_places(spark, path, width), "places")
+        documents = 0 if empty else places.count()
         buckets = -(-documents // BUCKET_KEYS)
         manifest = {"width": width, "buckets": buckets, "documents": documents, "end_id": end_id}
         spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).coalesce(1).write.text(f"{path}/manifest")

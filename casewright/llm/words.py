@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; one longer text is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
@@ -99,7 +99,7 @@ def words_of(texts: pa.Array) -> Words:
 def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:
     """Hashes of parts of the data, with A-Z as a-z if ``lower``."""
     n = len(data)
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     if size not in _POWER:
         _POWER.clear()
         _POWER[size] = _powers(_FACTOR, size), _powers(_INVERSE, size)
