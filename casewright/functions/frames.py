@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 VOCABULARY_LIMIT = 5000
 
 
+def nulls_last(order: Sequence[str]) -> list[Column]:
+    """Ascending sort columns with missing values at the end, such as events without a time."""
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
+def spot_of(order: Sequence[str]) -> Column:
+    """Place in ``order`` as a value to compare by, missing values last."""
+    return F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"_null{i}"), F.col(c).alias(f"_at{i}"))])
+
+
 def first_non_null(column: str, order: Sequence[str]) -> Column:
     """Aggregate: the first value of ``column`` in ``order`` that is not null."""
-    spot = F.struct(*[F.col(c) for c in order])
+    spot = spot_of(order)
     return F.min_by(F.col(column), F.when(F.col(column).isNotNull(), spot))
 
 

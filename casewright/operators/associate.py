@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import digamma, pearson, quoted, to_long
 from ..functions.ordering import scan_within
 
-PAIRWISE_COLUMNS = 24  # up to here one aggregation holds all pairs; wider frames have no nulls and use a matrix
 
-
-def pearson_matrix(df: DataFrame, columns: Sequence[str], wide: bool | None = None) -> DataFrame:
+def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, r) for all ordered pairs, pairwise complete; null for constants.
 
-    Wide frames (encoded sets, without nulls) go through Spark's correlation matrix, whose
-    size depends on the number of columns only.
+    The sums of all pairs are matrix products of a task's rows with nulls as zero and a mask, so
+    one pass over the data serves any number of columns, with or without nulls.
     """
-    columns = list(columns)
-    if wide is None:
-        wide = len(columns) > PAIRWISE_COLUMNS
-    return _mirror(_matrix(df, columns) if wide else _pairs(df, columns), "r")
+    return _mirror(_moments(df, list(columns)), "r")
 
 
 def _mirror(half: DataFrame, value: str) -> DataFrame:
@@ -36,33 +31,37 @@ def _mirror(half: DataFrame, value: str) -> DataFrame:
     return half.select(F.explode(sides).alias("_p"), value).select("_p.feature_a", "_p.feature_b", value)
 
 
-def _pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    cols = [F.col(quoted(c)).cast("double") for c in columns]
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = df.agg(*[pearson(cols[i], cols[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    entries = [
-        F.struct(F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), F.col(f"r{i}_{j}").alias("r"))
-        for i, j in pairs
-    ]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
-def _matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    numeric = df.select(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(columns)])
-    vectors = VectorAssembler(inputCols=numeric.columns, outputCol="_v").transform(numeric).select("_v")
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-    entries = [
-        (a, columns[j], None if matrix[i, j] != matrix[i, j] else float(matrix[i, j]))
-        for i, a in enumerate(columns) for j in range(i, len(columns))
-    ]
-    frame = df.sparkSession.createDataFrame(entries, "feature_a string, feature_b string, r double")
-    # Spark sets the diagonal of a constant column to 1; here all its correlations are null.
-    spread = numeric.agg(*[F.stddev_pop(c).alias(c) for c in numeric.columns]).first()
-    flat = [c for i, c in enumerate(columns) if not spread[i]]
-    if not flat:
-        return frame
-    hit = F.col("feature_a").isin(flat) | F.col("feature_b").isin(flat)
-    return frame.withColumn("r", F.when(~hit, F.col("r")))
+def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature_a, feature_b, r) for each pair in column order, from sums over rows where both are present."""
+    chosen = df.select(*[F.col(quoted(c)).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    # Values are shifted by their means, which keeps the differences of sums exact enough.
+    means = [x or 0.0 for x in chosen.agg(*[F.avg(c) for c in chosen.columns]).first()]
+    first, second = np.triu_indices(len(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(means)
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1) - means
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        n, s, q, p = total
+        yield pa.record_batch([pa.array(c) for c in (
+            first, second, n[first, second], s[first, second], s[second, first], q[first, second], q[second, first], p[first, second]
+        )], names=["i", "j", "n", "sa", "sb", "qa", "qb", "p"])
+
+    parts = chosen.mapInArrow(run, "i long, j long, n double, sa double, sb double, qa double, qb double, p double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    names = F.array(*[F.lit(c) for c in columns])
+    a, b = (F.col(f"q{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.col("n") for x in "ab")
+    r = (F.col("p") - F.col("sa") * F.col("sb") / F.col("n")) / F.sqrt(a * b)
+    # What rounding leaves of a constant's variance is no variance.
+    flat = (F.col("n") == 0) | (a <= 1e-12 * F.col("qa")) | (b <= 1e-12 * F.col("qb"))
+    return sums.select(
+        F.element_at(names, (F.col("i") + 1).cast("int")).alias("feature_a"), F.element_at(names, (F.col("j") + 1).cast("int")).alias("feature_b"),
+        F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+    )
 
 
 def pearson_with_label(df: DataFrame, columns: Sequence[str], label: str = "encoded_label") -> DataFrame:
@@ -81,18 +80,15 @@ def encoded_correlations(
 
     Each part includes the label. Constant columns, whose correlations are all null, are left out.
     """
-    hidden = set(categorical)
-    parts = []
-    for kind, chosen in (("num", [f for f in features if f not in hidden]), ("cat", [f for f in features if f in hidden])):
-        if chosen:
-            matrix = pearson_matrix(encoded, [*chosen, label])
-            parts.append(matrix.where(F.col("r").isNotNull()).select(
-                F.lit(kind).alias("kind"), "feature_a", "feature_b", F.round("r", 3).alias("r")
-            ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # One matrix serves both kinds; the label is in both.
+    hidden = [f for f in features if f in set(categorical)]
+    shown = [f for f in features if f not in set(categorical)]
+    matrix = pearson_matrix(encoded, [*features, label]).where(F.col("r").isNotNull())
+    sides = F.array_compact(F.array(*[
+        F.when(F.col("feature_a").isin([*kept, label]) & F.col("feature_b").isin([*kept, label]), F.lit(kind))
+        for kind, kept in (("num", shown), ("cat", hidden)) if kept
+    ]))
+    return matrix.select(F.explode(sides).alias("kind"), "feature_a", "feature_b", F.round("r", 3).alias("r"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

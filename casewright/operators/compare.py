@@ -37,8 +37,11 @@ def compare_ale(first: DataFrame, second: DataFrame, features: DataFrame, names:
     return a.join(b, keys, "full").join(F.broadcast(wanted), "feature", "left_semi")
 
 
-def correlated_features(matrix: DataFrame, least: float = 0.8, limit: int | None = 8, label: str = "encoded_label") -> DataFrame:
-    """Features of pairs with absolute correlation of at least ``least``, in name order."""
+def correlated_features(matrix: DataFrame, least: float = 0.8, limit: int | None = None, label: str = "encoded_label") -> DataFrame:
+    """Features of pairs with absolute correlation of at least ``least``, in name order.
+
+    ``limit`` keeps the first few, as many as a picture has room for.
+    """
     pairs = matrix.where(
         (F.abs("r") >= least) & (F.col("feature_a") != F.col("feature_b")) & (F.col("feature_b") != label)
     )

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import VOCABULARY_LIMIT, first_non_null, quoted, to_long, vocabulary
+from ..functions.frames import VOCABULARY_LIMIT, first_non_null, nulls_last, quoted, to_long, vocabulary
 from ..functions.keyed import hot_keys
 from ..functions.ordering import scan_within
 from ..schema import LogSchema
@@ -113,8 +113,8 @@ def _with_position(prefixes: DataFrame, schema: LogSchema, case: str) -> DataFra
     if "pos" in prefixes.columns:
         return prefixes
     if hot_keys(prefixes, case):
-        return scan_within(prefixes, [case], list(schema.order), rank="pos")
-    inside = Window.partitionBy(case).orderBy(*schema.order)
+        return scan_within(prefixes, [case], nulls_last(schema.order), rank="pos")
+    inside = Window.partitionBy(case).orderBy(*nulls_last(schema.order))
     return prefixes.withColumn("pos", F.row_number().over(inside))
 
 
@@ -260,7 +260,7 @@ def running_heads(log: DataFrame, schema: LogSchema, max_length: int) -> DataFra
     changes nothing, and cutting a case after any event leaves the rows before it as they are.
     """
     heads = case_heads(log, schema, max_length)
-    inside = Window.partitionBy(schema.case).orderBy(*schema.order)
+    inside = Window.partitionBy(schema.case).orderBy(*nulls_last(schema.order))
     until = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fixed = (*schema.static_num, *schema.static_cat, schema.label)

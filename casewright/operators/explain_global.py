@@ -74,8 +74,8 @@ def permutation_importance(
     another sort, and only single values are shuffled. All variants are scored together.
     """
     features = list(features)
-    others = [c for c in df.columns if c not in features and c not in (row, label)]
-    slim = df.drop(*others).where(F.col(row).isNotNull())
+    # Columns that are not permuted stay: the scorer may need them.
+    slim = df.where(F.col(row).isNotNull())
     ranked, n = with_total(slim, [F.md5(F.concat_ws("_", row, F.lit(str(seed)))), F.col(row)], out="_rank")
     primes = F.array(*[F.lit(p).cast("long") for p in _PRIMES if n % p])
     i, r = F.floor(F.col("_p") / repeats).cast("long"), F.col("_p") % repeats
@@ -88,8 +88,9 @@ def permutation_importance(
         F.element_at(values, (i + 1).cast("int")).alias("_given"),
     )
     moved = ranked.join(sent, "_rank")
-    for k, f in enumerate(features, 1):
-        moved = moved.withColumn(f, F.when(F.col("_i") == k, F.col("_given")).otherwise(F.col(quoted(f))))
+    moved = moved.withColumns({
+        f: F.when(F.col("_i") == k, F.col("_given")).otherwise(F.col(quoted(f))) for k, f in enumerate(features, 1)
+    })
     hit = ((F.col(SCORE) > 0.5).cast("int") == F.col(label)).cast("int")
     accuracy = scorer(moved).groupBy("_i", "repeat").agg(F.avg(hit).alias("_acc"))
     base = scorer(slim).agg(F.avg(hit))
@@ -138,9 +139,8 @@ def ale(
     place = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("_x"))))
     binned = spread.where(F.size("edges") > 1).withColumn("_bin", place)
     ends = binned.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-    for f in features:
-        at = F.element_at("edges", F.col("_bin") + F.col("_side"))
-        ends = ends.withColumn(f, F.when(F.col("_f") == f, at).otherwise(F.col(quoted(f))))
+    at = F.element_at("edges", F.col("_bin") + F.col("_side"))
+    ends = ends.withColumns({f: F.when(F.col("_f") == f, at).otherwise(F.col(quoted(f))) for f in features})
     sign = F.when(F.col("_side") == 1, 1.0).otherwise(-1.0)
     steps = scorer(ends).groupBy(F.col("_f").alias("feature"), F.col("_bin").alias("bin")).agg(
         (F.count("*") / 2).alias("_n"), (F.sum(F.col(SCORE) * sign) / (F.count("*") / 2)).alias("_step")
@@ -210,10 +210,11 @@ def shap_sampled(
             ))
     means = df.agg(*[F.avg(F.col(quoted(f)).cast("double")).alias(f"_m{i}") for i, f in enumerate(features)])
     at = means.first()
-    slim = df.select(row, *[F.col(quoted(f)).cast("double").alias(f) for f in features])
-    variants = slim.withColumn("_s", F.explode(F.array(*steps)))
-    for i, f in enumerate(features):
-        variants = variants.withColumn(f, F.when(F.col("_s.on")[i], F.col(quoted(f))).otherwise(F.lit(at[i])))
+    # Columns that are not attributed keep each row's value: the scorer may need them.
+    slim = df.withColumns({f: F.col(quoted(f)).cast("double") for f in features})
+    variants = slim.withColumn("_s", F.explode(F.array(*steps))).withColumns({
+        f: F.when(F.col("_s.on")[i], F.col(quoted(f))).otherwise(F.lit(at[i])) for i, f in enumerate(features)
+    })
     scored = scorer(variants)
     names = F.array(*[F.lit(f) for f in features])
     shares = F.array_compact(F.array(
@@ -224,8 +225,15 @@ def shap_sampled(
         (F.sum("e.p") / orders).alias("phi")
     )
     values = to_long(slim, [row], features)
-    background = means.select(*[F.col(f"_m{i}").alias(f) for i, f in enumerate(features)])
-    return phi.join(values, [row, "feature"]).select(row, "feature", "value", "phi"), scorer(background).select(F.col(SCORE).alias("base"))
+    held = [c for c in df.columns if c != row and c not in features]
+    if held:
+        # The base is the mean score of the rows with their own values of the other columns.
+        means = slim.select(row, *[F.col(quoted(c)) for c in held]).withColumns({f: F.lit(at[i]) for i, f in enumerate(features)})
+        base = scorer(means).agg(F.avg(SCORE).alias("base"))
+    else:
+        background = means.select(*[F.col(f"_m{i}").alias(f) for i, f in enumerate(features)])
+        base = scorer(background).select(F.col(SCORE).alias("base"))
+    return phi.join(values, [row, "feature"]).select(row, "feature", "value", "phi"), base
 
 
 def shap_ranking(phi: DataFrame, top: int | None = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import nulls_last
 from ..functions.keyed import spread_join
 from ..schema import LogSchema
 
@@ -42,7 +43,7 @@ def case_heads(log: DataFrame, schema: LogSchema, max_length: int) -> DataFrame:
     Spark limits each case before the shuffle, so a long case ships a few rows only, and the
     capped length is the number of rows kept.
     """
-    inside = Window.partitionBy(schema.case).orderBy(*schema.order)
+    inside = Window.partitionBy(schema.case).orderBy(*nulls_last(schema.order))
     heads = (
         log.where(F.col(schema.case).isNotNull())
         .withColumn("pos", F.row_number().over(inside)).where(F.col("pos") <= max_length)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import first_non_null, quoted, to_long
+from ..functions.frames import first_non_null, quoted, spot_of, to_long
 from ..functions.keyed import hot_keys, spread_join
 from ..functions.ordering import scan_within
 from ..schema import LogSchema
@@ -94,7 +94,7 @@ def original_case_ids(ids: DataFrame, column: str, nr_events: int = 1, out: str
 
 def prefix_lengths(prefixes: DataFrame, schema: LogSchema, case: str = "prefix_id") -> DataFrame:
     """Last non-null prefix number per prefix."""
-    spot = F.when(F.col("prefix_nr").isNotNull(), F.struct(*[F.col(c) for c in schema.order]))
+    spot = F.when(F.col("prefix_nr").isNotNull(), spot_of(schema.order))
     return prefixes.groupBy(case).agg(F.max_by("prefix_nr", spot).alias("prefix_nr"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import first_non_null, quoted, to_long
+from ..functions.frames import first_non_null, nulls_last, quoted, to_long
 from ..functions.keyed import spread_join
 from ..functions.ordering import block_quantiles, scan_within, value_blocks
 from ..schema import LogSchema
@@ -205,7 +205,7 @@ def derive_time_features(log: DataFrame, schema: LogSchema) -> DataFrame:
     """
     case, ts = schema.case, schema.ts
     unix = log.withColumn("_sec", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    placed = scan_within(unix, [case], list(schema.order), rank="event_nr", lags={"_before": "_sec"})
+    placed = scan_within(unix, [case], nulls_last(schema.order), rank="event_nr", lags={"_before": "_sec"})
     spans = unix.groupBy(case).agg(F.min("_sec").alias("_start"), F.max("_sec").alias("_end"))
     steps = spans.select(F.col("_start").alias("_at"), F.lit(1).alias("_step")).unionByName(
         # A case counts as open up to and including its last event.

@@ -65,8 +65,9 @@ def encoded_with_label(
 def mark_sets(heads: DataFrame, schema: LogSchema, ratio: float) -> DataFrame:
     """Heads with their ``set``: the split of ``temporal_split`` without a join.
 
-    Whether a case trains follows from its start and id alone, once the last training case in
-    (start, id) order is known.
+    Whether a case trains follows from its start and id alone, once the first test case in
+    (start, id) order is known; cases without any time come last. Without a time to cut at, as in
+    ``temporal_split``, no event trains.
     """
     starts = heads.where(F.col("pos") == 1).select(schema.case, "case_start")
     ranked, total = with_total(starts, [F.col("case_start").asc_nulls_last(), F.col(schema.case)])
@@ -76,7 +77,10 @@ def mark_sets(heads: DataFrame, schema: LogSchema, ratio: float) -> DataFrame:
         return heads.limit(0).withColumn("set", F.lit("training"))
     first_test = edge[last + 1]
     start, case = F.lit(first_test["case_start"]), F.lit(first_test[schema.case])
-    tested = (F.col("case_start") > start) | ((F.col("case_start") == start) & (F.col(schema.case) >= case))
+    undated = F.col("case_start").isNull()
+    if first_test["case_start"] is None:
+        return heads.where(undated & (F.col(schema.case) >= case)).withColumn("set", F.lit("testing"))
+    tested = undated | (F.col("case_start") > start) | ((F.col("case_start") == start) & (F.col(schema.case) >= case))
     marked = heads.withColumn("set", F.when(tested, "testing").otherwise("training"))
     return marked.where((F.col("set") == "testing") | (F.col(schema.ts) < start))
 

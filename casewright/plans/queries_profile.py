@@ -188,6 +188,18 @@ def pearson_matrix(spark, d):
     return rounded_columns(C.pearson_matrix(log, MEASURES), "r")
 
 
+WIDE = O.NUMERIC + O.COUNTS + O.DUMMIES
+HOLES = ", ".join(f'CASE WHEN length(prefix_id) % {2 + i % 3} <> 0 THEN "{c}" END AS "{c}"' for i, c in enumerate(WIDE))
+
+
+@query(f"WITH {O.ENCODED_SET}, x AS (SELECT {HOLES} FROM enc) {matrix_sql('x', WIDE)}")
+def pearson_matrix_wide_nulls(spark, d):
+    """More columns than one aggregation would take, with missing values in all of them."""
+    rows = staged_orders(spark, d).rows
+    holes = [F.when(F.length("prefix_id") % (2 + i % 3) != 0, F.col(quoted(c))).alias(c) for i, c in enumerate(WIDE)]
+    return rounded_columns(C.pearson_matrix(rows.select(*holes), WIDE), "r")
+
+
 @query(f"WITH {O.ENCODED_SET}, x AS (SELECT * FROM enc) {matrix_sql('x', O.NUMERIC + O.COUNTS + O.DUMMIES)}")
 def pearson_matrix_wide(spark, d):
     es = staged_orders(spark, d)

@@ -46,5 +46,7 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw")
     rows = reader.schema(T.StructType(fields)).csv(path)
     # All columns are strings, so the raw line is kept only where the field count is off.
-    too_long = F.size(F.split("_raw", ";")) > len(names)
+    # Separators inside quotes do not end a field.
+    bare = F.regexp_replace("_raw", r'"(?:[^"\\]|\\.)*"', "")
+    too_long = F.size(F.split(bare, ";")) > len(names)
     return rows.where(F.col("_raw").isNull() | ~too_long).drop("_raw")

@@ -1,5 +1,6 @@
 """Hand cases for the rules on nulls, order, prefixes, buckets and edges."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casewright.operators import associate, binning, bucket, encode, metrics, prefix, prepare, profile, split
 from casewright.operators.explain_local import rule_text
+from casewright.plans.encoded import encoded_with_label
 from casewright.schema import LogSchema, known_logs
 from casewright.sources import artefacts
 from casewright.sources.logs import read_event_log
@@ -172,14 +174,35 @@ def test_pearson_of_constant_and_missing(spark):
     assert r["a", "b"] == pytest.approx(1.0) and r["a", "c"] is None and r["c", "c"] is None
 
 
-def test_wide_and_narrow_pearson_agree(spark):
-    df = spark.range(200).selectExpr("cast(id as double) a", "cast(id * id % 17 as double) b", "cast(id % 5 as double) c", "1.0D d")
-    get = lambda wide: {(x[0], x[1]): x[2] for x in associate.pearson_matrix(df, ["a", "b", "c", "d"], wide).collect()}
-    wide, narrow = get(True), get(False)
-    assert wide.keys() == narrow.keys()
-    for k in wide:
-        assert wide[k] == (None if narrow[k] is None else pytest.approx(narrow[k]))
-        assert narrow[k] == (None if narrow[k[::-1]] is None else pytest.approx(narrow[k[::-1]]))
+def test_pearson_is_pairwise_at_any_width(spark):
+    rng = random.Random(1)
+    rows = [tuple(None if rng.random() < 0.2 else rng.gauss(i % 3, 1 + i) for i in range(30)) for _ in range(60)]
+    names = [f"c{i}" for i in range(30)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    wide = {(x[0], x[1]): x[2] for x in associate.pearson_matrix(df, names).collect()}
+    assert len(wide) == 900
+    for a, b in [(0, 1), (3, 29), (17, 17), (28, 5)]:
+        both = [(r[a], r[b]) for r in rows if r[a] is not None and r[b] is not None]
+        ma, mb = (sum(x) / len(both) for x in zip(*both))
+        cov = sum((x - ma) * (y - mb) for x, y in both)
+        var = sum((x - ma) ** 2 for x, _ in both) * sum((y - mb) ** 2 for _, y in both)
+        assert wide[names[a], names[b]] == pytest.approx(cov / var**0.5) == wide[names[b], names[a]]
+    narrow = {(x[0], x[1]): x[2] for x in associate.pearson_matrix(df, names[:2]).collect()}
+    assert narrow["c0", "c1"] == pytest.approx(wide["c0", "c1"])
+
+
+def test_events_without_time_come_last_and_no_case_is_lost(spark):
+    rows = [("a", "x", "2024-01-03", 1), ("a", "y", None, 2), ("b", "x", "2024-01-01", 3), ("c", "z", None, 4), ("d", "x", "2024-01-02", 5), ("d", "y", "2024-01-09", 6)]
+    schema = LogSchema("n", case="case", activity="act", ts="ts", resource="act", label="label", tiebreak=("id",), dynamic_cat=("act",))
+    log = spark.createDataFrame(rows, "case string, act string, ts string, id long").selectExpr("case", "act", "to_timestamp(ts) AS ts", "id", "'deviant' AS label")
+    first = {r["case"]: r["act"] for r in prefix.case_heads(log, schema, 5).where("pos = 1").collect()}
+    assert first == {"a": "x", "b": "x", "c": "z", "d": "x"}
+    for ratio in (0.25, 0.5, 0.75):
+        parts = split.temporal_split(log, schema, ratio)
+        encoded = encoded_with_label(log, schema, ratio=ratio, max_length=5, drop_empty=False).rows
+        for part, name in ((parts.train, "training"), (parts.test, "testing")):
+            want = {r["case"] for r in part.select("case").distinct().collect()}
+            assert {r[0] for r in encoded.where(F.col("set") == name).select("original_case_id").distinct().collect()} == want
 
 
 def test_cramers_v_edges(spark):
@@ -220,12 +243,13 @@ def test_cardinality_counts_null(log):
 
 
 def test_csv_with_long_and_short_lines(spark, tmp_path):
-    text = "case;act;ts;res;label;x\na;p\xe9;2024-01-01 00:00:00;r;deviant;1.5\nb;p;2024-01-02 00:00:00;r;regular;2;extra\nc;q;2024-01-03 00:00:00\nd;q;2024-01-04 00:00:00;r;regular;bad\n"
+    text = "case;act;ts;res;label;x\na;p\xe9;2024-01-01 00:00:00;r;deviant;1.5\nb;p;2024-01-02 00:00:00;r;regular;2;extra\nc;q;2024-01-03 00:00:00\nd;q;2024-01-04 00:00:00;r;regular;bad\ne;\"x;y;z;w;v\"\n"
     (tmp_path / "log.csv").write_bytes(text.encode("latin-1"))
     schema = LogSchema("t", "case", "act", "ts", "res", "label", dynamic_cat=("act",), dynamic_num=("x",))
     got = {r["case"]: r for r in read_event_log(spark, schema, str(tmp_path / "log.csv")).collect()}
-    assert sorted(got) == ["a", "c", "d"]
+    assert sorted(got) == ["a", "c", "d", "e"]
     assert got["a"]["act"] == "p\xe9" and got["a"]["x"] == 1.5 and got["c"]["x"] is None and got["d"]["x"] is None
+    assert got["e"]["act"] == "x;y;z;w;v" and got["e"]["ts"] is None
 
 
 def test_catalogue_appends(spark, tmp_path):
