@@ -42,7 +42,9 @@ def bucket_prefix_length(prefixes: DataFrame, case: str = "prefix_id", fitted: D
     """Bucket = own size if it was fitted, else the next smaller fitted size."""
     sizes = prefix_sizes(prefixes, case)
     fitted = fit_sizes(prefixes, case) if fitted is None else fitted
-    return sizes.join(floor_sizes(sizes, fitted), "size", "left").select(case, "size", "bucket")
+    # Sizes are few but hold many prefixes each; a row per distinct size (at most the square root of
+    # twice the events) goes to every task instead of all prefixes to a task per size.
+    return sizes.join(F.broadcast(floor_sizes(sizes, fitted)), "size", "left").select(case, "size", "bucket")
 
 
 BUCKETERS: dict[str, Callable[..., DataFrame]] = {"single": bucket_single, "prefix": bucket_prefix_length}

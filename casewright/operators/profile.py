@@ -139,7 +139,8 @@ def encoded_level_counts(encoded: DataFrame, features: Sequence[str], categorica
     # Only columns with few values are collected, at most ``most`` entries each.
     few = width.where(is_cat & (F.col("n_values") <= most)).select("feature")
     maps = (
-        values.where(F.col("value").isNotNull()).join(few, "feature", "left_semi").groupBy("feature")
+        # A row per column at most.
+        values.where(F.col("value").isNotNull()).join(F.broadcast(few), "feature", "left_semi").groupBy("feature")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("value"), F.col("n")))).alias("_pairs"))
         .select("feature", F.map_from_entries("_pairs").alias("value_counts"))
     )

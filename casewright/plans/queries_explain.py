@@ -93,6 +93,33 @@ def permutation_importance(spark, d):
     return flat_importances(G.permutation_importance(rows, "prefix_id", USED, SCORER))
 
 
+def _every_feature(columns: str) -> str:
+    names = ", ".join(f"'{f}'" for f in [*O.NUMERIC, *O.COUNTS, *O.DUMMIES])
+    return f"SELECT feature, {columns} FROM (SELECT unnest([{names}]) AS feature)"
+
+
+@query(_every_feature("10 AS n_repeats, true AS bounded"))
+def permutation_importance_logit(spark, d):
+    """Permutation importance of a trained model, for every one of its features."""
+    rows, features, models = fitted_orders(spark, d, "logit", c=-2.0, max_iter=50)
+    train = rows.where(F.col("set") == "training")
+    found = G.permutation_importance(train.select("prefix_id", "encoded_label", *[quoted(f) for f in features]), "prefix_id", features, M.model_scorer(models.models[1]))
+    bounded = F.forall("importances", lambda x: F.abs(x) <= 1)
+    return found.select("feature", F.size("importances").alias("n_repeats"), bounded.alias("bounded"))
+
+
+@query(_every_feature("true AS centred"))
+def ale_logit(spark, d):
+    """Accumulated effects of a trained model: of every feature that has a bin, with means near zero."""
+    rows, features, models = fitted_orders(spark, d, "logit", c=-2.0, max_iter=50)
+    train = rows.where(F.col("set") == "training").select("encoded_label", *[quoted(f) for f in features])
+    found = G.ale(train, features, M.model_scorer(models.models[1]))
+    sides = found.groupBy("feature").agg((F.abs(F.min("ale")) <= 1).alias("centred"))
+    names = spark.createDataFrame([(f,) for f in features], "feature string")
+    # A constant feature has no bins and no effects.
+    return names.join(sides, "feature", "left").select("feature", F.coalesce("centred", F.lit(True)).alias("centred"))
+
+
 @query(_perm_query("testing"))
 def permutation_importance_test(spark, d):
     rows = used_rows(spark, d).where(F.col("set") == "testing")

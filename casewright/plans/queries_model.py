@@ -109,14 +109,10 @@ def bucket_models(spark, d):
     return rounded_columns(facts, "mean_label", "fallback")
 
 
-def model_features(es) -> list[str]:
-    return [f for f in es.features if not f.startswith("static__nation")]
-
-
 def fitted_orders(spark, d, method: str, **params):
     es = encoded_orders(spark, d)
     rows = stage(es.rows, "encoded")
-    features = model_features(es)
+    features = es.features
     train = rows.where(F.col("set") == "training")
     return rows, features, M.bucket_models(train, features, method, {None: params})
 
@@ -143,7 +139,7 @@ def score_cases(spark, d):
     """Test prefixes scored by one model per prefix length."""
     es = encoded_with_label(orders_log(spark, d, gaps=True), ORDERS, "agg", "prefix")
     rows = stage(es.rows, "encoded")
-    models = M.bucket_models(rows.where(F.col("set") == "training"), model_features(es), "logit", {None: {"c": -2.0, "max_iter": 10}})
+    models = M.bucket_models(rows.where(F.col("set") == "training"), es.features, "logit", {None: {"c": -2.0, "max_iter": 10}})
     return M.score_cases(models, rows.where(F.col("set") == "testing"))
 
 
@@ -153,7 +149,7 @@ def cv_trials(spark, d):
     es = encoded_orders(spark, d)
     folds = fold_numbers(orders_log(spark, d), ORDERS, 3).withColumnRenamed("case_id", "original_case_id")
     rows = stage(spread_join(es.rows.where(F.col("set") == "training"), folds, "original_case_id"), "folds")
-    return M.cv_trials(rows, model_features(es), M.search_space("logit", 2), "logit", "orders", fixed={"max_iter": 10})
+    return M.cv_trials(rows, es.features, M.search_space("logit", 2), "logit", "orders", fixed={"max_iter": 10})
 
 
 TRIALS = """t AS (SELECT CAST(o_orderkey % 5 + 1 AS INT) AS iter, o_orderpriority AS dataset, 'logit' AS cls, 'prefix_index' AS method,
