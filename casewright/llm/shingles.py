@@ -60,7 +60,7 @@ def describe(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
         for batch in batches:
-            counts, sizes, nodes, bits, pending, held = [], [], [], [], [], 0
+            counts, sizes, nodes, bits = [], [], [], []
             for _, _, n, members in each_set(batch, width=width):
                 if n < least:
                     members = members[:0]
@@ -68,13 +68,7 @@ def describe(
                 sizes.append(len(members))
                 nodes.append(set_id(members))
                 bits.append(parity(members))
-                pending.append(members)
-                held += len(members)
-                if held >= CELLS // 4:
-                    cells += np.bincount(_cell(np.concatenate(pending)), minlength=CELLS).astype(np.int32)
-                    pending, held = [], 0
-            if pending:
-                cells += np.bincount(_cell(np.concatenate(pending)), minlength=CELLS).astype(np.int32)
+                np.add.at(cells, _cell(members), 1)
             n = batch.num_rows
             yield pa.record_batch([
                 *(batch.column(k) for k in keys), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()),
