@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .links import SIGNATURES, Gatherer, linked
 from .scratch import Scratch, sized
-from .shingles import Check, each_set, describe, frequency, frequent_cells, nodes_of, text_key
-from .words import SHINGLE, mix, set_id
+from .shingles import Check, each_set, describe, frequency, frequency_table, frequent_cells, nodes_of, text_key
+from .words import SHINGLE, mix
 
 #: Sizes up to which a band uses one-deletion neighbourhoods.
 SMALL = 32
@@ -113,13 +113,12 @@ def classes(scratch: Scratch, docs: DataFrame, key: str, text: str, percent: int
     cells = spark.sparkContext.broadcast(frequent_cells(described))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, seen = Gatherer(), set()
+        found, seen, table = Gatherer(), set(), frequency_table(*cells.value)
         for batch in batches:
-            for _, _, _, members in each_set(batch, width=width):
-                node = set_id(members)
+            for _, node, members in each_set(batch, width=width):
                 if node and node not in seen:
                     seen.add(node)
-                    found.add(signatures_of(members, percent, frequency(members, *cells.value)), node)
+                    found.add(signatures_of(members, percent, frequency(members, table)), node)
                     if found.full():
                         yield from found.rows()
                         seen.clear()

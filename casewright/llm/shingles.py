@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, sized
-from .words import SHINGLE, distinct, set_id, shingles_of, signed, slices, words_of
+from .words import SHINGLE, mix, shingles_of, signed, slices, words_of
 
 #: Bits of the parity bitmap of a set.
 BITS = 1024
@@ -24,22 +24,56 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """Bitmap of ``BITS`` bits as longs, with a bit for each cell that an odd number of members fall in.
+def parities(members: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of longs for each set: ``BITS`` bits, one for each cell that an odd number of members fall in.
 
     Two sets differ in at least as many members as their bitmaps differ in bits.
     """
-    odd = (np.bincount((members & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
-
-
-def each_set(batch: pa.RecordBatch, column: str = "text", width: int = SHINGLE) -> Iterator[tuple[pa.RecordBatch, int, int, np.ndarray]]:
-    """(slice, row, words, sorted shingle set) of each text of a batch."""
+    cell = np.repeat(np.arange(len(sizes)) * BITS, sizes) + (members & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=len(sizes) * BITS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sizes), BITS // 64)
+
+
+def sets_of(part: pa.RecordBatch, column: str = "text", width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, members of all sets in order, offsets) of a slice."""
+    words = words_of(part.column(column))
+    rows, counts = part.num_rows, np.diff(words.first)
+    row = np.repeat(np.arange(rows), counts)
+    found, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if len(words.hash) >= width:
+        found = shingles_of(words.hash, width)
+        own = row[: len(found)]
+        whole = np.arange(len(found)) + width <= words.first[own + 1]
+        found, own = found[whole], own[whole]
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if len(short):
+        single = [shingles_of(words.hash[words.first[i]: words.first[i + 1]], width) for i in short]
+        found, own = np.concatenate([found, *single]), np.concatenate([own, short])
+    order = np.lexsort((found, own))
+    found, own = found[order], own[order]
+    fresh = np.ones(len(found), bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (own[1:] != own[:-1])
+    found, own = found[fresh], own[fresh]
+    return counts, found, np.searchsorted(own, np.arange(rows + 1))
+
+
+def set_ids(members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit id of each set, its size included; 0 only for empty sets."""
+    sizes, out = np.diff(offsets), np.zeros(len(offsets) - 1, np.uint64)
+    filled = sizes > 0
+    if filled.any():
+        total = np.add.reduceat(mix(members ^ np.uint64(0xA5A5A5A55A5A5A5A)), offsets[:-1][filled])
+        out[filled] = mix(total + sizes[filled].astype(np.uint64)) | np.uint64(1)
+    return out
+
+
+def each_set(batch: pa.RecordBatch, column: str = "text", width: int = SHINGLE) -> Iterator[tuple[int, np.uint64, np.ndarray]]:
+    """(words, node, sorted members) of each text of a batch."""
     for part in slices(batch, column):
-        words = words_of(part.column(column))
+        counts, members, offsets = sets_of(part, column, width)
+        nodes = set_ids(members, offsets)
         for i in range(part.num_rows):
-            own = words.hash[words.first[i]: words.first[i + 1]]
-            yield part, i, len(own), distinct(shingles_of(own, width))
+            yield counts[i], nodes[i], members[offsets[i]: offsets[i + 1]]
 
 
 def describe(
@@ -60,21 +94,20 @@ def describe(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
         for batch in batches:
-            counts, sizes, nodes, bits = [], [], [], []
-            for _, _, n, members in each_set(batch, width=width):
-                if n < least:
-                    members = members[:0]
-                counts.append(n)
-                sizes.append(len(members))
-                nodes.append(set_id(members))
-                bits.append(parity(members))
+            for part in slices(batch, "text"):
+                counts, members, offsets = sets_of(part, width=width)
+                sizes = np.diff(offsets)
+                if least > 1:
+                    members = members[np.repeat(counts >= least, sizes)]
+                    sizes = np.where(counts >= least, sizes, 0)
+                    offsets = np.concatenate([[0], np.cumsum(sizes)])
                 np.add.at(cells, _cell(members), 1)
-            n = batch.num_rows
-            yield pa.record_batch([
-                *(batch.column(k) for k in keys), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(signed(np.array(nodes, np.uint64))), pa.array(bits, pa.list_(pa.int64())), pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.int64()),
-            ], schema=schema)
+                n, flat = part.num_rows, parities(members, sizes)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
+                yield pa.record_batch([
+                    *(part.column(k) for k in keys), pa.array(counts), pa.array(sizes), pa.array(signed(set_ids(members, offsets))), bits,
+                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                ], schema=schema)
         at = np.flatnonzero(cells >= hot)
         if len(at):
             none = [pa.nulls(len(at), f.type) for f in schema][:-2]
@@ -96,13 +129,16 @@ def frequent_cells(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return cell[order].astype(np.int64), freq[order].astype(np.int64)
 
 
-def frequency(members: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Estimated number of texts with each member; 0 for rare ones."""
-    if not len(cells):
-        return np.zeros(len(members), np.int64)
-    cell = _cell(members)
-    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
-    return np.where(cells[at] == cell, counts[at], 0)
+def frequency_table(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Estimated number of texts for each cell; 0 for rare ones."""
+    table = np.zeros(CELLS, np.uint32)
+    table[cells] = np.minimum(counts, np.iinfo(np.uint32).max)
+    return table
+
+
+def frequency(members: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Estimated number of texts with each member."""
+    return table[_cell(members)].astype(np.int64)
 
 
 def nodes_of(described: DataFrame) -> DataFrame:
@@ -121,8 +157,8 @@ def members_of(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> Dat
         seen: set[int] = set()
         for batch in batches:
             nodes, sets, size = [], [], 0
-            for _, _, _, members in each_set(batch, width=width):
-                node = int(set_id(members).view(np.int64))
+            for _, name, members in each_set(batch, width=width):
+                node = int(name.view(np.int64))
                 if node and node not in seen:
                     seen.add(node)
                     nodes.append(node)

@@ -126,24 +126,6 @@ def shingles_of(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return mix(total)
 
 
-def distinct(values: np.ndarray) -> np.ndarray:
-    """Sorted distinct values."""
-    if len(values) < 2:
-        return values
-    values = np.sort(values)
-    keep = np.ones(len(values), bool)
-    keep[1:] = values[1:] != values[:-1]
-    return values[keep]
-
-
-def set_id(members: np.ndarray) -> np.uint64:
-    """Hash of a set of hashes, its size included; 0 only for the empty set."""
-    if not len(members):
-        return np.uint64(0)
-    total = np.add.reduce(mix(members ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-    return mix(np.array([total + np.uint64(len(members))], np.uint64))[0] | np.uint64(1)
-
-
 def signed(values: np.ndarray) -> np.ndarray:
     """The same bits as Spark longs."""
     return np.asarray(values, np.uint64).view(np.int64)
