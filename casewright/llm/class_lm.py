@@ -35,6 +35,8 @@ COMMON_SHARE = 5e-7
 #: Groups of rare words by their last bytes.
 ENDINGS = 4096
 ROUNDS = 8
+#: One in so many of the proposed moves, by gain, is tried.
+SHARES = (1, 4, 16)
 #: Words and pairs that a task counts before it sends them on.
 GATHER = 2_000_000
 ADDED = 0.1
@@ -207,23 +209,23 @@ def likelihood(table: np.ndarray) -> float:
     return float(_log(table).sum() - _log(table.sum(axis=1)).sum() - _log(table.sum(axis=0)).sum())
 
 
-def _class_table(pairs: DataFrame, classes, size: int) -> np.ndarray:
-    """Class bigram counts; every task sends one row of numbers a class pair."""
+def _class_tables(pairs: DataFrame, choices: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """Class bigram counts under each choice of classes, in one pass; a task sends a row a class pair."""
+    shared = pairs.sparkSession.sparkContext.broadcast(choices)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, np.int64)
+        totals = np.zeros((len(shared.value), size * size))
         for batch in batches:
-            c = classes.value
-            cell = c[batch.column("a").to_numpy()] * size + c[batch.column("b").to_numpy()]
-            total += np.bincount(cell, batch.column("n").to_numpy(), size * size).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+            a, b, n = (batch.column(c).to_numpy() for c in ("a", "b", "n"))
+            for total, c in zip(totals, shared.value, strict=True):
+                total += np.bincount(c[a] * size + c[b], n, size * size)
+        at = np.flatnonzero(totals)
+        yield pa.record_batch([pa.array(at), pa.array(totals.ravel()[at].astype(np.int64))], names=["cell", "n"])
 
-    rows = pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(size * size)
-    for cell, n in rows:
-        table[cell] = n
-    return table.reshape(size, size)
+    rows = pairs.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    tables = np.zeros(len(choices) * size * size)
+    tables[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return list(tables.reshape(len(choices), size, size))
 
 
 def _moves(edges: DataFrame, classes, table, size: int, turn: int) -> DataFrame:
@@ -259,8 +261,9 @@ def _moves(edges: DataFrame, classes, table, size: int, turn: int) -> DataFrame:
 def cluster(scratch: Scratch, pairs: DataFrame, start: np.ndarray, size: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of units after exchange rounds, and the class bigrams.
 
-    In a round every second unit may move to its best class, all at once; if the likelihood would
-    fall, only the quarter of the moves with the largest gains is tried, and so on.
+    In a round every second unit may move to its best class. Moves made at once can work against each
+    other, so all of them and the parts with the largest gains (``SHARES``) are tried in one pass; the
+    best is taken if the likelihood grows.
     """
     spark = scratch.spark
     after = pairs.select(F.col("a").alias("unit"), F.col("b").alias("other"), "n", F.lit(True).alias("after"))
@@ -268,26 +271,24 @@ def cluster(scratch: Scratch, pairs: DataFrame, start: np.ndarray, size: int, ro
     # A list has at most two entries for each unit, of which there are a bounded number.
     edges = after.union(before).groupBy("unit").agg(F.collect_list(F.struct("other", "n", "after")).alias("edges"))
     edges = scratch.stage(edges, "edges")
-    classes, table = start, None
+    classes, table = start, _class_tables(pairs, [start], size)[0]
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(classes)
-        if table is None:
-            table = _class_table(pairs, shared, size)
-        found = _moves(edges, shared, spark.sparkContext.broadcast(table), size, turn).toArrow()  # at most a row per unit
+        moves = _moves(edges, spark.sparkContext.broadcast(classes), spark.sparkContext.broadcast(table), size, turn)
+        found = moves.toArrow()  # at most a row per unit
         unit, to, gain = (found.column(c).to_numpy() for c in ("unit", "to", "gain"))
         if not len(unit):
             continue
         order = np.argsort(-gain, kind="stable")
-        share = len(order)
-        while share:
-            tried = classes.copy()
-            tried[unit[order[:share]]] = to[order[:share]]
-            new = _class_table(pairs, spark.sparkContext.broadcast(tried), size)
-            if likelihood(new) > likelihood(table):
-                classes, table = tried, new
-                break
-            share //= 4
-    return classes, table if table is not None else _class_table(pairs, spark.sparkContext.broadcast(classes), size)
+        tried = []
+        for share in SHARES:
+            some = order[: -(-len(order) // share)]
+            tried.append(classes.copy())
+            tried[-1][unit[some]] = to[some]
+        tables = _class_tables(pairs, tried, size)
+        best = max(range(len(tried)), key=lambda i: likelihood(tables[i]))
+        if likelihood(tables[best]) > likelihood(table):
+            classes, table = tried[best], tables[best]
+    return classes, table
 
 
 def fit(scratch: Scratch, docs: DataFrame, words: DataFrame, size: int = CLASSES, rounds: int = ROUNDS) -> Model:
