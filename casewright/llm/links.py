@@ -25,6 +25,8 @@ GATHER = 1_000_000
 #: Nodes of a signature that a task sends on as they are; of more, only the least meets other tasks'.
 PLAIN = 8
 SIGNATURES = "sig long, node long"
+#: Bits of a signature that mark local rows, and a node that stands for local rows in the signature's partition.
+LOCAL, HEAD = np.uint64(1), np.uint64(2)
 _ARROW = pa.schema([("sig", pa.int64()), ("node", pa.int64())])
 _MET = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
@@ -34,7 +36,7 @@ class Gatherer:
 
     Where more than ``PLAIN`` nodes share a signature here, the least goes on to be compared with
     other tasks, and all of them also go out as local rows, dealt by signature and node, so that
-    they spread. The lowest bit of a signature marks local rows.
+    they spread. The lowest bit of a signature marks local rows, the next one such least nodes.
     """
 
     def __init__(self) -> None:
@@ -54,7 +56,7 @@ class Gatherer:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.n:
             return
-        sig = np.concatenate(self.sigs) & ~np.uint64(1)
+        sig = np.concatenate(self.sigs) & ~(LOCAL | HEAD)
         node = signed(np.concatenate(self.nodes))
         self.__init__()
         order = np.argsort(sig, kind="stable")
@@ -64,8 +66,8 @@ class Gatherer:
         if large.any():
             s, v = sig[order[large]], node[order[large]]
             head = np.flatnonzero(np.concatenate([[True], np.diff(s) != 0]))
-            yield from _batches(s[head], np.minimum.reduceat(v, head))
-            yield from _batches(s | np.uint64(1), v)
+            yield from _batches(s[head] | HEAD, np.minimum.reduceat(v, head))
+            yield from _batches(s | LOCAL, v)
         # In the order of nodes, so that a node's rows lie together and pack well.
         plain = np.sort(order[~large])
         yield from _batches(sig[plain], node[plain])
@@ -80,9 +82,9 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sigs, nodes = [], []
     for batch in batches:
         sig, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
-        local = (sig & 1).astype(bool)
+        local = (sig & int(LOCAL)).astype(bool)
         if local.any():
-            yield from _met(sig[local] ^ 1, node[local], None)
+            yield from _met(sig[local] ^ int(LOCAL), node[local], None)
             sig, node = sig[~local], node[~local]
         sigs.append(sig)
         nodes.append(node)
@@ -90,6 +92,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     del sigs, nodes
+    # The nodes here are not all that have a headed signature; its other nodes are in local rows.
+    marked = (sig & int(HEAD)).astype(bool)
+    headed = np.unique(sig[marked] ^ int(HEAD))
+    sig[marked] ^= int(HEAD)
+    del marked
     # Signatures that one node has are left out before the pairs of sorting keys are made.
     order = np.argsort(sig, kind="stable")
     sig, node = sig[order], node[order]
@@ -104,15 +111,15 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, node = sig[fresh], node[fresh]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(start, len(sig)))
-    two = start[size == 2]
+    whole = ~np.isin(sig[start], headed)
+    two = start[whole & (size == 2)]
     pairs = np.unique(np.stack([node[two], node[two + 1]], axis=1), axis=0) if len(two) else np.zeros((0, 2), np.int64)
     yield from _met(None, pairs[:, 0], pairs[:, 1])
-    # Of signatures with the same nodes, one is enough.
-    many = size > 2
-    if many.any():
+    # Of signatures with the same nodes, one is enough; headed ones differ in their local rows.
+    many, keep = whole & (size > 2), ~whole
+    if many.any() or keep.any():
         name = np.add.reduceat(mix(node.view(np.uint64)), start)[many]
         _, first = np.unique(name, return_index=True)
-        keep = np.zeros(len(start), bool)
         keep[np.flatnonzero(many)[first]] = True
         keep = np.repeat(keep, size)
         yield from _met(sig[keep], node[keep], None)
@@ -129,7 +136,8 @@ def _met(sig: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterato
 
 def meetings(signatures: DataFrame) -> DataFrame:
     """Signatures that several nodes have: a pair (a, b) of two, or rows (sig, a) of more."""
-    place = F.when(F.col("sig").bitwiseAND(F.lit(1)) == 1, F.xxhash64("sig", "node")).otherwise(F.col("sig"))
+    local = F.col("sig").bitwiseAND(F.lit(int(LOCAL))) != 0
+    place = F.when(local, F.xxhash64("sig", "node")).otherwise(F.col("sig").bitwiseAND(F.lit(~int(HEAD))))
     return signatures.repartition(place).mapInArrow(_meetings, "sig long, a long, b long")
 
 

@@ -1,10 +1,14 @@
 """Joins and near duplicates against brute force, on awkward rows."""
 
+import random
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casewright.llm.jaccard_join import _limit, first_of_groups, ngram_jaccard_join, schemes_of, signatures_of
 from casewright.llm.line_dedup import line_repeats
-from casewright.llm.links import components
+from casewright.llm.links import PLAIN, SIGNATURES, Gatherer, components, linked
 from casewright.llm.paragraph_dedup import paragraph_repeats, tune, without_repeats
 from casewright.llm.scratch import Scratch
 from casewright.llm.words import mix
@@ -67,6 +71,60 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
+class Known:
+    """A check that knows the links."""
+
+    def __init__(self, spark, nodes, links):
+        self.nodes = spark.createDataFrame([(n, 0) for n in nodes], "node long, tk long")
+        self.links = spark.createDataFrame(links, "a long, b long")
+
+    def near(self, left, right):
+        return F.lit(True)
+
+    def likely(self, pairs):
+        return pairs
+
+    def linked(self, likely):
+        return likely.join(self.links, ["a", "b"])
+
+
+def links_of(spark, flushes, links):
+    """Labels of (node -> signatures) of each flush, with these links."""
+    rows = []
+    for flush in flushes:
+        found = Gatherer()
+        for node, sigs in flush.items():
+            found.add(np.array(sigs, np.uint64) << np.uint64(8), np.uint64(node))
+        rows += [tuple(r.values()) for batch in found.rows() for r in batch.to_pylist()]
+    nodes = {n for flush in flushes for n in flush}
+    with Scratch(spark, "test") as scratch:
+        return dict(linked(scratch, spark.createDataFrame(rows, SIGNATURES), Known(spark, nodes, links)).collect())
+
+
+def test_a_node_meets_the_companions_of_a_head(spark):
+    crowd = {n: [1] for n in range(1, PLAIN + 3)}
+    assert links_of(spark, [crowd, {20: [1]}], [(7, 20)]) == {7: 7, 20: 7}
+    # Two signatures with the same head and the same other nodes, but different companions.
+    flushes = [{1: [1, 2], **{n: [1] for n in range(2, 12)}, **{n: [2] for n in range(30, 40)}}, {20: [1, 2], 21: [1, 2]}]
+    assert links_of(spark, flushes, [(5, 20), (21, 35)]) == {5: 5, 20: 5, 21: 21, 35: 21}
+
+
+def test_no_link_of_a_shared_signature_is_lost(spark):
+    rng = random.Random(4)
+    flushes = [{rng.randrange(1, 90): [s for s in range(1, 9) if rng.random() < 0.25] for _ in range(60)} for _ in range(3)]
+    sigs = {}
+    for flush in flushes:
+        for node, own in flush.items():
+            sigs.setdefault(node, set()).update(own)
+    pairs = [(a, b) for a in sorted(sigs) for b in sorted(sigs) if a < b and sigs[a] & sigs[b]]
+    links = rng.sample(pairs, 25)
+    want = {n: n for link in links for n in link}
+    for _ in links:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert links_of(spark, flushes, links) == want
+
+
 def test_paragraphs_against_brute_force(awkward):
     found = paragraph_repeats(awkward)
     sets = {}
