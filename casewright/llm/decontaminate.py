@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
 Every benchmark item has a fingerprint: the signs of its shingles' summed hash bits. A window of as
-many words as an item slides over each document; windows of which too few shingles occur in any
-item cannot reach the threshold and get no fingerprint. Fingerprints are cut into blocks, and each
+many words as an item slides over each document (a document of fewer words is one window); windows
+of which too few shingles occur in any item cannot reach the threshold and get no fingerprint. Fingerprints are cut into blocks, and each
 block is looked up with all values within one bit, so no item within ``RADIUS`` is missed. Those
 items are compared by the weighted Jaccard similarity of their shingles (min over max of counts).
 """
@@ -105,11 +105,13 @@ def search(shingles: np.ndarray, hits: np.ndarray, n_words: int, items: Items, p
     best: dict[int, tuple[float, int, int]] = {}
     total = np.concatenate([[0], np.cumsum(hits)])
     for length, (group, prints) in items.by_length.items():
-        size = length - width + 1
-        if n_words < length or not group:
+        # A document of fewer words than the items is one window.
+        span = min(length, n_words)
+        size, full = span - width + 1, length - width + 1
+        if size <= 0 or 100 * size < percent * full or not group:
             continue
-        # Windows and items of this length have equally many shingles, of which these must be common.
-        need = -(-2 * percent * size // (100 + percent))
+        # Of the shingles of a window and an item of this length, these must be common.
+        need = -(-percent * (size + full) // (100 + percent))
         starts = np.flatnonzero(total[size:] - total[:-size] >= need)
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
             for i in range(0, len(part), 5000):
@@ -123,7 +125,7 @@ def search(shingles: np.ndarray, hits: np.ndarray, n_words: int, items: Items, p
                     start = int(some[w])
                     value = weighted_similarity(shingles[start: start + size], group[k])
                     if 100 * value >= percent - 1e-9 and value > best.get(group[k].item_id, (0.0,))[0]:
-                        best[group[k].item_id] = (value, start, length)
+                        best[group[k].item_id] = (value, start, span)
     return best
 
 
@@ -180,8 +182,8 @@ def leaks(
 ) -> DataFrame:
     """Passages of benchmark items in documents: key, item, similarity, first_word, n_words, tk.
 
-    One row for each document and item with the best window (the earliest of equal ones). Items of
-    fewer than ``width`` words must occur exactly. A-Z count as a-z. Null and blank texts hold
+    One row for each document and item with the best window (the earliest of equal ones); a document
+    of fewer words than an item is one window. Items of fewer than ``width`` words must occur exactly. A-Z count as a-z. Null and blank texts hold
     nothing, items without an id or words are left out, and a repeated item id counts as one item
     with the best of its windows. ``tk`` is a hash of the text that tells rows with equal or null
     keys apart; equal rows give equal rows. An empty table on either side gives an empty result.

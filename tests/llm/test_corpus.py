@@ -158,6 +158,21 @@ def test_leaks_against_brute_force(spark, prose, awkward):
     assert decontaminate.leaks(awkward, benchmark).columns == found.columns
 
 
+def test_a_truncated_item_is_a_leak(spark, prose):
+    item = prose(43, 59).split()
+    docs = {1: " ".join(item[:58]), 2: " ".join(item[4:]), 3: " ".join(item[:46]), 4: " ".join(item[:45]), 5: "x " + " ".join(item[:50]), 6: " ".join(item[:3])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = decontaminate.leaks(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    want = {}
+    for d, text in docs.items():
+        have, whole = set(brute.runs(text)), set(brute.runs(" ".join(item)))
+        if 100 * len(have & whole) >= 75 * len(have | whole):
+            want[d] = (round(len(have & whole) / len(have | whole), 9), 0, len(brute.words(text)))
+    assert {r.doc_id: (round(r.similarity, 9), r.first_word, r.n_words) for r in found.collect()} == want
+    assert set(want) == {1, 2, 3, 5} and want[1][0] == round(54 / 55, 9)
+    assert [r.doc_id for r in decontaminate.without_leaks(df, found).orderBy("doc_id").collect()] == [4, 6]
+
+
 def test_fingerprint_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 256, decontaminate.BITS // 8).astype(np.uint8)
