@@ -15,6 +15,7 @@ from .embedding_dedup import near_duplicates
 from .html_text import extract_pages
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
+from .lexical_search import ranked_search
 from .line_dedup import line_repeats
 from .paragraph_dedup import paragraph_repeats
 from .token_files import read_documents, write_token_files
@@ -134,6 +135,31 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
 
 
+OP13 = """
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+sized AS (SELECT row_number() OVER () AS d, doc_id, terms, len(terms)::BIGINT AS n FROM words WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sized),
+counts AS (SELECT d, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, totals GROUP BY term, n_docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+scored AS (SELECT item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), totals GROUP BY item_id, d, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 documents that match every benchmark item best."""
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = OP13.strip()
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Token digest of the corpus after all stages of the pipeline."""
