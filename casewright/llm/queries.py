@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, stage
 from .class_lm import score
+from .conversation_trie import conversation_trie
 from .curriculum import mixing_table
 from .decontaminate import leaks
 from .embedding_dedup import near_duplicates
@@ -135,6 +136,38 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
 
 
+OP12 = """
+WITH turns AS (SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv, conv - conv % 20 AS head, count(*) AS own, xor(4294967295, list_reduce(list_transform(string_split(conv::VARCHAR, ''),
+    lambda s: ascii(s)::BIGINT), lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295)) % 4 AS h
+  FROM turns GROUP BY conv),
+rebuilt AS (SELECT c.conv, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv = c.head AND t.place <= c.h
+  UNION ALL SELECT c.conv, t.place - c.h + least(c.h, coalesce(f.own, 0)), t.role, t.text FROM convs c JOIN turns t ON t.conv = c.conv AND t.place > c.h
+    LEFT JOIN convs f ON f.conv = c.head),
+prefixes AS (SELECT conv, place AS depth, list(md5(role) || md5(text)) OVER (PARTITION BY conv ORDER BY place) AS path,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words FROM rebuilt
+  UNION ALL SELECT conv, 0, [], 0 FROM convs),
+members AS (SELECT *, min(conv) OVER (PARTITION BY path) AS node, max(depth) OVER (PARTITION BY conv) AS last FROM prefixes),
+nodes AS (SELECT node, depth, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved,
+    sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (depth = last), '')) AS ends_sha256 FROM members GROUP BY node, depth),
+parents AS (SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN members m ON m.conv = n.node AND m.depth = n.depth - 1),
+kids AS (SELECT p.node, p.depth, count(c.node) AS n_children FROM nodes p LEFT JOIN parents c ON c.parent = p.node AND c.depth = p.depth + 1 GROUP BY ALL),
+totals AS (SELECT m.node, m.depth, count(*) FILTER (k.n_children = 0) AS n_leaves, sum(n.saved) AS saved_tokens
+  FROM nodes n JOIN kids k ON k.node = n.node AND k.depth = n.depth JOIN members m ON m.conv = n.node AND m.depth <= n.depth GROUP BY ALL)
+SELECT n.node AS conv_id, n.depth, n.parent AS parent_conv_id, n.n_convs, k.n_children, t.n_leaves, t.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM parents n JOIN kids k ON k.node = n.node AND k.depth = n.depth JOIN totals t ON t.node = n.node AND t.depth = n.depth"""
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations with its members, children and subtree totals."""
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op12_conversation_trie"] = OP12.strip()
+
+
 OP13 = """
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
