@@ -17,6 +17,7 @@ from .html_text import extract_pages
 from .importance import importance_sample
 from .jaccard_join import ngram_jaccard_join
 from .lexical_search import ranked_search
+from .licenses import license_digest, license_spans
 from .line_dedup import line_repeats
 from .paragraph_dedup import paragraph_repeats
 from .token_files import read_documents, write_token_files
@@ -136,6 +137,12 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and templates found in every document."""
+    return license_digest(license_spans(table(spark, folder, "documents")))
+
+
 OP12 = """
 WITH turns AS (SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL),
