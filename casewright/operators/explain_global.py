@@ -93,7 +93,11 @@ def permutation_importance(
     })
     hit = ((F.col(SCORE) > 0.5).cast("int") == F.col(label)).cast("int")
     accuracy = scorer(moved).groupBy("_i", "repeat").agg(F.avg(hit).alias("_acc"))
-    base = scorer(slim).agg(F.avg(hit))
+    return accuracy_drops(accuracy, scorer(slim).agg(F.avg(hit)), features)
+
+
+def accuracy_drops(accuracy: DataFrame, base: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Importances from (_i, repeat, _acc) of every feature number from 1 and the accuracy of the rows as they are."""
     names = F.array(*[F.lit(f) for f in features])
     drops = accuracy.select(F.element_at(names, F.col("_i")).alias("feature"), "repeat", (base.scalar() - F.col("_acc")).alias("drop"))
     return drops.groupBy("feature").agg(
@@ -145,7 +149,11 @@ def ale(
     steps = scorer(ends).groupBy(F.col("_f").alias("feature"), F.col("_bin").alias("bin")).agg(
         (F.count("*") / 2).alias("_n"), (F.sum(F.col(SCORE) * sign) / (F.count("*") / 2)).alias("_step")
     )
-    # From here on there is one row per edge.
+    return ale_curves(edges, steps, targets)
+
+
+def ale_curves(edges: DataFrame, steps: DataFrame, targets: tuple[str, str]) -> DataFrame:
+    """Centred curves from (feature, edges) and (feature, bin, _n, _step): one row per edge and target."""
     grid = edges.where(F.size("edges") > 1).select("feature", F.posexplode("edges").alias("bin", "edge"))
     joined = grid.join(steps, ["feature", "bin"], "left")
     upto = Window.partitionBy("feature").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
