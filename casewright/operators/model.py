@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
@@ -11,10 +13,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import quoted
+from ..functions.keyed import row_salt
+from ..session import scratch_path
 from .metrics import auc
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -77,6 +82,36 @@ def train_logit(df: DataFrame, features: Sequence[str], label: str = "encoded_la
 TRAINERS: dict[str, Callable[..., PipelineModel]] = {"boosted": train_boosted, "logit": train_logit}
 
 
+def concurrently(jobs: Sequence[Callable[[], Any]], parallel: int, spark: SparkSession) -> list[Any]:
+    """Results of jobs that run ``parallel`` at a time, each in a scheduler pool of its own."""
+    if parallel < 2 or len(jobs) < 2:
+        return [job() for job in jobs]
+    batch = uuid.uuid4().hex[:8]
+
+    def pooled(number: int) -> Any:
+        def run() -> Any:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{batch}-{number % parallel}")
+            return jobs[number]()
+        return inheritable_thread_target(spark)(run)()
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return list(pool.map(pooled, range(len(jobs))))
+
+
+def stage_partitions(df: DataFrame, by: Sequence[str], name: str = "buckets") -> DataFrame:
+    """Write ``df`` once with a folder per value of ``by`` and read it back; filters on ``by`` read their folders alone.
+
+    Rows are dealt by ``by`` and a salt of as many values as there are cores, so that folders get few
+    files and a large bucket is still written by many tasks.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    salts = max(1, int(spark.sparkContext.defaultParallelism))
+    dealt = df.withColumn("_salt", row_salt(df, salts)).repartition(*[F.col(c) for c in by], F.col("_salt")).drop("_salt")
+    dealt.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(quoted(c)) for c in df.columns])
+
+
 def bucket_facts(train: DataFrame, bucket: str = "bucket", label: str = "encoded_label") -> DataFrame:
     """(bucket, n_train, n_classes, mean_label) of the training part."""
     return train.groupBy(bucket).agg(
@@ -135,22 +170,28 @@ class BucketModels:
 
 def bucket_models(
     train: DataFrame, features: Sequence[str], method: str = "boosted", params: Mapping[Any, Mapping] | None = None,
-    default: float = 0.5, bucket: str = "bucket", label: str = "encoded_label",
+    default: float = 0.5, bucket: str = "bucket", label: str = "encoded_label", parallel: int = 1,
 ) -> BucketModels:
     """Fit one model per bucket; ``params`` maps a bucket (or None for all) to trainer arguments.
 
     A one-class bucket answers with its class, a bucket unseen in training with ``default``
-    (the class ratio). Buckets are few: one, or one per prefix length.
+    (the class ratio). Buckets are few: one, or one per prefix length. Over a table of
+    ``stage_partitions`` each fit reads the folder of its bucket alone; ``parallel`` fits run at a time.
     """
-    models, constants = {}, {}
+    constants, several = {}, []
     params = params or {}
     for r in bucket_facts(train, bucket, label).orderBy(bucket).collect():
         if r["n_classes"] < 2:
             constants[r[bucket]] = r["mean_label"]
-            continue
-        chosen = params.get(r[bucket], params.get(None, {}))
-        models[r[bucket]] = TRAINERS[method](train.where(F.col(bucket) == r[bucket]), features, label, **chosen)
-    return BucketModels(models, constants, default)
+        else:
+            several.append(r[bucket])
+
+    def fit(b: Any) -> PipelineModel:
+        chosen = params.get(b, params.get(None, {}))
+        return TRAINERS[method](train.where(F.col(bucket) == b), features, label, **chosen)
+
+    fitted = concurrently([lambda b=b: fit(b) for b in several], parallel, train.sparkSession)
+    return BucketModels(dict(zip(several, fitted)), constants, default)
 
 
 def score_cases(models: BucketModels, test: DataFrame, keys: Sequence[str] = ("prefix_id", "bucket"), label: str = "encoded_label") -> DataFrame:
