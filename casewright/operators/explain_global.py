@@ -172,9 +172,14 @@ def ale_curves(edges: DataFrame, steps: DataFrame, targets: tuple[str, str]) ->
     )
 
 
-def shap_linear(df: DataFrame, row: str, weights: Mapping[str, float], bias: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """((row, feature, value, phi), one-row base): attributions w * (x - mean) of a linear score."""
-    means = df.agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(f"_m{i}") for i, c in enumerate(weights)])
+def shap_linear(
+    df: DataFrame, row: str, weights: Mapping[str, float], bias: float = 0.0, background: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """((row, feature, value, phi), one-row base): attributions w * (x - mean) of a linear score.
+
+    Means are those of ``background``, or of ``df`` itself.
+    """
+    means = (df if background is None else background).agg(*[F.avg(F.col(quoted(c)).cast("double")).alias(f"_m{i}") for i, c in enumerate(weights)])
     at = means.first()
     base = F.lit(float(bias))
     for i, w in enumerate(weights.values()):

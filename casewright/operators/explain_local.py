@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,42 +92,78 @@ def lime_samples(
     return scorer(varied).select(row, "repeat", "same", F.col(SCORE).alias("p"))
 
 
+def _sample_sums(k: int, width: float):
+    """Weighted sums of products of (1, same, p) over each run of samples of one case and repeat, upper triangle."""
+    upper = np.triu_indices(k + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column("same").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
+            full = np.column_stack([np.ones(len(z)), z, batch.column("p").to_numpy(zero_copy_only=False)])
+            w = np.sqrt(np.exp(-(k - z.sum(axis=1)) / width**2))
+            row, repeat = batch.column("_row").dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column("repeat").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(repeat) != 0)]))
+            ends = np.append(starts[1:], len(z))
+            sums = [((full[a:b] * w[a:b, None]).T @ full[a:b])[upper] for a, b in zip(starts, ends)]
+            at = pa.array(starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(upper[0])), pa.array(np.concatenate(sums)))
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), batch.column("repeat").take(at), lists], ["_row", "repeat", "sums"])
+    return run
+
+
+def _ridge(sums: np.ndarray, columns: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(coefficients, standard errors, intercept) on some features, from the sums of products."""
+    n, last, at = sums[0, 0], len(sums) - 1, [c + 1 for c in columns]
+    mx, my = sums[0, at] / n, sums[0, last] / n
+    xx, xy = sums[np.ix_(at, at)] - n * np.outer(mx, mx), sums[at, last] - n * mx * my
+    gram = xx + np.eye(len(at))
+    beta = np.linalg.solve(gram, xy)
+    rest = max(0.0, sums[last, last] - n * my * my - 2 * beta @ xy + beta @ xx @ beta)
+    scale = rest / max(1.0, n - len(at))
+    return beta, np.sqrt(np.maximum(0.0, scale * np.diag(np.linalg.inv(gram)))), my - mx @ beta
+
+
+def _solve(names: list[str], top: int):
+    k = len(names)
+    upper = np.triu_indices(k + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for i, given in enumerate(batch.column("sums")):
+                sums = np.zeros((k + 2, k + 2))
+                sums[upper] = given.values.to_numpy()
+                sums.T[upper] = sums[upper]
+                first, _, _ = _ridge(sums, list(range(k)))
+                chosen = sorted(sorted(range(k), key=lambda j: (-abs(first[j]), names[j]))[:top])
+                beta, se, intercept = _ridge(sums, chosen)
+                for values, more in zip(out, ([i] * len(chosen), [names[j] for j in chosen], beta, se, [intercept] * len(chosen))):
+                    values.extend(more)
+            at = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row").take(at), batch.column("repeat").take(at), pa.array(out[1], pa.string()), *[pa.array(v, pa.float64()) for v in out[2:5]]],
+                ["_row", "repeat", "feature", "weight", "se", "intercept"],
+            )
+    return run
+
+
 def lime_fit(samples: DataFrame, row: str, names: Sequence[str], top: int = 6, kernel_width: float | None = None) -> DataFrame:
     """(row, repeat, feature, weight, se, intercept): weighted ridge fit of each case's samples.
 
-    A group is the fixed number of samples of one case and repeat.
+    Samples are summed to products where they are made, so one row a case and repeat is shuffled and
+    not its samples; sums of parts of a case add up. Both fits (all features, then the chosen ones) are
+    solved from the same sums.
     """
     names = list(names)
     width = kernel_width or 0.75 * np.sqrt(len(names))
-    row_type = samples.schema[row].dataType.simpleString()
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.array(pdf["same"].tolist(), dtype=float)
-        y = pdf["p"].to_numpy(dtype=float)
-        distance = np.sqrt((1.0 - z).sum(axis=1))
-        w = np.sqrt(np.exp(-(distance**2) / width**2))
-
-        def ridge(columns):
-            x = z[:, columns]
-            mx, my = np.average(x, axis=0, weights=w), np.average(y, weights=w)
-            xc, yc = x - mx, y - my
-            gram = (xc * w[:, None]).T @ xc + np.eye(len(columns))
-            beta = np.linalg.solve(gram, (xc * w[:, None]).T @ yc)
-            rest = yc - xc @ beta
-            scale = (w * rest**2).sum() / max(1.0, w.sum() - len(columns))
-            se = np.sqrt(np.maximum(0.0, scale * np.diag(np.linalg.inv(gram))))
-            return beta, se, my - mx @ beta
-
-        first, _, _ = ridge(list(range(z.shape[1])))
-        chosen = sorted(sorted(range(len(names)), key=lambda j: (-abs(first[j]), names[j]))[:top])
-        beta, se, intercept = ridge(chosen)
-        return pd.DataFrame({
-            row: [pdf[row].iloc[0]] * len(chosen), "repeat": pdf["repeat"].iloc[0], "feature": [names[j] for j in chosen],
-            "weight": beta, "se": se, "intercept": np.repeat(intercept, len(chosen)),
-        })
-
-    layout = f"`{row}` {row_type}, repeat int, feature string, weight double, se double, intercept double"
-    return samples.groupBy(row, "repeat").applyInPandas(fit, layout)
+    kind = samples.schema[row].dataType.simpleString()
+    given = samples.select(F.col(row).alias("_row"), "repeat", "same", "p")
+    parts = given.mapInArrow(_sample_sums(len(names), float(width)), f"_row {kind}, repeat int, sums array<double>")
+    whole = parts.groupBy("_row", "repeat").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    layout = f"_row {kind}, repeat int, feature string, weight double, se double, intercept double"
+    return whole.mapInArrow(_solve(names, top), layout).withColumnRenamed("_row", row)
 
 
 def lime_explain(

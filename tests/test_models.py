@@ -120,6 +120,40 @@ def test_lime_finds_the_features_and_repeats(rows):
     assert all(0 <= r["vsi"] <= 100 for r in stable)
 
 
+def test_surrogates_from_sums_equal_a_fit_over_the_samples(spark):
+    rng = np.random.default_rng(9)
+    names, k = ["a", "b", "c", "d"], 4
+    data = []
+    for case in ("x", "y", "z"):
+        for repeat in (1, 2):
+            for _ in range(150):
+                z = rng.integers(0, 2, k).astype(float)
+                data.append((case, repeat, z.tolist(), float(1 / (1 + np.exp(-(z @ [1.0, -2.0, 0.1, 0.0]) + rng.normal(scale=0.1))))))
+    samples = spark.createDataFrame(data, "id string, repeat int, same array<double>, p double")
+    # Parts of a case in several partitions add up.
+    got = {(r["id"], r["repeat"], r["feature"]): r for r in Y.lime_fit(samples.repartition(5), "id", names, top=2).collect()}
+    assert len(got) == 3 * 2 * 2
+    width = 0.75 * np.sqrt(k)
+    for case in ("x", "y", "z"):
+        for repeat in (1, 2):
+            z, y = (np.array([r[i] for r in data if r[:2] == (case, repeat)]) for i in (2, 3))
+            w = np.sqrt(np.exp(-((1 - z).sum(axis=1)) / width**2))
+
+            def ridge(columns):
+                x = z[:, columns]
+                xc, yc = x - np.average(x, axis=0, weights=w), y - np.average(y, weights=w)
+                gram = (xc * w[:, None]).T @ xc + np.eye(len(columns))
+                beta = np.linalg.solve(gram, (xc * w[:, None]).T @ yc)
+                scale = (w * (yc - xc @ beta) ** 2).sum() / max(1.0, w.sum() - len(columns))
+                return beta, np.sqrt(scale * np.diag(np.linalg.inv(gram))), np.average(y, weights=w) - np.average(x, axis=0, weights=w) @ beta
+
+            chosen = sorted(np.argsort(-np.abs(ridge([0, 1, 2, 3])[0]))[:2].tolist())
+            for j, beta, se in zip(chosen, *ridge(chosen)[:2]):
+                r = got[case, repeat, names[j]]
+                assert (r["weight"], r["se"], r["intercept"]) == pytest.approx((beta, se, ridge(chosen)[2]), abs=1e-9)
+    assert Y.lime_fit(samples.limit(0), "id", names).count() == 0
+
+
 def test_identical_repeats_are_fully_stable(spark):
     table = spark.createDataFrame([(1, k, f, 0.5, 0.1) for k in range(4) for f in "ab"], "id int, repeat int, feature string, weight double, se double")
     row = Y.lime_stability(table, "id").first()
