@@ -36,4 +36,4 @@ def stamp(column: str) -> Column:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_explain, queries_log, queries_model, queries_profile  # noqa: F401
+    from . import queries_explain, queries_log, queries_model, queries_profile, queries_trained  # noqa: F401
