@@ -161,11 +161,10 @@ def shap_trees(df: DataFrame, row: str, features: Sequence[str], model: Pipeline
     features = list(features)
     trees = read_trees(model, path)
     spark = df.sparkSession
-    given = spark.sparkContext.broadcast(trees)
     n = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attribute = Attributor(given.value, n)
+        attribute = Attributor(trees, n)
         for batch in batches:
             flat = batch.column("_v").flatten().to_numpy(zero_copy_only=False).astype(float)
             phi = attribute(flat.reshape(batch.num_rows, n))

@@ -13,6 +13,7 @@ from ..operators import model as M
 from ..operators.split import fold_numbers
 from ..session import scratch_path, stage
 from ..sources.tables import ORDERS, SESSIONS, orders_log, sessions_log
+from ..streaming.ending_cases import score_ending_cases
 from ..streaming.running_cases import score_running_cases
 from . import oracle_parts as O
 from .encoded import encoded_with_label
@@ -199,3 +200,29 @@ def score_running_cases_query(spark, d):
     score_running_cases(stream, SESSIONS, model, scorer, sink, scratch_path(spark, "progress"), "3650 days").awaitTermination()
     scores = spark.read.parquet(out)
     return scores.groupBy("case_id").agg(rounded(F.max_by("score", "batch")).alias("score"))
+
+
+@query(f"""WITH {O.SESSIONS_GAPS}, e AS (SELECT case_id, max(ts) AS last, coalesce(sum(value), 0) AS "agg__sum_value", coalesce(stddev_samp(value), 0) AS "agg__std_value",
+  count(*) FILTER (activity = 'click') AS "agg__activity_click", count(*) AS events FROM log GROUP BY case_id)
+SELECT case_id, events, last + INTERVAL 7 DAY <= (SELECT max(ts) FROM log) - INTERVAL 2 HOUR AS final, {r6(O.score_sql(RUNNING, -1.0))} AS score FROM e""", "score_ending_cases")
+def score_ending_cases_query(spark, d):
+    """Replay the sessions log in order of time; the last score of each case and whether it has ended."""
+    log = stage(sessions_log(spark, d, gaps=True).withColumn("ts", F.col("ts").cast("timestamp")), "sessions")
+    source, out = scratch_path(spark, "stream"), scratch_path(spark, "scores")
+    low, high = log.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    # Files come in the order in which they are written.
+    part = F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low))).cast("int")
+    for k in range(4):
+        log.where(part == k).coalesce(1).write.mode("append").parquet(source)
+    model = E.fit("agg", log, SESSIONS, case="case_id")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def sink(scores: DataFrame, number: int) -> None:
+        scores.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    scorer = M.closed_form(RUNNING, -1.0)
+    score_ending_cases(stream, SESSIONS, model, scorer, sink, scratch_path(spark, "progress"), "7 days", "2 hours").awaitTermination()
+    last = F.struct("final", "batch")
+    return spark.read.parquet(out).groupBy("case_id").agg(
+        F.max("events").alias("events"), F.max("final").alias("final"), rounded(F.max_by("score", last)).alias("score")
+    )
