@@ -50,7 +50,7 @@ def _item_terms(column: str, kept: list[str]):
 def _postings(vocabulary, key: str, text: str):
     """Per document with a term: key, terms ``n``, and numbers and counts of the wanted terms in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = vocabulary.value
+        wanted = Vocabulary(vocabulary.value)
         for batch in batches:
             for part in slices(batch, text):
                 found = terms_of(part.column(text))
@@ -241,14 +241,13 @@ def _one_pass(scratch: Scratch, docs: DataFrame, items: DataFrame, k: int) -> Da
     lists = rows.column("terms").combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
     hashes = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     vocabulary = Vocabulary(hashes)
-    wanted = context.broadcast(vocabulary)
+    wanted = context.broadcast(vocabulary.hashes)
     kinds = T.StructType([
         docs.schema["key"], T.StructField("n", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())),
         T.StructField("counts", T.ArrayType(T.IntegerType())),
     ])
     postings = scratch.stage(docs.mapInArrow(_postings(wanted, "key", "words"), kinds), "postings")
     n_docs, n_terms = postings.agg(F.count("*"), F.sum("n")).first()
-    scored = "number long, score long"
     kinds = T.StructType([T.StructField("number", T.LongType()), docs.schema["key"], T.StructField("score", T.LongType())])
     if not n_docs:
         found = docs.sparkSession.createDataFrame([], kinds)
