@@ -11,6 +11,7 @@ from ..functions.frames import first_non_null, quoted, spot_of, to_long
 from ..functions.keyed import hot_keys, spread_join
 from ..functions.ordering import scan_within
 from ..schema import LogSchema
+from ..session import stage
 
 
 def encode_label(log: DataFrame, schema: LogSchema, out: str = "encoded_label") -> DataFrame:
@@ -55,25 +56,40 @@ def drop_constant(df: DataFrame, columns: Sequence[str] | None = None, keep: Seq
     return df.drop(*[c for c in constant_columns(df, columns) if c not in keep])
 
 
+#: Levels and their characters up to which the code tables are sent to all tasks.
+CODES, CODE_CHARS = 1_000_000, 64 << 20
+
+
 def ordinal_codes(df: DataFrame, columns: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Each column as 0..k-1 in level order, null as -1.
 
-    Levels are ranked as a table, so their number is not limited; a level that fills a
-    large share of the rows is salted in the join.
+    Levels are ranked as a table, so their number is not limited. While all code tables together are
+    small, the log is not shuffled at all; beyond that its cells meet the levels in one salted join for
+    all columns and are put back by row.
     """
     levels = to_long(df, [], columns, "string").where(F.col("value").isNotNull()).distinct()
-    codes = scan_within(levels, ["feature"], ["value"], rank="_rank")
+    codes = scan_within(levels, ["feature"], ["value"], rank="_rank").withColumn("_code", F.col("_rank") - 1).drop("_rank")
+    n, chars = codes.agg(F.count("*"), F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()
+    if n > CODES or chars > CODE_CHARS:
+        return _joined_codes(df, columns, codes, suffix)
     coded = df
     for c in columns:
-        of_column = codes.where(F.col("feature") == c).select(
-            F.col("value").alias("_level"), (F.col("_rank") - 1).alias(f"{c}{suffix}")
-        )
-        keyed = coded.withColumn("_level", F.col(quoted(c)).cast("string"))
-        coded = spread_join(keyed, of_column, "_level", "left").drop("_level")
+        of_column = codes.where(F.col("feature") == c).select(F.col("value").alias("_level"), F.col("_code").alias(f"{c}{suffix}"))
+        coded = coded.withColumn("_level", F.col(quoted(c)).cast("string")).join(F.broadcast(of_column), "_level", "left").drop("_level")
         coded = coded.withColumn(f"{c}{suffix}", F.coalesce(F.col(quoted(f"{c}{suffix}")), F.lit(-1)))
     return coded
 
 
+def _joined_codes(df: DataFrame, columns: Sequence[str], codes: DataFrame, suffix: str) -> DataFrame:
+    """Codes by one join of all cells; a level that fills a large share of them is salted."""
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    key = F.concat_ws("\x00", "feature", "value")
+    cells = to_long(rows, ["_row"], columns, "string").where(F.col("value").isNotNull()).select("_row", "feature", key.alias("_cell"))
+    found = spread_join(cells, codes.select(key.alias("_cell"), "_code"), "_cell")
+    by_row = found.groupBy("_row").agg(*[F.max(F.when(F.col("feature") == c, F.col("_code"))).alias(f"{c}{suffix}") for c in columns])
+    return rows.join(by_row, "_row", "left").drop("_row").fillna(-1, subset=[f"{c}{suffix}" for c in columns])
+
+
 def filter_cases(log: DataFrame, schema: LogSchema, cases: DataFrame, keep: bool = True) -> DataFrame:
     """Events of the given cases (or of all others)."""
     hot = hot_keys(log, schema.case)

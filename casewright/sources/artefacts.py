@@ -15,22 +15,32 @@ from ..operators.associate import pearson_matrix
 SET_KEYS = ("dataset", "method", "prefix_length", "set")
 
 
+def write_parts(rows: DataFrame, path: str, by: Sequence[str], mode: str = "append") -> None:
+    """Write ``rows`` with a folder per value of ``by``.
+
+    Mode ``replace`` replaces the folders that rows belong to and leaves others as they are, so a run
+    can be repeated; ``append`` and ``overwrite`` are those of Spark.
+    """
+    writer = rows.write.mode("overwrite" if mode == "replace" else mode).partitionBy(*by)
+    writer.option("partitionOverwriteMode", "dynamic" if mode == "replace" else "static").parquet(path)
+
+
 def write_encoded(encoded: DataFrame, path: str, mode: str = "append") -> None:
     """Encoded rows with ``SET_KEYS`` columns, one folder per set."""
-    encoded.write.mode(mode).partitionBy(*SET_KEYS).parquet(path)
+    write_parts(encoded, path, SET_KEYS, mode)
 
 
-def write_catalogue(rows: DataFrame, path: str) -> None:
-    """Append catalogue rows; one per encoded set, so a single file each time."""
-    rows.coalesce(1).write.mode("append").parquet(path)
+def write_catalogue(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Catalogue rows, one per encoded set, so a single file each time; ``replace`` keeps them by log and method."""
+    write_parts(rows.coalesce(1), path, ("dataset", "method") if mode == "replace" else (), mode)
 
 
-def write_metrics(frames: Sequence[DataFrame], path: str) -> None:
-    """Append long metric rows of several frames in one job."""
+def write_metrics(frames: Sequence[DataFrame], path: str, run: str = "run1", mode: str = "append") -> None:
+    """Long metric rows of several frames in one job, kept by run."""
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.unionByName(f, allowMissingColumns=True)
-    rows.write.mode("append").parquet(path)
+    write_parts(rows.withColumn("run", F.lit(run)), path, ("run",), mode)
 
 
 def write_matrix(df: DataFrame, path: str, mode: str = "overwrite") -> None:
