@@ -9,8 +9,9 @@ from ..functions.frames import quoted
 from ..operators import associate as C
 from ..operators import binning as N
 from ..operators import profile as L
+from ..operators import sketches
 from ..operators.prepare import encode_label
-from ..session import stage
+from ..session import scratch_path, stage
 from ..sources.tables import LINES, ORDERS, SESSIONS, lines_log, orders_log, sessions_log
 from . import oracle_parts as O
 from .encoded import encoded_with_label
@@ -432,3 +433,14 @@ def iqr_rows(spark, d):
 SELECT bin, {r6('bin * 5000.0')} AS edge, count(*) AS n FROM (SELECT least(CAST(floor(extendedprice / 5000.0::DOUBLE) AS BIGINT), 18) AS bin FROM log WHERE extendedprice >= 0 AND extendedprice <= 95000) GROUP BY bin""")
 def histogram_bins(spark, d):
     return rounded_columns(N.histogram_bins(lines_log(spark, d), "extendedprice", 1000.0, 92000.0, 5000.0), "edge")
+
+
+@query(f"""WITH {O.SESSIONS_GAPS}, c AS (SELECT 'value' AS feature, count(*) AS n, count(*) - count(value) AS missing, min(value) AS least, max(value) AS most FROM log
+UNION ALL SELECT 'activity', count(*), count(*) - count(activity), NULL, NULL FROM log UNION ALL SELECT 'resource', count(*), count(*) - count(resource), NULL, NULL FROM log)
+SELECT feature, n, missing, {r6('least')} AS least, {r6('most')} AS most FROM c""")
+def profile_sketches(spark, d):
+    """What daily sketches of the sessions log add up to exactly; tests hold distinct counts and quantiles to their error."""
+    log, path = sessions_log(spark, d, gaps=True), scratch_path(spark, "sketches")
+    sketches.update_profile(log, path, "ts", ["activity", "resource"], ["value"])
+    found = sketches.merged_profile(spark, path).select("feature", "n", "missing", "least", "most")
+    return rounded_columns(found, "least", "most")
