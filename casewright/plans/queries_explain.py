@@ -12,6 +12,7 @@ from ..operators import compare as X
 from ..operators import explain_global as G
 from ..operators import explain_local as Y
 from ..operators import model as M
+from ..operators import overlay as V
 from ..operators.split import every_nth_case
 from ..session import scratch_path, stage
 from . import oracle_parts as O
@@ -216,6 +217,64 @@ def shap_dependence(spark, d):
     return rounded_columns(G.shap_dependence(train_phi(spark, d)[0], "prefix_id", top=2).withColumn("value", rounded("value")), "phi", digits=9)
 
 
+# --- all features ------------------------------------------------------------------------
+
+# A closed form over every feature of the encoded set, so that SQL can follow it.
+EVERY = {f: -0.0001 if f.startswith("static") else 0.000001 * (i - 3) for i, f in enumerate(O.NUMERIC)}
+EVERY |= {f: 0.1 * (i % 3 - 1) + 0.05 for i, f in enumerate(O.COUNTS)}
+EVERY |= {f: 0.05 * (i % 7 - 3) + 0.02 for i, f in enumerate(O.DUMMIES)}
+EVERY_BIAS = -1.0
+EVERY_SCORER = V.linear_scorer(list(EVERY), list(EVERY.values()), EVERY_BIAS)
+
+
+@query(f"""WITH {O.ENCODED_SET}, {permutation_sql("training", EVERY, EVERY_BIAS)}
+SELECT feature, {r6('avg(drop_)')} AS mean, {r6('stddev_pop(drop_)')} AS std, string_agg(CAST(CAST(round(drop_ * 1e6) AS BIGINT) AS VARCHAR), ',' ORDER BY r) AS importances FROM perm GROUP BY feature""")
+def permutation_importance_all(spark, d):
+    """Permutation importance of all features, over patched vectors."""
+    rows = staged_orders(spark, d).rows.where(F.col("set") == "training")
+    return flat_importances(V.permutation_importance(rows, "prefix_id", EVERY_SCORER))
+
+
+@query(f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, {ale_sql(EVERY, EVERY_BIAS)}
+SELECT feature, target, bin, {r6('edge', 3)} AS edge, {r6('ale', 5)} AS ale, {r6('ale0', 5)} AS ale0 FROM ale""")
+def ale_all(spark, d):
+    """Accumulated local effects of all features, over patched vectors."""
+    rows = staged_orders(spark, d).rows.where(F.col("set") == "training")
+    return rounded_columns(rounded_columns(V.ale(rows, EVERY_SCORER), "ale", "ale0", digits=5), "edge", digits=3)
+
+
+TEST_PHI = f"""WITH {O.ENCODED_SET}, {TRAIN_SRC}, tst AS (SELECT * FROM enc WHERE part = 'testing'),
+means AS (SELECT {', '.join(f'avg({O.q(f)}) AS {O.q(f)}' for f in EVERY)} FROM src),
+phi AS (""" + " UNION ALL ".join(
+    f"SELECT t.prefix_id, '{f}' AS feature, {r6('t.' + O.q(f), O.digits_of(f))} AS value, ({w})::DOUBLE * (t.{O.q(f)} - m.{O.q(f)}) AS phi FROM tst t, means m"
+    for f, w in EVERY.items()
+) + ")"
+
+
+def every_phi(spark, d) -> DataFrame:
+    rows = staged_orders(spark, d).rows
+    return G.shap_linear(rows.where(F.col("set") == "testing"), "prefix_id", EVERY, EVERY_BIAS, rows.where(F.col("set") == "training"))[0]
+
+
+def rounded_attributions(phi: DataFrame) -> DataFrame:
+    value = F.when(F.col("feature").startswith("agg__std_"), rounded("value", 4)).otherwise(rounded("value"))
+    return rounded_columns(phi.withColumn("value", value), "phi")
+
+
+@query(f"{TEST_PHI} SELECT prefix_id, feature, value, {r6('phi')} AS phi FROM phi")
+def shap_linear_all(spark, d):
+    """Attributions of all features of the test prefixes against the training means."""
+    return rounded_attributions(every_phi(spark, d))
+
+
+@query(f"""{TEST_PHI}, top AS (SELECT feature FROM phi GROUP BY feature ORDER BY sum(abs(phi)) DESC LIMIT 5)
+SELECT prefix_id, feature, value, {r6('phi')} AS phi FROM phi WHERE feature IN (SELECT feature FROM top)""")
+def shap_dependence_all(spark, d):
+    """Values and attributions of the five features with the largest attributions."""
+    found = G.shap_dependence(stage(every_phi(spark, d), "phi"), "prefix_id")
+    return rounded_attributions(found)
+
+
 # --- local explanations ------------------------------------------------------------------
 
 EXPLAINED = f"""picked AS (SELECT prefix_id FROM (SELECT prefix_id, 99 + row_number() OVER (ORDER BY prefix_id) AS k FROM enc WHERE part = 'training') WHERE k % 25 = 0)"""
