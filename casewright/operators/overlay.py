@@ -40,17 +40,18 @@ def feature_vector(features: Sequence[str]) -> Column:
 
 def linear_scorer(features: Sequence[str], weights: Sequence[float], bias: float) -> VectorScorer:
     """Logistic score of a linear margin; a variant costs one product, whatever the width."""
-    given = F.array(*[F.lit(float(w)) for w in weights])
+    def given() -> Column:
+        return F.array(*[F.lit(float(w)) for w in weights])
 
     def prepare(df: DataFrame) -> DataFrame:
-        dot = F.aggregate(F.zip_with(VECTOR, given, lambda x, w: x * w), F.lit(float(bias)), lambda a, x: a + x)
+        dot = F.aggregate(F.zip_with(VECTOR, given(), lambda x, w: x * w), F.lit(float(bias)), lambda a, x: a + x)
         return df.withColumn("_margin", dot)
 
     def logistic(margin: Column) -> Column:
         return 1 / (1 + F.exp(-margin))
 
     def variant(df: DataFrame) -> DataFrame:
-        change = given[F.col(INDEX)] * (F.col(VALUE) - F.col(VECTOR)[F.col(INDEX)])
+        change = given()[F.col(INDEX)] * (F.col(VALUE) - F.col(VECTOR)[F.col(INDEX)])
         return df.withColumn(SCORE, logistic(F.col("_margin") + change))
 
     return VectorScorer(tuple(features), prepare, lambda df: df.withColumn(SCORE, logistic(F.col("_margin"))), variant)

@@ -46,3 +46,13 @@ def test_a_thousand_features_keep_the_plan_small(spark):
     got = found.collect()
     assert len(got) == n and all(len(r["importances"]) == 10 for r in got)
     assert all(r["mean"] == 0 for r in got if r["feature"] != "f0")
+
+
+def test_queries_load_without_a_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.strip() == "True"
