@@ -2,9 +2,10 @@
 
 Nodes are 64-bit ids of classes of equal items, so copies never meet here. Signatures are grouped
 inside each task before they are shuffled, so a signature that a third of all nodes share sends one
-row a task. Candidates are first the pairs of each signature's least node with its others; only
-where a signature still joins different components are its other pairs tried. No link is lost, and
-a group of near copies costs about one verified pair a node.
+row a task. Candidates are first the pairs of each signature's least node with its others; where
+a signature still joins different components, the pairs of one node chosen by hash with its others
+are next, for a few rounds, and only then its other pairs. No link is lost, and a group of near
+copies costs a few verified pairs a node.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .words import mix, signed
 GATHER = 1_000_000
 #: Nodes of a signature that a task sends on as they are; of more, only the least meets other tasks'.
 PLAIN = 8
+#: Rounds in which one node of each open signature meets the others, before all meet.
+PIVOTS = 4
 SIGNATURES = "sig long, node long"
 #: Bits of a signature that mark local rows, and a node that stands for local rows in the signature's partition.
 LOCAL, HEAD = np.uint64(1), np.uint64(2)
@@ -50,6 +53,13 @@ class Gatherer:
             self.nodes.append(np.full(len(sigs), node, np.uint64))
             self.n += len(sigs)
 
+    def extend(self, sigs: np.ndarray, nodes: np.ndarray) -> None:
+        """Add a row of signatures for each node."""
+        if sigs.size:
+            self.sigs.append(sigs.ravel())
+            self.nodes.append(np.repeat(nodes, sigs.shape[1]))
+            self.n += sigs.size
+
     def full(self) -> bool:
         return self.n >= GATHER
 
@@ -149,12 +159,24 @@ def star_pairs(met: DataFrame) -> DataFrame:
     return met.where("sig IS NULL").select("a", "b").union(stars).distinct()
 
 
-def cross_pairs(met: DataFrame, labels: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
-    """Distinct pairs a < b that share a signature, lie in different components and may be similar."""
-    many = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
-    placed = many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    rest = placed.join(open_.select("sig"), "sig").join(nodes, "node")
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, label) of the signatures whose nodes lie in different components."""
+    placed = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    wide = placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    return placed.join(wide, "sig", "left_semi").select("sig", "node", "label")
+
+
+def pivot_pairs(rest: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs a < b of one node of each open signature and those of other components."""
+    drawn = F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("node"), F.col("label").alias("label"))
+    pivots = rest.groupBy("sig").agg(F.min(drawn).alias("pivot"))
+    met = rest.join(pivots, "sig").where("pivot.label <> label")
+    return met.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+
+
+def cross_pairs(rest: DataFrame, nodes: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct pairs a < b that share an open signature, lie in different components and may be similar."""
+    rest = rest.join(nodes, "node")
     side = [c for c in nodes.columns if c != "node"]
     left = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("la"), *(F.col(c).alias(f"a_{c}") for c in side))
     right = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("lb"), *(F.col(c).alias(f"b_{c}") for c in side))
@@ -188,14 +210,25 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
 def linked(scratch: Scratch, signatures: DataFrame, check: Check) -> DataFrame:
     """(node, label) of all nodes with a link."""
     met = scratch.stage(meetings(signatures), "met")
-    likely = scratch.stage(check.likely(star_pairs(met)), "star-pairs")
-    edges = scratch.stage(check.linked(likely), "star-links")
-    labels = scratch.stage(components(scratch, edges), "star-labels")
-    cross = cross_pairs(met, labels, check.nodes.drop("tk"), check.near).join(likely, ["a", "b"], "left_anti")
-    cross = scratch.stage(cross, "cross-pairs")
-    if cross.isEmpty():
-        return labels
-    more = scratch.stage(check.linked(cross), "cross-links")
-    if more.isEmpty():
-        return labels
-    return scratch.stage(components(scratch, edges.union(more)), "labels")
+    tried = scratch.stage(check.likely(star_pairs(met)), "star-pairs")
+    labels = scratch.stage(components(scratch, scratch.stage(check.linked(tried), "star-links")), "star-labels")
+    rest = met.where("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
+    for turn in range(PIVOTS + 1):
+        rest = scratch.stage(open_rows(rest.select("sig", "node"), labels), "open")
+        if rest.isEmpty():
+            return labels
+        if turn == PIVOTS:
+            break
+        pairs = scratch.stage(check.likely(pivot_pairs(rest, turn)).join(tried, ["a", "b"], "left_anti"), "pivot-pairs")
+        more = scratch.stage(check.linked(pairs), "pivot-links")
+        tried = tried.union(pairs)
+        if more.isEmpty():
+            break
+        labels = _merged(scratch, labels, more)
+    cross = scratch.stage(cross_pairs(rest, check.nodes.drop("tk"), check.near).join(tried, ["a", "b"], "left_anti"), "cross-pairs")
+    return labels if cross.isEmpty() else _merged(scratch, labels, scratch.stage(check.linked(cross), "cross-links"))
+
+
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after further links."""
+    return scratch.stage(components(scratch, labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)), "labels")

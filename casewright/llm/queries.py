@@ -103,7 +103,7 @@ def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op1_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Passages of 50 words or more that occur more than once, with what is removed."""
+    """Passages of 50 words or more that occur in several documents, with what is removed."""
     return paragraph_repeats(table(spark, folder, "documents"))
 
 

@@ -174,7 +174,9 @@ def members_of(texts: DataFrame, wanted: DataFrame, width: int = SHINGLE) -> Dat
     return found.dropDuplicates(["node"])
 
 
-def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Map of pairs with their members (a, b, x, y) to those with 100 * common >= percent * union."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -218,5 +220,5 @@ class Check:
         return (
             likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-            .mapInArrow(_similar(self.percent), "a long, b long")
+            .mapInArrow(similar(self.percent), "a long, b long")
         )

@@ -85,6 +85,7 @@ class Known:
         return pairs
 
     def linked(self, likely):
+        self.pairs = getattr(self, "pairs", 0) + likely.count()
         return likely.join(self.links, ["a", "b"])
 
 
@@ -109,6 +110,15 @@ def test_a_node_meets_the_companions_of_a_head(spark):
     assert links_of(spark, flushes, [(5, 20), (21, 35)]) == {5: 5, 20: 5, 21: 21, 35: 21}
 
 
+def test_a_group_that_its_least_node_is_not_in_needs_few_pairs(spark):
+    nodes = range(1, 301)
+    rows = [(8, n) for n in nodes]
+    known = Known(spark, nodes, [(a, b) for a in nodes for b in nodes if 1 < a < b])
+    with Scratch(spark, "test") as scratch:
+        got = dict(linked(scratch, spark.createDataFrame(rows, SIGNATURES), known).collect())
+    assert got == {n: 2 for n in nodes if n > 1} and known.pairs < 5 * 300
+
+
 def test_no_link_of_a_shared_signature_is_lost(spark):
     rng = random.Random(4)
     flushes = [{rng.randrange(1, 90): [s for s in range(1, 9) if rng.random() < 0.25] for _ in range(60)} for _ in range(3)]
@@ -125,33 +135,79 @@ def test_no_link_of_a_shared_signature_is_lost(spark):
     assert links_of(spark, flushes, links) == want
 
 
-def test_paragraphs_against_brute_force(awkward):
+def repeated_runs(rows, least=50):
+    """{document: places of runs of ``least`` words that another document has}, documents being distinct rows."""
+    where = {}
+    for d, t in sorted({(d, t) for _, d, t in rows}, key=repr):
+        for at, run in enumerate(brute.runs(t, least)):
+            if len(run) == least:
+                where.setdefault(run, set()).add((d, t, at))
+    found = {}
+    for places in where.values():
+        if len({p[:2] for p in places}) > 1:
+            for d, t, at in places:
+                found.setdefault((d, t), set()).add(at)
+    return found
+
+
+def check_passages(docs, found):
+    """Every such run is reported around a passage, and documents that share no five words with others are left alone."""
+    rows, spans = rows_of(docs), {}
+    for r in found:
+        spans.setdefault(r.doc_id, []).append((r.first_word, r.first_word + r.n_words))
+    for (d, _), places in repeated_runs(rows).items():
+        for at in places:
+            assert any(max(at, a) < min(at + 50, b) for a, b in spans.get(d, [])), (d, at)
+    holders = {}
+    for i, (d, t) in enumerate({(d, t) for _, d, t in rows}):
+        for run in set(brute.runs(t)):
+            holders.setdefault(run, set()).add((d, i))
+    related = {d for ds in holders.values() if len(ds) > 1 for d, _ in ds}
+    assert set(spans) <= related
+    assert all(r.n_words >= 50 and r.copies > 1 for r in found)
+
+
+def test_passages_across_lines_and_breaks(spark, prose):
+    for least in (50, 70):
+        run = prose(70, least).split()
+        longer, other = prose(71, 300).split(), prose(72, 200).split()
+        short = prose(73, 49)
+        rows = [
+            (1, " ".join(run)), (2, " ".join([*longer[:150], *run, *longer[150:]])),
+            (3, "\n".join([*other[:9], " ".join(run[:20]), "  ".join(run[20:33]).upper(), "\t".join(run[33:]), *other[9:20]])),
+            (4, prose(74, 400)), (5, prose(75, 60) + " " + short), (6, short + " " + prose(76, 60)), (7, None), (8, ""),
+        ]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = paragraph_repeats(docs).collect()
+        check_passages(docs, found)
+        assert {r.doc_id for r in found} == {1, 2, 3}
+        gone = [r for r in found if r.removed]
+        assert {r.doc_id for r in gone} == {2, 3} and {r.cluster_id for r in gone} == {1}
+        cleaned = {r.doc_id: r.text for r in without_repeats(docs, spark.createDataFrame(found)).collect()}
+        assert brute.words(cleaned[1]) == run and cleaned[7] is None and cleaned[8] == ""
+        left = brute.words(cleaned[2])
+        assert [w for w in left if w in longer][:150] == longer[:150] and len(left) < 300 + 40
+        if least < 60:
+            assert left == longer and brute.words(cleaned[3]) == other[:20] and "\n" in cleaned[3]
+
+
+def test_passages_of_awkward_rows(awkward):
     found = paragraph_repeats(awkward)
-    sets = {}
-    for i, d, t in rows_of(awkward):
-        for p, line in enumerate((t or "").split("\n")):
-            if len(brute.words(line)) >= 50:
-                sets[(d is not None, d or 0, p, i)] = set(brute.runs(line))
-    groups = brute.similar_groups(sets, 75)
-    size = {}
-    for g in groups.values():
-        size[g] = size.get(g, 0) + 1
-    want = []
-    for k, g in groups.items():
-        if size[g] > 1:
-            here, first = (k[1] if k[0] else None, k[2]), (g[1] if g[0] else None, g[2])
-            want.append((*here, *first, size[g], here != first))
-    got = [(r.doc_id, r.paragraph, r.cluster_id, r.cluster_paragraph, r.copies, r.removed) for r in found.collect()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    cleaned = {r.doc_id: r.text for r in without_repeats(awkward, found).where("doc_id IN (12, 13, 14, 5)").collect()}
-    texts = {r.doc_id: r.text for r in awkward.collect()}
-    assert cleaned[12] == texts[12] and cleaned[13] == texts[13].split("\n")[0] and cleaned[14] == texts[14].split("\n")[1] and cleaned[5] is None
+    check_passages(awkward, found.collect())
+    cleaned = without_repeats(awkward, found)
+    assert cleaned.columns == awkward.columns and cleaned.count() == awkward.count()
     assert paragraph_repeats(awkward.limit(0)).collect() == []
+    assert without_repeats(awkward.limit(0), found).collect() == []
+
+
+def test_passages_of_the_small_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    check_passages(docs, paragraph_repeats(docs).collect())
 
 
 def test_bands_reach_the_recall():
     bands, rows = tune(75)
-    assert bands * rows <= 100 and 1 - (1 - 0.75**rows) ** bands >= 0.999
+    assert bands * rows <= 100 and rows > 1 and 1 - (1 - 0.1**rows) ** bands <= 0.1 and 1 - (1 - 0.75**rows) ** bands >= 0.999
 
 
 def test_lines_against_brute_force(spark, awkward, prose):
