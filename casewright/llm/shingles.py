@@ -101,7 +101,7 @@ def describe(
                     members = members[np.repeat(counts >= least, sizes)]
                     sizes = np.where(counts >= least, sizes, 0)
                     offsets = np.concatenate([[0], np.cumsum(sizes)])
-                np.add.at(cells, _cell(members), 1)
+                np.add.at(cells, cells_of(members), 1)
                 n, flat = part.num_rows, parities(members, sizes)
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
                 yield pa.record_batch([
@@ -117,7 +117,8 @@ def describe(
     return texts.select(*keys, "text").mapInArrow(run, out)
 
 
-def _cell(members: np.ndarray) -> np.ndarray:
+def cells_of(members: np.ndarray) -> np.ndarray:
+    """Cell of the table of frequencies for each member."""
     return (members >> np.uint64(42)).astype(np.int64)
 
 
@@ -138,7 +139,7 @@ def frequency_table(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def frequency(members: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Estimated number of texts with each member."""
-    return table[_cell(members)].astype(np.int64)
+    return table[cells_of(members)].astype(np.int64)
 
 
 def nodes_of(described: DataFrame) -> DataFrame:
@@ -222,3 +223,33 @@ class Check:
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
             .mapInArrow(similar(self.percent), "a long, b long")
         )
+
+
+def verified(
+    scratch: Scratch, texts: DataFrame, wanted: DataFrame, likely: DataFrame, percent: int,
+    sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, list[bytes]]]],
+) -> DataFrame:
+    """The pairs of ``likely``, a staged table, that link; ``sets`` gives nodes and members of all parts of texts.
+
+    ``wanted`` (node, tk) names each node of the pairs and a text that holds it.
+    """
+    wanted = scratch.stage(wanted, "wanted")
+    schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, members in sets(batches):
+            yield pa.record_batch([pa.array(signed(nodes)), pa.array(members, pa.binary())], schema=schema)
+
+    held = texts.join(sized(wanted.select("tk").distinct()), "tk", "left_semi").select("text")
+    found = held.mapInArrow(run, "node long, members binary").join(sized(wanted.select("node")), "node", "left_semi")
+    known = scratch.stage(found.dropDuplicates(["node"]), "members")
+    return (
+        likely.join(known.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+        .join(known.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+        .mapInArrow(similar(percent), "a long, b long")
+    )
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """Distinct nodes of pairs."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()

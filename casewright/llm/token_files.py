@@ -80,7 +80,7 @@ def pieces_of(texts: pa.Array) -> Words:
         at = np.searchsorted(begin, start[special])
         hashed[at] = hash_spans(data, begin[at], end[at], lower=False) ^ np.uint64(1)
     lasts = np.concatenate([start, [len(data)]])[words.first]
-    return Words(hashed, np.searchsorted(begin, lasts), begin, end, data)
+    return Words(hashed, np.searchsorted(begin, lasts), begin, end, data, words.offsets)
 
 
 class Encoder:

@@ -46,13 +46,14 @@ _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 class Words(NamedTuple):
-    """Word hashes of a slice of texts; ``first`` has each text's first word and the end."""
+    """Word hashes of a slice of texts; ``first`` has each text's first word and the end, ``offsets`` the same for bytes."""
 
     hash: np.ndarray
     first: np.ndarray
     start: np.ndarray
     stop: np.ndarray
     data: np.ndarray
+    offsets: np.ndarray
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,7 @@ def words_of(texts: pa.Array) -> Words:
     data, offsets = bytes_of(texts)
     if len(data) == 0:
         none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), none, none, data)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), none, none, data, offsets)
     solid = ~_SPACE[data]
     begin, last = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -93,7 +94,7 @@ def words_of(texts: pa.Array) -> Words:
     begin[heads] = solid[heads]
     last[tails] = solid[tails]
     start, stop = np.flatnonzero(begin), np.flatnonzero(last) + 1
-    return Words(hash_spans(data, start, stop), np.searchsorted(start, offsets), start, stop, data)
+    return Words(hash_spans(data, start, stop), np.searchsorted(start, offsets), start, stop, data, offsets)
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:

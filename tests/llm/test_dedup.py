@@ -210,6 +210,24 @@ def test_bands_reach_the_recall():
     assert bands * rows <= 100 and rows > 1 and 1 - (1 - 0.1**rows) ** bands <= 0.1 and 1 - (1 - 0.75**rows) ** bands >= 0.999
 
 
+def test_lines_with_null_keys_repeats_and_clashing_columns(spark, awkward, prose):
+    text = "\n\n".join([prose(80, 9), "a b a", "B  a", " ", prose(81, 5)])
+    extra = spark.createDataFrame([(None, text), (30, text), (30, text), (31, "\n" + prose(81, 5))], "doc_id long, text string")
+    docs = awkward.unionByName(extra, allowMissingColumns=True)
+    sets, first = {}, {}
+    for d, t in sorted(((d, t) for _, d, t in rows_of(docs)), key=lambda r: (r[0] is not None, r[0] or 0)):
+        for n, line in enumerate((t or "").split("\n")):
+            if brute.words(line):
+                here, s = (d is not None, d or 0, n), frozenset(brute.words(line))
+                sets.setdefault(s, []).append(here)
+                first[s] = min(first.get(s, here), here)
+    want = []
+    for s, places in sets.items():
+        near = min(f for o, f in first.items() if 100 * len(s & o) >= 80 * len(s | o))
+        want += [(h[1] if h[0] else None, h[2], near[1] if near[0] else None, near[2]) for h in places if h != near]
+    assert sorted((tuple(r) for r in line_repeats(docs).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_lines_against_brute_force(spark, awkward, prose):
     base = prose(3, 12).split()
     extra = [(20, "\n".join([" ".join(base), "the end", " ".join(base[:11] + ["else"]), "", "end the"])), (21, "THE END\n" + " ".join(base[:9]))]
