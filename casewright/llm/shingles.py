@@ -227,22 +227,23 @@ class Check:
 
 def verified(
     scratch: Scratch, texts: DataFrame, wanted: DataFrame, likely: DataFrame, percent: int,
-    sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, list[bytes]]]],
+    sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.Array, np.ndarray, list[bytes]]]],
 ) -> DataFrame:
-    """The pairs of ``likely``, a staged table, that link; ``sets`` gives nodes and members of all parts of texts.
+    """The pairs of ``likely``, a staged table, that link; ``sets`` gives text keys, nodes and members of all parts of texts.
 
     ``wanted`` (node, tk) names each node of the pairs and a text that holds it.
     """
     wanted = scratch.stage(wanted, "wanted")
-    schema = pa.schema([("node", pa.int64()), ("members", pa.binary())])
+    schema = pa.schema([("tk", pa.int64()), ("node", pa.int64()), ("members", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, members in sets(batches):
-            yield pa.record_batch([pa.array(signed(nodes)), pa.array(members, pa.binary())], schema=schema)
+        for keys, nodes, members in sets(batches):
+            yield pa.record_batch([keys, pa.array(signed(nodes)), pa.array(members, pa.binary())], schema=schema)
 
-    held = texts.join(sized(wanted.select("tk").distinct()), "tk", "left_semi").select("text")
-    found = held.mapInArrow(run, "node long, members binary").join(sized(wanted.select("node")), "node", "left_semi")
-    known = scratch.stage(found.dropDuplicates(["node"]), "members")
+    held = texts.join(sized(wanted.select("tk").distinct()), "tk", "left_semi").select("tk", "text")
+    # Of the texts that hold a node only the named one is asked, so what is left to drop are its exact copies.
+    found = held.mapInArrow(run, "tk long, node long, members binary").join(sized(wanted), ["node", "tk"], "left_semi")
+    known = scratch.stage(found.select("node", "members").dropDuplicates(["node"]), "members")
     return (
         likely.join(known.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
         .join(known.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
