@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .shingles import Check
-from .words import mix, signed
+from .words import mix, release, signed
 
 #: Signatures a task gathers before it groups them and sends them on.
 GATHER = 1_000_000
 #: Nodes of a signature that a task sends on as they are; of more, only the least meets other tasks'.
 PLAIN = 8
+#: Rows of signatures in order that a task compares at once.
+CHUNK = 1 << 19
 #: Rounds in which one node of each open signature meets the others, before all meet.
 PIVOTS = 4
 SIGNATURES = "sig long, node long"
@@ -89,7 +91,8 @@ def _batches(sig: np.ndarray, node: np.ndarray, size: int = 100_000) -> Iterator
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sigs, nodes = [], []
+    """Meetings of rows in the order of signatures, in runs of about ``CHUNK`` rows that end between two signatures."""
+    sigs, nodes, n, open_ = [], [], 0, None
     for batch in batches:
         sig, node = batch.column("sig").to_numpy(), batch.column("node").to_numpy()
         local = (sig & int(LOCAL)).astype(bool)
@@ -98,18 +101,44 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig, node = sig[~local], node[~local]
         sigs.append(sig)
         nodes.append(node)
-    if not sigs or not sum(map(len, sigs)):
+        n += len(sig)
+        if n < CHUNK:
+            continue
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        base = sig & ~int(HEAD)
+        if open_ is not None:
+            more = base == open_
+            yield from _met(base[more], node[more], None)
+            sig, node, base = sig[~more], node[~more], base[~more]
+            open_ = None if len(sig) else open_
+        last = int(np.searchsorted(base, base[-1])) if len(base) else 0
+        if last == 0 and len(base) >= CHUNK:
+            # One signature fills the run: its rows go on as they are, and so do those that follow.
+            open_ = int(base[-1])
+            yield from _met(base, node, None)
+            last = len(base)
+        elif last:
+            yield from _met_within(sig[:last], node[:last])
+        sigs, nodes, n = [sig[last:].copy()], [node[last:].copy()], len(sig) - last
+    if n:
+        sig, node = np.concatenate(sigs), np.concatenate(nodes)
+        if open_ is not None:
+            more = (sig & ~int(HEAD)) == open_
+            yield from _met(sig[more] & ~int(HEAD), node[more], None)
+            sig, node = sig[~more], node[~more]
+        yield from _met_within(sig, node)
+    release()
+
+
+def _met_within(sig: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Meetings of all rows of some signatures."""
+    if not len(sig):
         return
-    sig, node = np.concatenate(sigs), np.concatenate(nodes)
-    del sigs, nodes
     # The nodes here are not all that have a headed signature; its other nodes are in local rows.
     marked = (sig & int(HEAD)).astype(bool)
-    headed = np.unique(sig[marked] ^ int(HEAD))
-    sig[marked] ^= int(HEAD)
-    del marked
+    sig = sig & ~int(HEAD)
+    headed = np.unique(sig[marked])
     # Signatures that one node has are left out before the pairs of sorting keys are made.
-    order = np.argsort(sig, kind="stable")
-    sig, node = sig[order], node[order]
     start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     meet = np.repeat(np.minimum.reduceat(node, start) != np.maximum.reduceat(node, start), np.diff(np.append(start, len(sig))))
     sig, node = sig[meet], node[meet]
@@ -148,7 +177,7 @@ def meetings(signatures: DataFrame) -> DataFrame:
     """Signatures that several nodes have: a pair (a, b) of two, or rows (sig, a) of more."""
     local = F.col("sig").bitwiseAND(F.lit(int(LOCAL))) != 0
     place = F.when(local, F.xxhash64("sig", "node")).otherwise(F.col("sig").bitwiseAND(F.lit(~int(HEAD))))
-    return signatures.repartition(place).mapInArrow(_meetings, "sig long, a long, b long")
+    return signatures.repartition(place).sortWithinPartitions("sig").mapInArrow(_meetings, "sig long, a long, b long")
 
 
 def star_pairs(met: DataFrame) -> DataFrame:

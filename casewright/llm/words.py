@@ -7,6 +7,7 @@ number, a word's hash is a difference of two sums times an inverse power (all mo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -42,6 +43,7 @@ _LOWER[65:91] += 32
 _EXACT = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _VALUE = _EXACT[_LOWER]
 _PLACES = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+#: Powers for slices of the usual size; those for a longer text are not kept.
 _POWER: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -68,6 +70,15 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(total, base + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,11 +111,11 @@ def words_of(texts: pa.Array) -> Words:
 def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:
     """Hashes of parts of the data, with A-Z as a-z if ``lower``."""
     n = len(data)
-    size = 1 << max(20, int(n).bit_length())
-    if size not in _POWER:
-        _POWER.clear()
-        _POWER[size] = _powers(_FACTOR, size), _powers(_INVERSE, size)
-    up, down = _POWER[size]
+    size = 1 << max(21, int(n).bit_length())
+    powers = _POWER.get(size) or (_powers(_FACTOR, size), _powers(_INVERSE, size))
+    if size <= 2 * SLICE_BYTES:
+        _POWER[size] = powers
+    up, down = powers
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((_VALUE if lower else _EXACT)[data] * up[:n], out=total[1:])
     return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
