@@ -8,10 +8,9 @@ range-sorted by time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,48 +135,29 @@ def mixing_table(
         ))
 
 
-def _cut(text: str, column: int):
-    """Keep the first ``taken`` words of each text, with the white space between them."""
-    import re
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = []
-            for value, n in zip(batch.column(text).to_pylist(), batch.column("__m_taken").to_pylist(), strict=True):
-                end = 0
-                for i, m in enumerate(re.finditer(WORD, value)):
-                    if i == n:
-                        break
-                    end = m.end()
-                short.append(value[:end])
-            yield batch.set_column(column, text, pa.array(short, pa.string()))
-
-    return run
-
-
 def mix_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", mix: Mix = Mix(),
 ) -> DataFrame:
     """The mixed corpus in training order: the columns of ``docs``, a row for each pass over a document.
 
-    A document at the end of its source's last pass keeps only the words that the mix takes.
+    Texts stay whole: the document at the end of a source's last pass, which ``mixing_table`` takes
+    in part, is taken if at least half of it is due, and otherwise left out. So a source misses its
+    target by half a document at most. If that document is its first with words, it is taken in any
+    case, so no source with a target of a word or more is lost to one very long document.
     """
     spark: SparkSession = docs.sparkSession
     with Scratch(spark, "mixed") as scratch:
         rows = passes(plan(scratch, docs, key, text, source, mix), mix)
-        takes = rows.select("unit", "source", "size", "n", F.explode("takes").alias("take")).where("take.taken > 0")
-        takes = scratch.stage(takes.select("unit", F.col("source").alias("__source"), "size", "n", "take.*"), "takes")
+        takes = rows.select("unit", "source", "size", "n", (F.col("start") + F.col("copy") * F.col("size")).alias("at"), F.posexplode("takes").alias("turn", "take"))
+        takes = takes.where("take.taken > 0 AND (2 * take.taken >= size OR turn = 0 AND at = 0)")
+        takes = scratch.stage(takes.select("unit", F.col("source").alias("__source"), "n", "take.position"), "takes")
         marked = docs.withColumn("__unit", unit(key, text))
         same = (F.col("__unit") == F.col("__m_unit")) & F.col(source).cast("string").eqNullSafe(F.col("__source"))
-        facts = takes.select(*(F.col(c).alias(f"__m_{c}") for c in ("unit", "n", "taken", "size", "position")), "__source")
+        facts = takes.select(*(F.col(c).alias(f"__m_{c}") for c in ("unit", "n", "position")), "__source")
         repeated = facts.where("__m_n > 1")
         single = marked.join(sized(facts.where("__m_n = 1")), same)
         many = marked.join(sized(repeated.select("__m_unit", "__source").distinct()), same, "left_semi")
         many = many.dropDuplicates(["__unit", source]).join(repeated, same)
         every = single.union(many.select(single.columns))
-        columns = [*docs.columns, "__m_taken", "__m_position", "__m_unit"]
-        whole = every.where("__m_taken = __m_size").select(columns)
-        part = every.where("__m_taken < __m_size").select(columns)
-        part = part.mapInArrow(_cut(text, columns.index(text)), part.schema)
-        ordered = whole.union(part).repartitionByRange("__m_position", "__m_unit").sortWithinPartitions("__m_position", "__m_unit")
+        ordered = every.repartitionByRange("__m_position", "__m_unit").sortWithinPartitions("__m_position", "__m_unit")
         return scratch.result(ordered.select(*docs.columns))
