@@ -7,7 +7,6 @@ of documents. Between stages the documents are written as Parquet in the shared
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from casewright.llm.curriculum import mix_documents
 from casewright.llm.decontaminate import leaks, without_leaks
@@ -33,11 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order: a row for each pass over a document, the last of a source cut to size."""
-    mixed = mix_documents(docs)
-    if "n_chars" in docs.columns:
-        mixed = mixed.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return mixed
+    """The mix in training order: a row with the whole text for each pass over a document."""
+    return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
