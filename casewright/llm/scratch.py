@@ -10,6 +10,9 @@ from ..session import scratch_path, stage
 
 #: Rows of a few numbers up to which a join side is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch between Spark and its Python workers; one larger row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -36,9 +39,16 @@ class Scratch:
         self._n = 0
 
     def __enter__(self) -> "Scratch":
+        # Batches of texts are held by the executor and by its Python workers at the same time.
+        self._batch = self.spark.conf.get(_BATCH, None)
+        self.spark.conf.set(_BATCH, str(BATCH_BYTES))
         return self
 
     def __exit__(self, *error) -> None:
+        if self._batch is None:
+            self.spark.conf.unset(_BATCH)
+        else:
+            self.spark.conf.set(_BATCH, self._batch)
         delete(self.spark, self.root)
 
     def path(self, name: str) -> str:

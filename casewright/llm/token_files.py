@@ -17,11 +17,9 @@ begins a new shard at ``SHARD_BYTES``, so a shard never grows with the data.
 from __future__ import annotations
 
 import json
-import sys
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import scan_within
 from .scratch import Scratch
-from .words import Words, hash_spans, mix, slices, words_of
+from .words import Words, hash_spans, keep, mix, slices, words_of
 
 SHARD_BYTES = 16 << 20
 CHUNK_BYTES = 1 << 20
@@ -135,11 +133,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of this worker process, which keeps what earlier tasks have learnt."""
-    held = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders")).__dict__
-    if path not in held:
-        held[path] = Encoder(path)
-    return held[path]
+    """The encoder of this worker process, which keeps what earlier tasks of the stage have learnt."""
+    return keep(f"encoder {path}", lambda: Encoder(path))
 
 
 class Shards:

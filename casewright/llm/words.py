@@ -8,15 +8,18 @@ number, a word's hash is a difference of two sums times an inverse power (all mo
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Bytes of text handled at once; one longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE = 5
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
@@ -73,8 +76,26 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     release()
 
 
+def _kept() -> tuple[int, dict[str, tuple[int, object]]]:
+    """Stage of this task (-1 in the driver), and what this worker process keeps with its stage."""
+    context = TaskContext.get()
+    module = sys.modules.setdefault("_llm_kept", ModuleType("_llm_kept"))
+    return -1 if context is None else context.stageId(), module.__dict__.setdefault("kept", {})
+
+
+def keep(name: str, make: Callable[[], object]) -> object:
+    """``make()``, kept by this worker process for later tasks of the same stage."""
+    stage, kept = _kept()
+    if name not in kept or kept[name][0] != stage:
+        kept[name] = stage, make()
+    return kept[name][1]
+
+
 def release() -> None:
-    """Give freed memory back to the system, as Python workers live on between tasks."""
+    """Give memory back to the system that is free or kept for other stages, as Python workers live on."""
+    stage, kept = _kept()
+    for name in [name for name, (own, _) in kept.items() if own != stage]:
+        del kept[name]
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -109,11 +130,24 @@ def words_of(texts: pa.Array) -> Words:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Hashes of parts of the data, with A-Z as a-z if ``lower``."""
+    """Hashes of parts of the data, in order and apart, with A-Z as a-z if ``lower``."""
+    if len(data) <= SLICE_BYTES or len(start) <= 1:
+        return _hash_spans(data, start, stop, lower)
+    # A hash does not depend on the place, so long data are hashed in runs of words.
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(stop, start[i] + SLICE_BYTES, "right")))
+        base = start[i]
+        out[i:j] = _hash_spans(data[base: stop[j - 1]], start[i:j] - base, stop[i:j] - base, lower)
+        i = j
+    return out
+
+
+def _hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
     n = len(data)
-    size = 1 << max(21, int(n).bit_length())
+    size = max(SLICE_BYTES, 1 << max(n - 1, 0).bit_length())
     powers = _POWER.get(size) or (_powers(_FACTOR, size), _powers(_INVERSE, size))
-    if size <= 2 * SLICE_BYTES:
+    if size == SLICE_BYTES:
         _POWER[size] = powers
     up, down = powers
     total = np.zeros(n + 1, np.uint64)

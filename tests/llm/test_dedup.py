@@ -3,15 +3,17 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from casewright.llm import links
 from casewright.llm.jaccard_join import _limit, first_of_groups, ngram_jaccard_join, schemes_of, signatures_of
 from casewright.llm.line_dedup import line_repeats
 from casewright.llm.links import PLAIN, SIGNATURES, Gatherer, components, linked
 from casewright.llm.paragraph_dedup import paragraph_repeats, tune, without_repeats
 from casewright.llm.scratch import Scratch
-from casewright.llm.words import mix
+from casewright.llm.words import mix, words_of
 
 from . import brute
 
@@ -247,3 +249,38 @@ def test_lines_against_brute_force(spark, awkward, prose):
     assert sorted(got) == sorted(want) and len(want) > 4
     assert line_repeats(docs.limit(0)).collect() == []
     assert line_repeats(docs).where("match_id IS NULL").count() >= 1  # a null key sorts first
+
+
+def pairs_met(rows):
+    """Pairs that rows of meetings name, all pairs of a signature included."""
+    held, pairs = {}, set()
+    for s, a, b in rows:
+        if s is None:
+            pairs.add((min(a, b), max(a, b)))
+        else:
+            held.setdefault(s, set()).add(a)
+    return pairs | {(a, b) for v in held.values() for a in v for b in v if a < b}
+
+
+@pytest.mark.parametrize("chunk", [64, 500, 3000])
+def test_meetings_in_runs_equal_those_of_all_rows(monkeypatch, chunk):
+    r = np.random.default_rng(0)
+    sig = np.concatenate([r.integers(0, 1000, 5000) * 4, np.full(2000, 777 * 4), r.integers(0, 50, 100) * 4 + 2])
+    node = r.integers(0, 200, len(sig))
+    order = np.argsort(sig, kind="stable")
+    sig, node = sig[order], node[order]
+    want = {}
+    for s, v in zip((sig & ~2).tolist(), node.tolist(), strict=True):
+        want.setdefault(s, set()).add(v)
+    monkeypatch.setattr(links, "CHUNK", chunk)
+    batches = (pa.record_batch([pa.array(sig[i: i + 100]), pa.array(node[i: i + 100])], names=["sig", "node"]) for i in range(0, len(sig), 100))
+    got = [row for batch in links._meetings(batches) for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+    assert pairs_met(got) == {(a, b) for v in want.values() for a in v for b in v if a < b}
+
+
+def test_words_of_a_text_longer_than_a_slice(prose):
+    text = prose(3, 150_000) + " " + "x" * 700_000 + " end"
+    found = words_of(pa.array([None, text, ""])).hash
+    assert len(found) == 150_002
+    for i in (0, 77_777, 149_999, 150_000, 150_001):
+        assert found[i] == words_of(pa.array([text.split()[i]])).hash[0]
