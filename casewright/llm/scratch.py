@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, stage
+from ..session import scratch_path
 
 #: Rows of a few numbers up to which a join side is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -61,4 +61,6 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str = "result") -> DataFrame:
-        return stage(df, name)
+        path = scratch_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
