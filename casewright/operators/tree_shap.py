@@ -55,11 +55,16 @@ class Leaf:
 
 @dataclass
 class Tree:
-    """Split features and thresholds of the inner nodes, and the leaves."""
+    """Split features, thresholds and children of the inner nodes, and the leaves.
+
+    A child below 0 is the leaf value -1 - child; node 0 is the root unless there is none.
+    """
 
     feature: np.ndarray
     threshold: np.ndarray
     leaves: list[Leaf]
+    children: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), int))
+    values: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
 def read_trees(model: PipelineModel, path: str) -> list[Tree]:
@@ -104,7 +109,13 @@ def _tree(nodes: dict[int, dict], weight: float) -> Tree:
             shares[at] *= share
             conditions[at].append((place[i], left))
             todo.append((child, Leaf(0.0, features, shares, conditions)))
-    return Tree(np.array([nodes[i]["feature"] for i in inner], int), np.array([nodes[i]["threshold"] for i in inner], float), leaves)
+    ends = [i for i in sorted(nodes) if i not in place]
+    place |= {i: -1 - k for k, i in enumerate(ends)}
+    children = np.array([[place[nodes[i]["leftChild"]], place[nodes[i]["rightChild"]]] for i in inner], int).reshape(-1, 2)
+    values = np.array([weight * nodes[i]["prediction"] for i in ends], float)
+    return Tree(
+        np.array([nodes[i]["feature"] for i in inner], int), np.array([nodes[i]["threshold"] for i in inner], float), leaves, children, values
+    )
 
 
 def expected_margin(trees: Sequence[Tree]) -> float:
