@@ -358,15 +358,41 @@ def ale(
 ) -> DataFrame:
     """(feature, target, bin, edge, ale, ale0): first-order accumulated local effects."""
     vectors = df.select(feature_vector(scorer.features))
-    edges = vector_edges(vectors, scorer.features, bins, few)
+    edges = stage(vector_edges(vectors, scorer.features, bins, few), "edges")
     # One row per feature with at most bins + 1 edges.
-    known = F.broadcast(edges.where(F.size("edges") > 1).select(INDEX, "feature", "edges"))
-    spread = scorer.prepare(vectors).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(scorer.features) - 1))).alias(INDEX)).join(known, INDEX)
-    place = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col(VECTOR)[F.col(INDEX)])))
-    ends = spread.withColumn("_bin", place).withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
-    ends = ends.withColumn(VALUE, F.element_at("edges", F.col("_bin") + F.col("_side"))).drop("edges")
-    sign = F.when(F.col("_side") == 1, 1.0).otherwise(-1.0)
-    steps = scorer.variant(ends).groupBy("feature", F.col("_bin").alias("bin")).agg(
-        (F.count("*") / 2).alias("_n"), (F.sum(F.col(SCORE) * sign) / (F.count("*") / 2)).alias("_step")
+    known = {r[INDEX]: np.array(r["edges"], float) for r in edges.where(F.size("edges") > 1).select(INDEX, "edges").collect()}
+    steps = vectors.mapInArrow(_ale_steps(scorer, known), f"{INDEX} int, bin int, n long, step double").groupBy(INDEX, "bin").agg(
+        F.sum("n").cast("double").alias("_n"), (F.sum("step") / F.sum("n")).alias("_step")
     )
-    return ale_curves(edges.drop(INDEX), steps, targets)
+    names = F.array(*[F.lit(f) for f in scorer.features])
+    return ale_curves(edges.drop(INDEX), steps.withColumn("feature", names[F.col(INDEX)]).drop(INDEX), targets)
+
+
+def _ale_steps(scorer: VectorScorer, edges: Mapping[int, np.ndarray]):
+    """(feature number, bin, rows, sum of the changes in score from the lower to the upper edge) of a batch."""
+    scoring, width = scorer.block, len(scorer.features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Batches are added up, so that a task sends one row per bin.
+        total: dict[int, tuple[np.ndarray, np.ndarray]] = {i: (np.zeros(len(e), np.int64), np.zeros(len(e))) for i, e in edges.items()}
+        scored = {i: np.zeros(len(e), np.int64) for i, e in edges.items()}
+        for batch in batches:
+            x = _matrix(batch.column(VECTOR), width)
+            with np.errstate(over="ignore", invalid="ignore"):
+                rows, every = scoring(x), np.arange(len(x))
+                for i, own in edges.items():
+                    # A missing value counts to the first bin.
+                    place = np.where(_is_null(x[:, i]), 1, np.maximum(1, np.searchsorted(own, x[:, i])))
+                    upper, null = rows.scores(i, every, own[place])
+                    lower, _ = rows.scores(i, every, own[place - 1])
+                    total[i][0][:] += np.bincount(place, minlength=len(own))
+                    total[i][1][:] += np.bincount(place[~null], (upper - lower)[~null], minlength=len(own))
+                    scored[i] += np.bincount(place[~null], minlength=len(own))
+        out = [
+            (i, int(b), int(n[b]), float(step[b]) if scored[i][b] else None)
+            for i, (n, step) in total.items() for b in np.flatnonzero(n)
+        ]
+        if out:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [INDEX, "bin", "n", "step"])
+    return run

@@ -68,6 +68,7 @@ def test_linear_blocks_are_rows(spark, small_blocks, missing):
     found = table(V.permutation_importance(rows, "id", vectors, repeats=4))
     if not missing:
         assert found == table(G.permutation_importance(rows, "id", FEATURES, plain, repeats=4))
+        assert table(V.ale(rows, vectors, bins=6)) == table(G.ale(rows, FEATURES, plain, bins=6))
     else:
         assert found == by_hand(rows, weights, -0.1, 4)
 
@@ -80,6 +81,7 @@ def test_tree_blocks_are_rows(spark, small_blocks, missing):
     plain, vectors = M.model_scorer(fitted), V.trained_scorer(fitted, FEATURES)
     known = rows.where("encoded_label IS NOT NULL")
     assert table(V.permutation_importance(known, "id", vectors, repeats=4)) == table(G.permutation_importance(known, "id", FEATURES, plain, repeats=4))
+    assert table(V.ale(known, vectors, bins=6)) == table(G.ale(known, FEATURES, plain, bins=6))
 
 
 def test_two_scorers_share_the_values(spark, small_blocks):
