@@ -104,7 +104,7 @@ def permutation_importance_logit(spark, d):
     """Permutation importance of a trained model, for every one of its features."""
     rows, features, models = fitted_orders(spark, d, "logit", c=-2.0, max_iter=50)
     train = rows.where(F.col("set") == "training")
-    found = G.permutation_importance(train.select("prefix_id", "encoded_label", *[quoted(f) for f in features]), "prefix_id", features, M.model_scorer(models.models[1]))
+    found = V.permutation_importance(train, "prefix_id", V.trained_scorer(models.models[1], features))
     bounded = F.forall("importances", lambda x: F.abs(x) <= 1)
     return found.select("feature", F.size("importances").alias("n_repeats"), bounded.alias("bounded"))
 
@@ -113,8 +113,7 @@ def permutation_importance_logit(spark, d):
 def ale_logit(spark, d):
     """Accumulated effects of a trained model: of every feature that has a bin, with means near zero."""
     rows, features, models = fitted_orders(spark, d, "logit", c=-2.0, max_iter=50)
-    train = rows.where(F.col("set") == "training").select("encoded_label", *[quoted(f) for f in features])
-    found = G.ale(train, features, M.model_scorer(models.models[1]))
+    found = V.ale(rows.where(F.col("set") == "training"), V.trained_scorer(models.models[1], features))
     sides = found.groupBy("feature").agg((F.abs(F.min("ale")) <= 1).alias("centred"))
     names = spark.createDataFrame([(f,) for f in features], "feature string")
     # A constant feature has no bins and no effects.
