@@ -130,16 +130,17 @@ class Attributor:
         self.trees, self.n_features = trees, n_features
         self.tables: dict[int, np.ndarray | dict[int, np.ndarray]] = {}
 
+    def _table(self, leaf: Leaf) -> np.ndarray:
+        """Attributions (features x patterns) of a leaf with few features."""
+        m, table = len(leaf.features), self.tables.get(id(leaf))
+        if table is None:
+            table = np.array([leaf.attributions([bool(p >> j & 1) for j in range(m)]) for p in range(1 << m)])
+            table = self.tables[id(leaf)] = np.ascontiguousarray(table.T)
+        return table
+
     def _looked_up(self, leaf: Leaf, pattern: np.ndarray) -> np.ndarray:
         m = len(leaf.features)
-        table = self.tables.get(id(leaf))
-        if m <= TABULATED:
-            if table is None:
-                table = np.array([leaf.attributions([bool(p >> j & 1) for j in range(m)]) for p in range(1 << m)])
-                self.tables[id(leaf)] = table
-            return table[pattern]
-        if table is None:
-            table = self.tables[id(leaf)] = {}
+        table = self.tables.setdefault(id(leaf), {})
         found, place = np.unique(pattern, return_inverse=True)
         for p in found.tolist():
             if p not in table:
@@ -148,20 +149,30 @@ class Attributor:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Attributions (rows x features) of the rows of ``x``; a missing value goes right, as in scoring."""
-        out = np.zeros((len(x), self.n_features))
+        # One run of memory per feature and per node: leaves then work on whole runs.
+        columns = np.ascontiguousarray(x.T)
+        out = np.zeros((self.n_features, len(x)))
         for tree in self.trees:
-            left = x[:, tree.feature] <= tree.threshold
+            left = columns[tree.feature] <= tree.threshold[:, None]
+            right = ~left
             for leaf in tree.leaves:
-                if not leaf.features:
+                m = len(leaf.features)
+                if not m:
                     continue
-                pattern = np.zeros(len(x), np.int64)
+                pattern = np.zeros(len(x), np.uint8 if m <= 8 else np.int64)
                 for j, conditions in enumerate(leaf.conditions):
-                    met = np.ones(len(x), bool)
-                    for node, goes_left in conditions:
-                        met &= left[:, node] == goes_left
-                    pattern |= met.astype(np.int64) << j
-                out[:, leaf.features] += self._looked_up(leaf, pattern)
-        return out
+                    node, goes_left = conditions[0]
+                    met = (left if goes_left else right)[node]
+                    for node, goes_left in conditions[1:]:
+                        met = met & (left if goes_left else right)[node]
+                    pattern |= met.astype(pattern.dtype) << pattern.dtype.type(j)
+                if m <= TABULATED:
+                    table = self._table(leaf)
+                    for j, f in enumerate(leaf.features):
+                        out[f] += table[j].take(pattern)
+                else:
+                    out[leaf.features] += self._looked_up(leaf, pattern).T
+        return out.T
 
 
 def shap_trees(df: DataFrame, row: str, features: Sequence[str], model: PipelineModel, path: str) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ import pytest
 from casewright.operators import explain_global as G
 from casewright.operators import model as M
 from casewright.operators import overlay as V
+from casewright.operators import tree_shap as T
 
 FEATURES = ["a", "b", "c"]
 
@@ -106,3 +107,14 @@ def test_values_travel_in_parcels(spark):
     values = [r for r in sent if r["features"]]
     assert sum(len(r["spots"]) // 2 for r in values) == n * 2 * 10
     assert sum(len(r["given"]) for r in values) == n * 10 * (1 + 8)
+
+
+def test_attributions_of_one_batch_equal_those_row_by_row(spark):
+    """Also for leaves with more features than are tabulated, and for leaves with more than eight."""
+    rng = np.random.default_rng(3)
+    for m in (3, 9, 12):
+        leaf = T.Leaf(1.5, list(range(m)), rng.uniform(0.2, 0.8, m).tolist(), [[(j, bool(j % 2))] for j in range(m)])
+        tree = T.Tree(np.arange(m), np.zeros(m), [leaf])
+        x = rng.normal(size=(40, m))
+        want = np.array([leaf.attributions([(r[j] <= 0) == bool(j % 2) for j in range(m)]) for r in x])
+        assert np.allclose(T.Attributor([tree], m)(x), want, rtol=1e-12, atol=1e-15)
