@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casewright.operators import explain_global as G
 from casewright.operators import model as M
@@ -109,6 +110,13 @@ def test_values_travel_in_parcels(spark):
     assert sum(len(r["given"]) for r in values) == n * 10 * (1 + 8)
 
 
+def test_staged_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(M, "FILE_ROWS", 60)
+    rows = M.stage_partitions(made(spark, False), ["encoded_label"])
+    files = rows.select(F.input_file_name().alias("file")).groupBy("file").count().collect()
+    assert sum(r["count"] for r in files) == 500 and max(r["count"] for r in files) <= 60
+
+
 def test_attributions_of_one_batch_equal_those_row_by_row(spark):
     """Also for leaves with more features than are tabulated, and for leaves with more than eight."""
     rng = np.random.default_rng(3)
