@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -10,27 +11,31 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import quoted, to_long
-from ..functions.ordering import exact_quantiles
+from ..functions.ordering import block_quantiles, value_blocks
 from .model import SCORE, Scorer
 
+Bins = dict[str, dict[str, list[float]]]
+#: Array of rows to an object whose ``plain`` gives their scores, as the blocks of ``overlay``.
+BlockScorer = Callable[[np.ndarray], Any]
 
-def quartile_bins(train: DataFrame, features: Sequence[str]) -> dict[str, dict[str, list[float]]]:
+
+def quartile_bins(train: DataFrame, features: Sequence[str]) -> Bins:
     """Per feature: quartile edges, and share, least and greatest value of each bin.
 
-    At most four bins per feature reach the driver.
+    Rows are read once, to count each feature's values; edges and bins come from the counts. At most four bins
+    per feature reach the driver.
     """
-    long = to_long(train, [], features)
-    quartiles = exact_quantiles(long, ["feature"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    blocks = value_blocks(to_long(train, [], features), ["feature"], "value")
+    quartiles = block_quantiles(blocks, ["feature"], {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     edges = quartiles.select("feature", F.array_sort(F.array_distinct(F.array("q25", "q50", "q75"))).alias("edges"))
-    placed = long.where(F.col("value").isNotNull()).join(F.broadcast(edges), "feature").withColumn(
-        "bin", F.size(F.filter("edges", lambda e: e < F.col("value")))
-    )
+    placed = blocks.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("_v"))))
     stats = placed.groupBy("feature", "bin").agg(
-        F.first("edges").alias("edges"), F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        F.first("edges").alias("edges"), F.sum("_c").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
-    out: dict[str, dict[str, list[float]]] = {}
+    out: Bins = {}
     for r in stats.orderBy("feature", "bin").collect():
         own = out.setdefault(r["feature"], {"edges": list(r["edges"]), "bins": [], "n": [], "lo": [], "hi": []})
         for key, value in (("bins", r["bin"]), ("n", r["n"]), ("lo", r["lo"]), ("hi", r["hi"])):
@@ -54,62 +59,146 @@ def rule_text(feature: str, edges: Sequence[float], bin: int) -> str:
     return f"{edges[bin - 1]:.2f} < {feature} <= {edges[bin]:.2f}"
 
 
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _turned(h: np.ndarray, n: int) -> np.ndarray:
+    return (h << np.uint64(n)) | (h >> np.uint64(64 - n))
+
+
+def _finished(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def _hashed(number: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of 32-bit numbers after earlier columns that hash to ``before``."""
+    return _finished(_turned((before + _P5 + np.uint64(4)) ^ (number * _P1), 23) * _P2 + _P3)
+
+
+def _draws(start: int, repeat: int, samples: int, width: int, seed: int) -> list[np.ndarray]:
+    """Two (samples, width) arrays in [0, 1) that follow from xxhash64(row, sample, feature, seed, repeat, tag); ``start`` is that of the row."""
+    h = _hashed(np.arange(samples, dtype=np.uint64)[:, None], np.array([[start]], np.int64).view(np.uint64))
+    for number in (np.arange(width), [seed], [repeat]):
+        h = _hashed(np.array(number, np.uint64)[None, :], h)
+    tag = h + _P5 + np.uint64(3)
+    for letter in np.frombuffer(b"bin", np.uint8).astype(np.uint64):
+        tag = _turned(tag ^ (letter[None] * _P5), 11) * _P1
+    spot = _hashed(np.frombuffer(b"spot", np.uint32).astype(np.uint64), h)
+    return [(x & np.uint64((1 << 30) - 1)) / float(1 << 30) for x in (_finished(tag), spot)]
+
+
+def _drawn_blocks(features: Sequence[str], bins: Bins, samples: int, seed: int, rows: int = 8192):
+    """Samples around the cases of a batch: (places of the cases, same, values) of a few cases at a time."""
+    k = len(features)
+    edges = [np.array(bins[f]["edges"], float) for f in features]
+    cuts = [np.cumsum([n / float(sum(bins[f]["n"])) for n in bins[f]["n"]])[:-1] for f in features]
+    numbers, low, high = ([np.array(bins[f][key], float) for f in features] for key in ("bins", "lo", "hi"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        own = np.stack([batch.column(f"_{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(k)], axis=1)
+        # A missing value lies below all edges.
+        absent = np.stack([batch.column(f"_{i}").is_null().to_numpy(zero_copy_only=False) for i in range(k)], axis=1)
+        mine = np.stack([np.searchsorted(e, own[:, i]) for i, e in enumerate(edges)], axis=1)
+        mine[absent] = 0
+        starts, repeats = batch.column("_start").to_numpy(), batch.column("repeat").to_numpy()
+        step = max(1, rows // samples)
+        for begin in range(0, batch.num_rows, step):
+            at = np.arange(begin, min(batch.num_rows, begin + step))
+            same, values = np.ones((len(at), samples, k)), np.empty((len(at), samples, k))
+            for j, c in enumerate(at):
+                u, v = _draws(starts[c], int(repeats[c]), samples, k, seed)
+                for i in range(k):
+                    to = np.searchsorted(cuts[i], u[:, i], side="right")
+                    same[j, :, i] = numbers[i][to] == mine[c, i]
+                    values[j, :, i] = low[i][to] + v[:, i] * (high[i] - low[i])[to]
+                # Sample 0 is the case itself.
+                same[j, 0], values[j, 0] = 1.0, own[c]
+            yield at, same, values
+    return run
+
+
+def _repeated(cases: DataFrame, row: str, features: Sequence[str], repeats: int) -> DataFrame:
+    """A row per case and repeat, dealt evenly: each stands for all its samples."""
+    spark = cases.sparkSession
+    tasks = max(int(spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    given = cases.select(
+        F.col(row).alias("_row"), F.xxhash64(row).alias("_start"), *[F.col(quoted(f)).cast("double").alias(f"_{i}") for i, f in enumerate(features)]
+    )
+    exploded = given.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    return exploded.repartition(tasks, "_row", "repeat")
+
+
 def lime_samples(
-    cases: DataFrame, row: str, features: Sequence[str], bins: dict, scorer: Scorer, samples: int, seed: int, repeats: int = 1
+    cases: DataFrame, row: str, features: Sequence[str], bins: Bins, scorer: Scorer, samples: int, seed: int, repeats: int = 1
 ) -> DataFrame:
     """(row, repeat, same, p): scored samples around each case; ``same`` flags features in the case's own bin.
 
     Sample 0 is the case itself. Draws depend on (row, repeat, sample, feature, seed) alone.
     """
     features = [f for f in features if f in bins]
-    drawn = cases.select(row, *[F.col(quoted(f)).cast("double").alias(f) for f in features]).withColumn(
-        "repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))
-    ).withColumn("_sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    same, picks = [], []
-    for i, f in enumerate(features):
-        own = bins[f]
-        total = float(sum(own["n"]))
-
-        def draw(tag: str):
-            h = F.xxhash64(F.col(row), F.col("_sample"), F.lit(i), F.lit(seed), F.col("repeat"), F.lit(tag))
-            return F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
-
-        u, v = draw("bin"), draw("spot")
-        upto, chosen, value = 0.0, F.lit(own["bins"][-1]), F.lit(own["lo"][-1]) + v * F.lit(own["hi"][-1] - own["lo"][-1])
-        cuts = []
-        for b, n, lo, hi in zip(own["bins"], own["n"], own["lo"], own["hi"]):
-            upto += n / total
-            cuts.append((upto, b, lo, hi))
-        for at, b, lo, hi in reversed(cuts[:-1]):
-            chosen = F.when(u < at, F.lit(b)).otherwise(chosen)
-            value = F.when(u < at, F.lit(lo) + v * F.lit(hi - lo)).otherwise(value)
-        x = F.col(quoted(f))
-        mine = bin_number(x, own["edges"])
-        origin = F.col("_sample") == 0
-        same.append(F.when(origin | (chosen == mine), 1.0).otherwise(0.0))
-        picks.append(F.when(origin, x).otherwise(value).alias(f))
-    varied = drawn.select(row, "repeat", F.array(*same).alias("same"), *picks)
+    drawn, kind = _drawn_blocks(features, bins, samples, seed), cases.schema[row].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, same, values in drawn(batch):
+                which = pa.array(np.repeat(at, samples))
+                flags = pa.ListArray.from_arrays(pa.array(np.arange(len(which) + 1, dtype=np.int32) * len(features)), pa.array(same.ravel()))
+                flat = values.reshape(len(which), len(features))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_row").take(which), batch.column("repeat").take(which), flags, *[pa.array(flat[:, i], from_pandas=True) for i in range(len(features))]],
+                    [row, "repeat", "same", *features],
+                )
+
+    layout = T.StructType([T.StructField(row, kind), T.StructField("repeat", T.IntegerType()), T.StructField("same", T.ArrayType(T.DoubleType()))])
+    for f in features:
+        layout = layout.add(f, T.DoubleType())
+    varied = _repeated(cases, row, features, repeats).mapInArrow(run, layout)
     return scorer(varied).select(row, "repeat", "same", F.col(SCORE).alias("p"))
 
 
-def _sample_sums(k: int, width: float):
-    """Weighted sums of products of (1, same, p) over each run of samples of one case and repeat, upper triangle."""
-    upper = np.triu_indices(k + 2)
+def _sums_of(same: np.ndarray, p: np.ndarray, width: float) -> np.ndarray:
+    """Weighted sums of products of (1, same, p) over samples, upper triangle."""
+    full = np.column_stack([np.ones(len(same)), same, p])
+    w = np.sqrt(np.exp(-(same.shape[1] - same.sum(axis=1)) / width**2))
+    return ((full * w[:, None]).T @ full)[np.triu_indices(full.shape[1])]
+
+
+def _sum_batch(rows: pa.Array, repeats: pa.Array, sums: list[np.ndarray]) -> pa.RecordBatch:
+    size = len(sums[0])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * size), pa.array(np.concatenate(sums)))
+    return pa.RecordBatch.from_arrays([rows, repeats, lists], ["_row", "repeat", "sums"])
+
 
+def _sample_sums(k: int, width: float):
+    """``_sums_of`` each run of samples of one case and repeat."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             z = batch.column("same").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, k)
-            full = np.column_stack([np.ones(len(z)), z, batch.column("p").to_numpy(zero_copy_only=False)])
-            w = np.sqrt(np.exp(-(k - z.sum(axis=1)) / width**2))
+            p = batch.column("p").to_numpy(zero_copy_only=False)
             row, repeat = batch.column("_row").dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column("repeat").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(repeat) != 0)]))
             ends = np.append(starts[1:], len(z))
-            sums = [((full[a:b] * w[a:b, None]).T @ full[a:b])[upper] for a, b in zip(starts, ends)]
             at = pa.array(starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * len(upper[0])), pa.array(np.concatenate(sums)))
-            yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), batch.column("repeat").take(at), lists], ["_row", "repeat", "sums"])
+            yield _sum_batch(batch.column("_row").take(at), batch.column("repeat").take(at), [_sums_of(z[a:b], p[a:b], width) for a, b in zip(starts, ends)])
+    return run
+
+
+def _block_sums(features: Sequence[str], bins: Bins, block: BlockScorer, samples: int, seed: int, width: float):
+    """``_sums_of`` the samples of each case and repeat, drawn and scored in the task."""
+    drawn = _drawn_blocks(features, bins, samples, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, same, values in drawn(batch):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    p = block(values.reshape(-1, len(features))).plain()[0].reshape(len(at), samples)
+                    sums = [_sums_of(z, y, width) for z, y in zip(same, p)]
+                which = pa.array(at)
+                yield _sum_batch(batch.column("_row").take(which), batch.column("repeat").take(which), sums)
     return run
 
 
@@ -149,6 +238,10 @@ def _solve(names: list[str], top: int):
     return run
 
 
+def _kernel(names: Sequence[str], given: float | None = None) -> float:
+    return float(given or 0.75 * np.sqrt(len(names)))
+
+
 def lime_fit(samples: DataFrame, row: str, names: Sequence[str], top: int = 6, kernel_width: float | None = None) -> DataFrame:
     """(row, repeat, feature, weight, se, intercept): weighted ridge fit of each case's samples.
 
@@ -157,27 +250,45 @@ def lime_fit(samples: DataFrame, row: str, names: Sequence[str], top: int = 6, k
     solved from the same sums.
     """
     names = list(names)
-    width = kernel_width or 0.75 * np.sqrt(len(names))
     kind = samples.schema[row].dataType.simpleString()
     given = samples.select(F.col(row).alias("_row"), "repeat", "same", "p")
-    parts = given.mapInArrow(_sample_sums(len(names), float(width)), f"_row {kind}, repeat int, sums array<double>")
+    parts = given.mapInArrow(_sample_sums(len(names), _kernel(names, kernel_width)), f"_row {kind}, repeat int, sums array<double>")
+    return _fit_sums(parts, row, names, top)
+
+
+def _fit_sums(parts: DataFrame, row: str, names: list[str], top: int) -> DataFrame:
+    kind = parts.schema["_row"].dataType.simpleString()
     whole = parts.groupBy("_row", "repeat").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
     layout = f"_row {kind}, repeat int, feature string, weight double, se double, intercept double"
     return whole.mapInArrow(_solve(names, top), layout).withColumnRenamed("_row", row)
 
 
+def lime_drawn(
+    cases: DataFrame, row: str, names: Sequence[str], bins: Bins, scorer: Scorer, block: BlockScorer | None, samples: int, seed: int,
+    top: int, repeats: int = 1,
+) -> DataFrame:
+    """``lime_fit`` of samples around each case. With ``block``, a scorer of arrays, samples never leave the task that draws them."""
+    names = list(names)
+    if block is None:
+        return lime_fit(lime_samples(cases, row, names, bins, scorer, samples, seed, repeats), row, names, top)
+    kind = cases.schema[row].dataType.simpleString()
+    sums = _block_sums(names, bins, block, samples, seed, _kernel(names))
+    parts = _repeated(cases, row, names, repeats).mapInArrow(sums, f"_row {kind}, repeat int, sums array<double>")
+    return _fit_sums(parts, row, names, top)
+
+
 def lime_explain(
     train: DataFrame, cases: DataFrame, row: str, features: Sequence[str], scorer: Scorer, label: str = "encoded_label",
-    samples: int = 1000, top: int = 6, seed: int = 42,
+    samples: int = 1000, top: int = 6, seed: int = 42, bins: Bins | None = None, block: BlockScorer | None = None,
 ) -> DataFrame:
     """(row, actual, predicted, probability, class_type, explanation): local surrogate of each case.
 
-    ``explanation`` lists (rule, weight), strongest first. Bin edges come from ``train``; all
-    samples of all cases are scored together.
+    ``explanation`` lists (rule, weight), strongest first. Bin edges come from ``train``, unless ``bins`` are
+    given; all samples of all cases are scored together. ``block`` scores arrays of all ``features`` as ``scorer`` does rows.
     """
-    bins = quartile_bins(train, features)
+    bins = quartile_bins(train, features) if bins is None else bins
     names = [f for f in features if f in bins]
-    fitted = lime_fit(lime_samples(cases, row, names, bins, scorer, samples, seed), row, names, top)
+    fitted = lime_drawn(cases, row, names, bins, scorer, block, samples, seed, top)
     scored = scorer(cases).select(row, label, F.col(SCORE).alias("probability"), *[F.col(quoted(f)) for f in names])
     own_bins = F.create_map(*[
         x for f in names for x in (
@@ -201,13 +312,12 @@ def lime_explain(
 
 def lime_repeats(
     train: DataFrame, cases: DataFrame, row: str, features: Sequence[str], scorer: Scorer, calls: int = 10,
-    samples: int = 1000, top: int = 6, seed: int = 42,
+    samples: int = 1000, top: int = 6, seed: int = 42, bins: Bins | None = None, block: BlockScorer | None = None,
 ) -> DataFrame:
-    """(row, repeat, feature, weight, se) of repeated explanations of the same cases, all in one job."""
-    bins = quartile_bins(train, features)
+    """(row, repeat, feature, weight, se) of repeated explanations of the same cases, all in one job; see ``lime_explain``."""
+    bins = quartile_bins(train, features) if bins is None else bins
     names = [f for f in features if f in bins]
-    drawn = lime_samples(cases, row, names, bins, scorer, samples, seed, calls)
-    return lime_fit(drawn, row, names, top).select(row, "repeat", "feature", "weight", "se")
+    return lime_drawn(cases, row, names, bins, scorer, block, samples, seed, top, calls).select(row, "repeat", "feature", "weight", "se")
 
 
 def lime_stability(repeats: DataFrame, row: str, z: float = 1.96) -> DataFrame:

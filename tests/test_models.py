@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casewright.functions.frames import to_long
 from casewright.operators import cluster, compare, encode, explain_global as G, explain_local as Y, model as M
+from casewright.operators.overlay import trained_scorer
 from casewright.sources.tables import SESSIONS, sessions_log
 from casewright.streaming.running_cases import score_running_cases
 
@@ -154,6 +156,52 @@ def test_surrogates_from_sums_equal_a_fit_over_the_samples(spark):
     assert Y.lime_fit(samples.limit(0), "id", names).count() == 0
 
 
+def test_lime_draws_follow_from_the_hash_of_row_sample_and_feature(spark):
+    keys = [("case_1", 1), ("x" * 40, 3), (None, 2)]
+    spots = spark.createDataFrame(keys, "id string, repeat int").select(
+        "id", "repeat", F.xxhash64("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")
+    ).select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    spaces = {tag: F.pmod(F.xxhash64("id", "n", "i", F.lit(42), "repeat", F.lit(tag)), F.lit(1 << 30)) / float(1 << 30) for tag in ("bin", "spot")}
+    found = spots.select("*", *[x.alias(tag) for tag, x in spaces.items()]).collect()
+    assert len(found) == 3 * 5 * 3
+    for r in found:
+        u, v = Y._draws(r["start"], r["repeat"], 5, 3, 42)
+        assert (u[r["n"], r["i"]], v[r["n"], r["i"]]) == (r["bin"], r["spot"])
+
+
+def test_quartile_bins_read_the_rows_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(i % 7), None if i % 3 else float(i)) for i in range(50)], "a double, b double")
+    reads = []
+    monkeypatch.setattr(Y, "to_long", lambda *args: reads.append(1) or to_long(*args))
+    bins = Y.quartile_bins(rows, ["a", "b"])
+    assert len(reads) == 1
+    for f, values in (("a", [float(i % 7) for i in range(50)]), ("b", [float(i) for i in range(0, 50, 3)])):
+        edges = sorted(set(np.quantile(values, [0.25, 0.5, 0.75])))
+        place = np.searchsorted(edges, values)
+        own = {b: [v for v, p in zip(values, place) if p == b] for b in sorted(set(place))}
+        assert bins[f] == {
+            "edges": edges, "bins": list(own), "n": [len(v) for v in own.values()], "lo": [min(v) for v in own.values()], "hi": [max(v) for v in own.values()]
+        }
+
+
+@pytest.mark.parametrize("method", ["boosted", "logit"])
+def test_surrogates_scored_in_blocks_equal_those_scored_as_rows(rows, method, monkeypatch):
+    params = {"n_trees": 3, "max_depth": 3, "seed": 1} if method == "boosted" else {"c": 0.0}
+    fitted = M.TRAINERS[method](rows, FEATURES, **params)
+    cases = rows.where("id < 4").withColumn("a", F.when(F.col("id") != 2, F.col("a")))
+    scorer, block = M.model_scorer(fitted), trained_scorer(fitted, FEATURES).block
+    bins = Y.quartile_bins(rows, FEATURES)
+    by_rows, by_blocks = (
+        {(r["id"], r["repeat"], r["feature"]): (r["weight"], r["se"]) for r in Y.lime_repeats(rows, cases, "id", FEATURES, scorer, 2, 100, 3, bins=bins, block=b).collect()}
+        for b in (None, block)
+    )
+    assert len(by_rows) == 4 * 2 * 3 and by_rows.keys() == by_blocks.keys()
+    for key, found in by_blocks.items():
+        assert found == pytest.approx(by_rows[key], abs=1e-9, nan_ok=True)
+    monkeypatch.setattr(Y, "lime_samples", lambda *args: pytest.fail("samples became rows"))
+    Y.lime_explain(rows, cases, "id", FEATURES, scorer, samples=50, bins=bins, block=block).collect()
+
+
 def test_identical_repeats_are_fully_stable(spark):
     table = spark.createDataFrame([(1, k, f, 0.5, 0.1) for k in range(4) for f in "ab"], "id int, repeat int, feature string, weight double, se double")
     row = Y.lime_stability(table, "id").first()
