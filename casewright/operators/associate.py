@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import digamma, pearson, quoted, to_long
 from ..functions.ordering import scan_within
+from ..session import stage
+
+#: Rows that a task sorts in neighbour searches, whatever the session's shuffle partitions.
+SCAN_ROWS = 1 << 19
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -245,20 +249,94 @@ def neighbour_counts(long: DataFrame, row: str, label: str, k: int = 3, block: i
     return probes.join(inside, ["feature", row])
 
 
+def value_neighbours(counts: DataFrame, label: str, k: int = 3, block: int = 10_000, tasks: int | None = None) -> DataFrame:
+    """(feature, label, value, n, k, radius, inside): ``neighbour_counts`` of all points with the same feature, label and value.
+
+    ``counts`` has the number ``n`` of points of each (feature, label, value), values without nulls. Such points differ
+    in nothing, so rows are sorted and scanned per value, however many points there are, by ``tasks`` tasks (as many as
+    the session has shuffle partitions if not given).
+    """
+    sizes = counts.groupBy(F.col("feature").alias("_f"), F.col(label).alias("_l")).agg(F.sum("n").alias("_size"))
+    # One row per feature and class.
+    sized = counts.join(F.broadcast(sizes), (F.col("feature") == F.col("_f")) & F.col(label).eqNullSafe(F.col("_l"))).drop("_f", "_l")
+    placed = scan_within(sized.where(F.col("_size") > 1), ["feature", label], ["value"], rank="_place", tasks=tasks)
+    run, spot = F.floor((F.col("_place") - 1) / block), F.pmod(F.col("_place") - 1, F.lit(block))
+    targets = F.array(run, F.when(spot < k, run - 1), F.when(spot >= block - k, run + 1))
+    copied = placed.withColumn("_home", run).withColumn("_run", F.explode(F.array_compact(targets)))
+    if tasks:
+        copied = copied.repartition(tasks, "feature", label, "_run")
+    w = Window.partitionBy("feature", label, "_run").orderBy("_place")
+    value, n = F.col("value"), F.col("n")
+
+    def some(gap, many):
+        return F.when(many > 0, F.struct(gap.alias("gap"), many.alias("many")))
+
+    # The copies of the point itself, and the k next values on either side.
+    near = [some(value - value, n - 1)]
+    near += [some(value - F.lag(value, i).over(w), F.lag(n, i).over(w)) for i in range(1, k + 1)]
+    near += [some(F.lead(value, i).over(w) - value, F.lead(n, i).over(w)) for i in range(1, k + 1)]
+    kk = F.least(F.lit(k), F.col("_size") - 1)
+    reach = copied.withColumn("_near", F.array_sort(F.array_compact(F.array(*near)))).where(F.col("_run") == F.col("_home"))
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("double").alias("radius"))
+    found = F.aggregate("_near", start, lambda a, g: F.struct(
+        (a["upto"] + g["many"]).alias("upto"), F.when(a["upto"] < kk, g["gap"]).otherwise(a["radius"]).alias("radius")
+    ))
+    probes = reach.select("feature", label, "value", "n", kk.cast("int").alias("k"), found["radius"].alias("radius"))
+    # The order at equal places is that of ``neighbour_counts``.
+    d = F.col("radius")
+    low = F.struct((value - d).alias("at"), F.when(d > 0, 2).otherwise(0).alias("turn"), F.lit(-1).alias("end"), F.lit(0).cast("long").alias("points"))
+    high = F.struct((value + d).alias("at"), F.when(d > 0, 0).otherwise(2).alias("turn"), F.lit(1).alias("end"), F.lit(0).cast("long").alias("points"))
+    point = F.struct(value.alias("at"), F.lit(1).alias("turn"), F.lit(0).alias("end"), n.alias("points"))
+    merged = probes.select("*", F.explode(F.array(low, high, point)).alias("e")).select(*probes.columns, "e.*")
+    counted = scan_within(merged, ["feature"], ["at", "turn", label, "value", "end"], sums={"_upto": "points"}, tasks=tasks)
+    ends = counted.where(F.col("end") != 0)
+    return (ends.repartition(tasks, "feature", label, "value") if tasks else ends).groupBy("feature", label, "value").agg(
+        F.max("n").alias("n"), F.max("k").alias("k"), F.max("radius").alias("radius"), F.sum(F.col("_upto") * F.col("end")).alias("inside")
+    )
+
+
 def mutual_info_continuous(df: DataFrame, row: str, features: Sequence[str], label: str, k: int = 3) -> DataFrame:
     """(feature, mi): nearest-neighbour mutual information of continuous columns with a discrete label.
 
-    The estimator of Ross (2014). No noise is added, so equal values count as neighbours at distance 0.
+    The estimator of Ross (2014). No noise is added, so equal values count as neighbours at distance 0. Points are
+    counted by value first; those whose ``row`` is null count for others alone, and those that share one add up.
     """
-    counts = neighbour_counts(to_long(df, [row, label], features), row, label, k)
-    sizes = counts.groupBy("feature", label).agg(F.count("*").alias("_size"))
+    spot = ["feature", label, "value"]
+
+    def points(rows: DataFrame) -> DataFrame:
+        return to_long(rows, [row, label], features).where(F.col("value").isNotNull())
+
+    # Three rows a point are scanned at most.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * len(features) * df.count() // SCAN_ROWS))
+    counts = stage(points(df).repartition(tasks, *spot).groupBy(*spot).agg(F.count("*").alias("n")), "counts")
+    values = value_neighbours(counts, label, k, tasks=tasks)
+    terms = values.select(*spot, "n", "k", "inside")
+    repeated = stage(df.groupBy(F.col(row).alias("_row")).agg(F.count("*").alias("_rows")).where("_rows > 1 OR _row IS NULL"), "repeated")
+    if not repeated.isEmpty():
+        values = stage(values, "values")
+        odd = points(df.join(repeated, F.col(row).eqNullSafe(F.col("_row")), "left_semi"))
+        same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("feature") == F.col("_f")) & (F.col("value") == F.col("_v"))
+        known = values.select(F.col("feature").alias("_f"), F.col(label).alias("_l"), F.col("value").alias("_v"), "k", "inside")
+        met = odd.where(F.col(row).isNotNull()).join(known, same).groupBy("feature", row).agg(
+            F.collect_list(F.struct(label, "value", "k")).alias("_met"), F.sum("inside").alias("inside")
+        )
+        added = met.select("feature", "inside", F.explode("_met").alias("e")).select(
+            "feature", f"e.{label}", "e.value", F.lit(1).cast("long").alias("n"), "e.k", "inside"
+        )
+        gone = odd.groupBy(*[F.col(c).alias(o) for c, o in zip(spot, ("_f", "_l", "_v"))]).agg(F.count("*").alias("_gone"))
+        left = values.join(gone, same, "left").select(*spot, (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"), "k", "inside")
+        terms = left.where(F.col("n") > 0).unionByName(added.select(*left.columns))
+    n = F.col("n")
+    terms = terms.where(F.col(label).isNotNull())
     # One row per feature and class.
-    joined = counts.join(F.broadcast(sizes), ["feature", label])
-    parts = joined.groupBy("feature").agg(
-        F.count("*").alias("_n"), F.avg(digamma(F.col("k").cast("double"))).alias("_k"),
-        F.avg(digamma(F.col("_size").cast("double"))).alias("_c"), F.avg(digamma(F.col("inside").cast("double"))).alias("_m"),
+    classes = terms.groupBy("feature", label).agg(
+        F.sum(n).alias("_size"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"_{c}") for c in ("k", "inside")]
+    )
+    parts = classes.groupBy("feature").agg(
+        F.sum("_size").alias("_n"), F.sum("_k").alias("_k"), F.sum("_inside").alias("_m"),
+        F.sum(F.col("_size") * digamma(F.col("_size").cast("double"))).alias("_c"),
     )
-    mi = digamma(F.col("_n").cast("double")) + F.col("_k") - F.col("_c") - F.col("_m")
+    mi = digamma(F.col("_n").cast("double")) + (F.col("_k") - F.col("_c") - F.col("_m")) / F.col("_n")
     return parts.select("feature", F.greatest(F.lit(0.0), mi).alias("mi"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casewright.functions import keyed, ordering
+from casewright.functions.frames import to_long
 from casewright.operators import associate, prefix
 from casewright.operators.encode import encode_running, fit
 from casewright.operators.prepare import filter_cases
@@ -179,3 +180,41 @@ def test_filter_cases_with_a_hot_case(spark, monkeypatch):
     kept = filter_cases(log, ORDERS, cases)
     assert "_salt" in plan(kept)
     assert kept.count() == log.join(cases.select("case_id").distinct(), "case_id", "left_semi").count()
+
+
+def test_mutual_information_scans_values_and_not_points(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    few, many = rng.integers(0, 6, 400).astype(float), rng.integers(0, 300, 400) / 4
+    # Ids that are null or come again, a class of one point, and rows without a class or a value.
+    data = [
+        (None if i % 50 == 7 else i - i % 40 % 2 * (i % 5 == 0), None if i % 60 == 11 else 9 if i == 3 else int(v > 2), float(v), None if i % 30 == 1 else float(w))
+        for i, (v, w) in enumerate(zip(few, many))
+    ]
+    rows = spark.createDataFrame(data, "id int, y int, few double, many double")
+    counts = associate.neighbour_counts(to_long(rows, ["id", "y"], ["few", "many"]), "id", "y", 3).toPandas()
+
+    def digamma(n):
+        return -np.euler_gamma + sum(1 / i for i in range(1, int(n)))
+
+    want = {}
+    for f, own in counts[counts.y.notna()].groupby("feature"):
+        size = own.groupby("y").id.transform("size")
+        want[f] = max(0.0, digamma(len(own)) + np.mean([digamma(k) - digamma(s) - digamma(m) for k, s, m in zip(own.k, size, own.inside)]))
+    scanned, blocks = [], []
+    scan, sort = associate.scan_within, ordering.sorted_blocks
+    monkeypatch.setattr(associate, "scan_within", lambda df, *args, **kw: scanned.append(df.count()) or scan(df, *args, **kw))
+
+    def counted(*args, **kw):
+        got = sort(*args, **kw)
+        blocks.extend(r["count"] for r in got.groupBy("__block").count().collect())
+        return got
+
+    # The session has fewer shuffle partitions than this needs.
+    monkeypatch.setattr(ordering, "sorted_blocks", counted)
+    monkeypatch.setattr(associate, "SCAN_ROWS", 100)
+    got = {r["feature"]: r["mi"] for r in associate.mutual_info_continuous(rows, "id", ["few", "many"], "y").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    distinct = sum(len({(r[1], r[c]) for r in data if r[c] is not None}) for c in (2, 3))
+    assert max(scanned) <= 3 * distinct and distinct < 500
+    # Ranges are cut by a sample of the rows.
+    assert max(blocks) <= 300
