@@ -175,6 +175,10 @@ def best_params(spark, d):
     return M.best_params(trials)
 
 
+#: Events of a file of a replayed log at least, where its parts take several.
+FILE_EVENTS = 250_000
+
+
 # --- running cases -----------------------------------------------------------------------
 
 RUNNING = {"agg__sum_value": 0.001, "agg__std_value": 0.01, "agg__activity_click": 0.1}
@@ -212,10 +216,14 @@ def score_ending_cases_query(spark, d):
     low, high = log.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     # Files come in the order in which they are written.
     part = F.least(F.lit(3), F.floor((F.unix_micros("ts") - low) * 4 / max(1, high - low))).cast("int")
+    # Each part has as many files; rows are dealt in turn, so that none of them is left without rows.
+    sizes = {r["part"]: r["count"] for r in log.groupBy(part.alias("part")).count().collect()}
+    files = max(1, min(int(spark.sparkContext.defaultParallelism), *(sizes.get(k, 0) // FILE_EVENTS for k in range(4))))
     for k in range(4):
-        log.where(part == k).coalesce(1).write.mode("append").parquet(source)
+        own = log.where(part == k)
+        (own.repartition(files) if files > 1 else own.coalesce(1)).write.mode("append").parquet(source)
     model = E.fit("agg", log, SESSIONS, case="case_id")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(source)
 
     def sink(scores: DataFrame, number: int) -> None:
         scores.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")

@@ -19,7 +19,7 @@ def event(case, hours, i, act="go", x=1.0):
     return (case, act, "r", "deviant", START + dt.timedelta(hours=hours) if hours is not None else None, x, i)
 
 
-def run(spark, tmp_path, batches, idle="5 hours", lateness="1 hour", model=None):
+def run(spark, tmp_path, batches, idle="5 hours", lateness="1 hour", model=None, **more):
     """One file a batch, in order; all rows handed to the sink, and the query."""
     folder = tmp_path / "in"
     for k, rows in enumerate(batches):
@@ -30,7 +30,7 @@ def run(spark, tmp_path, batches, idle="5 hours", lateness="1 hour", model=None)
     stream = spark.readStream.schema(LAYOUT).option("maxFilesPerTrigger", 1).parquet(str(folder))
     scorer = M.closed_form({"agg__sum_x": 0.1, "agg__std_x": 0.5, "agg__act_go": 0.2, "agg__min_x": 0.01, "agg__max_x": 0.03, "agg__mean_x": -0.1})
     query = score_ending_cases(
-        stream, SCHEMA, model, scorer, lambda df, n: got.extend((n, *r) for r in df.collect()), str(tmp_path / "ck"), idle, lateness
+        stream, SCHEMA, model, scorer, lambda df, n: got.extend((n, *r) for r in df.collect()), str(tmp_path / "ck"), idle, lateness, **more
     )
     query.awaitTermination()
     return got, query, log, model, scorer
@@ -61,6 +61,25 @@ def test_final_scores_equal_the_batch_encoder_and_state_falls(spark, tmp_path):
     assert sum(late for _, late in progress) >= 1
 
 
+def test_cases_of_a_group_share_a_state_and_end_on_their_own(spark, tmp_path):
+    # Case i has its last event at hour i / 10, some after an earlier one in the batch before.
+    first = [event(f"c{i}", i / 100, i, x=i / 7) for i in range(0, 100, 2)]
+    second = [event(f"c{i}", 1 + i / 10, 1000 + i, "stop", None if i % 3 else -i / 3) for i in range(100)]
+    got, query, log, model, scorer = run(
+        spark, tmp_path, [first, second, [event("late", 14, 5000)], [event("later", 17.5, 5001)], [event("last", 90, 5002)], [event("end", 91, 5003)]], groups=3
+    )
+    want = {r["case"]: r["score"] for r in scorer(encode.encode(log, SCHEMA, [model], case="case")).collect()}
+    finals = {case: (number, events, score) for number, case, events, final, score in got if final}
+    assert len([1 for r in got if r[3]]) == len(finals) and set(finals) == {f"c{i}" for i in range(100)} | {"late", "later"}
+    for case, (_, events, score) in finals.items():
+        assert score == pytest.approx(want[case]) and events == (2 if case[1:].isdigit() and int(case[1:]) % 2 == 0 else 1)
+    # Watermarks of 9.9, 13 and 16.5 hours pass 1 + i / 10 + 5 hours.
+    by_batch = {number: {c for c, f in finals.items() if f[0] == number} for number in {f[0] for f in finals.values()}}
+    assert [by_batch[n] for n in sorted(by_batch)] == [*({f"c{i}" for i in part} for part in (range(39), range(39, 70), range(70, 100))), {"late", "later"}]
+    # A group's cases are one row, its timer another (in two indexes), and events kept against copies are not counted.
+    assert max(rows for rows, _ in progress_of(query)) <= 3 * 3
+
+
 def test_the_provider_is_put_back(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     run(spark, tmp_path, [[event("a", 0, 1)]])
