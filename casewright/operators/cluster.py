@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -53,17 +55,67 @@ def silhouette(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def scan_clusters(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5, 6), seed: int = 42) -> DataFrame:
-    """(n_clusters, silhouette) of k-means on the unscaled encoded set."""
-    vectors = _vectors(df, features)
-    parts = []
-    for k in ks:
-        labelled = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_c").fit(vectors).transform(vectors)
-        arrays = labelled.select("_c", vector_to_array("_features").alias("_v"))
-        parts.append(silhouette(arrays, "_v", "_c").select(F.lit(k).alias("n_clusters"), "silhouette"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(n_clusters, silhouette) of k-means on the unscaled encoded set.
+
+    Features are assembled once for all fits, and the silhouettes of all numbers of clusters are read from the rows together.
+    """
+    vectors = _vectors(df, features).select("_features").persist()
+    try:
+        labelled = vectors
+        for i, k in enumerate(ks):
+            # With a column more, the fit sees a table that is not kept yet and keeps its own form of the rows.
+            rows = vectors.withColumn("_k", F.lit(k))
+            labelled = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=f"_c{i}").fit(rows).transform(labelled)
+        found = _silhouettes(labelled.select(vector_to_array("_features").alias("_v"), F.array(*[f"_c{i}" for i in range(len(ks))]).alias("_c")), len(ks))
+    finally:
+        vectors.unpersist()
+    return df.sparkSession.createDataFrame([(int(k), s) for k, s in zip(ks, found)], "n_clusters int, silhouette double")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``_v`` and their labels ``_c`` as arrays."""
+    for batch in batches:
+        if batch.num_rows:
+            yield tuple(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in ("_v", "_c"))
+
+
+def _silhouettes(rows: DataFrame, n: int) -> list[float]:
+    """``silhouette`` of each of ``n`` labellings of the rows (_v, _c): an array of doubles and one of labels."""
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for x, labels in _blocks(batches):
+            every = np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), x])
+            for i in range(n):
+                for c in np.unique(labels[:, i]).tolist():
+                    sums[i, c] = sums.get((i, c), 0.0) + every[labels[:, i] == c].sum(axis=0)
+        if sums:
+            yield pa.RecordBatch.from_pydict({"i": [i for i, _ in sums], "c": [c for _, c in sums], "sums": [s.tolist() for s in sums.values()]})
+
+    total = vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
+    # One row per cluster.
+    found = rows.mapInArrow(moments, "i long, c long, sums array<double>").groupBy("i", "c").agg(total).orderBy("i", "c").collect()
+    clusters = [[(r["c"], np.array(r["sums"])) for r in found if r["i"] == i] for i in range(n)]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, labels in _blocks(batches):
+            norm, out = (x * x).sum(axis=1), []
+            for i, own in enumerate(clusters):
+                sizes, squares = np.array([s[0] for _, s in own]), np.array([s[1] for _, s in own])
+                distance = norm[:, None] * sizes + squares - 2 * x @ np.array([s[2:] for _, s in own]).T
+                at = np.searchsorted([c for c, _ in own], labels[:, i])
+                spots = np.arange(len(x)), at
+                a = distance[spots] / np.maximum(1, sizes[at] - 1)
+                mean = distance / sizes
+                mean[spots] = np.inf
+                b = mean.min(axis=1)
+                top = np.maximum(a, b)
+                whole = np.isfinite(b) & (top != 0) & (sizes[at] != 1)
+                out.append(float(np.divide(b - a, top, out=np.zeros(len(x)), where=whole).sum()))
+            yield pa.RecordBatch.from_pydict({"n": [len(x)], "sums": [out]})
+
+    total = F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")
+    all_rows = rows.mapInArrow(measure, "n long, sums array<double>").agg(*total).first()
+    return [s / all_rows["n"] for s in all_rows["sums"]]
 
 
 def best_k(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -79,7 +131,11 @@ def cluster_scaled(df: DataFrame, features: Sequence[str], k: int, seed: int = 4
         KMeans(k=k, seed=seed, featuresCol="_scaled", predictionCol="cluster_label"),
     ]
     vectors = _vectors(df, features)
-    labelled = Pipeline(stages=stages).fit(vectors).transform(vectors)
+    kept = vectors.select("_features").persist()
+    try:
+        labelled = Pipeline(stages=stages).fit(kept).transform(vectors)
+    finally:
+        kept.unpersist()
     return labelled.withColumn("scaled", vector_to_array("_scaled")).drop("_features", "_scaled")
 
 

@@ -230,6 +230,26 @@ def test_clusters(rows):
     assert len(ends) == best and all(r["nearest_distance"] <= r["farthest_distance"] for r in ends)
 
 
+def test_silhouettes_of_a_scan_read_assembled_rows(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(a):
+        seen.add(1)
+        return a
+
+    found = cluster.scan_clusters(rows.withColumn("a", same("a")), FEATURES, ks=(2, 3)).collect()
+    assert seen.value == 400
+    vectors = cluster._vectors(rows, FEATURES)
+    for r in found:
+        labelled = cluster.KMeans(k=r["n_clusters"], seed=42, featuresCol="_features", predictionCol="g").fit(vectors).transform(vectors)
+        want = cluster.silhouette(labelled.select("g", cluster.vector_to_array("_features").alias("v")), "v", "g").first()[0]
+        assert r["silhouette"] == pytest.approx(want, abs=1e-12)
+    # One point leaves a single cluster, whose silhouette is 0.
+    alone = spark.createDataFrame([(1.0, 2.0, None)] * 5, "a double, b double, c double")
+    assert [r["silhouette"] for r in cluster.scan_clusters(alone, FEATURES, ks=(2,)).collect()] == [0.0]
+
+
 def test_important_features_need_both_models(spark):
     gain = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "feature string, score double")
     coefs = spark.createDataFrame([("a", 3.0), ("c", -9.0)], "variable string, coef double")
