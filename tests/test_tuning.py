@@ -123,3 +123,40 @@ def test_folds_without_rows_or_classes(rows):
     assert len(scored) == odd.count()
     assert {r["score"] for r in scored if r["bucket"] == 9} == {0.25}
     assert {r["score"] for r in scored if r["bucket"] == 8} <= {1.0, 0.25}
+
+
+def test_trials_share_scalings(rows, monkeypatch):
+    parts = []
+    monkeypatch.setattr(T, "scaling", lambda *args: parts.append(1) or M.scaling(*args))
+    shared = T.tune(rows, FEATURES, "logit", 2, fixed={"max_iter": 5}).collect()
+    assert len(parts) == 9 and {r["iter"] for r in shared} == {1, 2}
+
+
+def test_rows_are_scored_once_for_both_aucs(spark, rows):
+    scored, seen = rows, spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(a):
+        seen.add(1)
+        return round(a, 1)
+
+    scored = scored.withColumn("score", score("a"))
+    found = T.fold_auc(scored)
+    assert seen.value == 900
+    plain = scored.withColumn("score", F.round("a", 1))
+    assert found[None] == pytest.approx(K.auc(plain, by=["fold"]).agg(F.avg("auc")).first()[0])
+    one = T.fold_auc(plain.where("bucket = 2"))
+    assert one[2] == one[None] == pytest.approx(found[2])
+
+
+def test_a_boosted_fit_assembles_its_rows_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def same(a):
+        seen.add(1)
+        return a
+
+    plain = M.train_boosted(rows, FEATURES, n_trees=2, max_depth=2, subsample=0.7)
+    model = M.train_boosted(rows.withColumn("a", same("a")), FEATURES, n_trees=2, max_depth=2, subsample=0.7)
+    assert seen.value == 900 and model.stages[-1].toDebugString.split("\n")[1:] == plain.stages[-1].toDebugString.split("\n")[1:]
