@@ -1,11 +1,12 @@
-"""Trie of conversation prefixes, with subtree totals by parallel tree contraction.
+"""Trie of conversation prefixes, with subtree totals summed over members.
 
 A prefix of d turns is known by d and the sum of a hash of every (place, role, text) in it, so running
 sums identify all prefixes of conversations of any length. A node is the group of conversations with
-one prefix. Totals over subtrees are found by contraction: in each round all leaves are raked into
-their parents and every second node or so of each unary chain is spliced out, each by a fixed number of
-joins. After a number of rounds logarithmic in the nodes only the root is left; then the rounds are
-undone in reverse, and each spliced node's total is its own sum at that time plus its child's total.
+one prefix, named by its smallest member. If a conversation names a prefix it names its longer ones, too,
+so the nodes that a conversation names are the end of its path. Of the nodes named by a member of a node all
+lie below it, but those that its own name gives to shorter prefixes. A subtree's total is therefore the sum,
+over the members of its top, of what each member names, less what the top's name gives to shorter prefixes: one
+grouping and one running sum, for tries of any depth.
 """
 
 from __future__ import annotations
@@ -115,56 +116,12 @@ def end_hashes(scratch: Scratch, ends: DataFrame) -> DataFrame:
     return single.unionByName(streamed.mapInArrow(_digest, "node string, ends_sha256 string"))
 
 
-def subtree_totals(scratch: Scratch, nodes: DataFrame, totals: list[str]) -> DataFrame:
-    """(id, totals) summed over subtrees, from (id, parent, totals); the root's parent is null.
-
-    A round takes the children's count of each node. Leaves are raked. A node with one child that is no
-    leaf is spliced out if its hash in this round is below those of such nodes next to it, so no two
-    neighbours go at once and a third of a long chain goes on average.
-    """
-    active, turn = nodes.select("id", "parent", *totals), 0
-    undone, raked_all = [], []
-    while True:
-        turn += 1
-        kids = active.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(
-            F.count("*").alias("kids"), F.min("id").alias("child")
-        )
-        seen = scratch.stage(active.join(kids, "id", "left").withColumn("kids", F.coalesce("kids", F.lit(0))), "round")
-        raked = seen.where("kids = 0 AND parent IS NOT NULL").select("id", "parent", *totals)
-        raked_all.append(seen.where("kids = 0").select("id", *totals))
-        if seen.where("kids > 0").isEmpty():
-            break
-        chance = F.xxhash64(F.lit(turn), "id")
-        unary = seen.where("kids = 1 AND parent IS NOT NULL").select("id", "child", chance.alias("chance"))
-        below = seen.select(F.col("id").alias("child"), "kids", F.xxhash64(F.lit(turn), F.col("id")).alias("child_chance"))
-        pairs = unary.join(below, "child").where("kids > 0")
-        # A pair of neighbours on a chain loses the one with the greater hash.
-        lost = pairs.where("kids = 1").select(
-            F.when(
-                (F.col("chance") < F.col("child_chance")) | (F.col("chance") == F.col("child_chance")) & (F.col("id") < F.col("child")),
-                F.col("child"),
-            ).otherwise(F.col("id")).alias("id")
-        ).distinct()
-        gone = pairs.select("id").join(lost, "id", "left_anti")
-        spliced = scratch.stage(seen.join(gone, "id").select("id", "parent", "child", *totals), "spliced")
-        undone.append(spliced)
-        gifts = raked.drop("id").unionByName(spliced.select("parent", *totals)).groupBy(F.col("parent").alias("id")).agg(
-            *[F.sum(c).alias(f"_{c}") for c in totals]
-        )
-        lifted = spliced.select(F.col("child").alias("id"), F.col("parent").alias("_parent"))
-        left = seen.where("kids > 0").join(spliced.select("id"), "id", "left_anti")
-        # A gift to a node that is spliced in this round cannot be: its only child is no leaf and its parent's hash decides.
-        active = left.join(gifts, "id", "left").join(lifted, "id", "left").select(
-            "id", F.coalesce("_parent", "parent").alias("parent"),
-            *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in totals],
-        )
-    # A spliced node's child went in a later round, so only later rounds are read: geometrically fewer rows.
-    known = raked_all.pop()
-    for spliced, raked in zip(reversed(undone), reversed(raked_all)):
-        below = known.select(F.col("id").alias("child"), *[F.col(c).alias(f"_{c}") for c in totals])
-        back = spliced.join(below, "child").select("id", *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in totals])
-        known = known.unionByName(raked).unionByName(scratch.stage(back, "back"))
-    return known
+def subtree_totals(members: DataFrame, named: DataFrame, totals: list[str]) -> DataFrame:
+    """(node, totals) summed over subtrees, from the (conv, node) of every prefix and the nodes (node, conv_id, depth, totals)."""
+    owned = named.groupBy(F.col("conv_id").alias("conv")).agg(*[F.sum(c).alias(f"_{c}") for c in totals])
+    whole = spread_join(members.select("conv", "node"), owned, "conv").groupBy("node").agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in totals])
+    running = scan_within(named.select("node", "conv_id", "depth", *totals), ["conv_id"], ["depth"], sums={f"_upto_{c}": c for c in totals})
+    return whole.join(running, "node").select("node", *[(F.col(f"_{c}") - F.col(f"_upto_{c}") + F.col(c)).alias(c) for c in totals])
 
 
 def conversation_trie(
@@ -196,15 +153,13 @@ def conversation_trie(
         saved = (F.col("n_convs") - 1) * F.col("words")
         kids = nodes.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
         named = spread_join(nodes, up, "parent", "left").join(kids, "node", "left").join(hashes, "node", "left")
+        n_children = F.coalesce("n_children", F.lit(0))
         named = scratch.stage(named.select(
-            F.struct("conv_id", "depth").alias("id"),
-            F.when(F.col("parent").isNotNull(), F.struct(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth"))).alias("parent"),
-            "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"),
+            "node", "conv_id", "depth", "parent_conv_id", "n_convs", n_children.alias("n_children"), (n_children == 0).cast("long").alias("n_leaves"),
             saved.alias("saved_tokens"), F.coalesce("ends_sha256", F.lit(_NONE)).alias("ends_sha256"),
         ), "named")
-        own = named.withColumn("n_leaves", (F.col("n_children") == 0).cast("long"))
-        totals = subtree_totals(scratch, own, ["n_leaves", "saved_tokens"])
-        out = named.drop("saved_tokens", "parent").join(totals, "id").select(
+        totals = subtree_totals(members, named, ["n_leaves", "saved_tokens"])
+        out = named.drop("n_leaves", "saved_tokens").join(totals, "node").select(
             "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
         )
         return scratch.result(out, "trie")

@@ -160,6 +160,20 @@ def test_trie_of_repeated_and_missing_rows(spark):
     assert [x for x in got if x[0] != 9 and x[1] > 0] == [x for x in plain if x[1] > 0]
 
 
+def test_tables_of_a_trie_do_not_grow_with_its_depth(spark, monkeypatch):
+    from casewright.llm.scratch import Scratch
+
+    made, plain = [], Scratch.stage
+    monkeypatch.setattr(Scratch, "stage", lambda self, df, name: made.append(name) or plain(self, df, name))
+    tables = []
+    for depth in (2, 60):
+        rows = [(c, t, "user", f"word {min(t, 7 * c)}") for c in range(400, 406) for t in range(depth + c % 3)]
+        assert trie_rows(conversation_trie(spark.createDataFrame(rows, CONV))) == plain_trie(rows)
+        tables.append(len(made))
+        made.clear()
+    assert tables[0] == tables[1]
+
+
 def test_hashes_of_ends_over_several_pieces(spark, monkeypatch):
     from casewright.llm import conversation_trie as module
 
