@@ -205,7 +205,8 @@ def write_token_files(
 
     encoded = rows.select("key", "text").mapInArrow(run, "kind string, shard long, seq long, value binary")
     encoded = encoded.sortWithinPartitions("kind", "shard", "seq")
-    _write(encoded.select("kind", "shard", "value"), f"{path}/data", end_id.to_bytes(width, "little"))
+    with Scratch(spark, "token-data"):
+        _write(encoded.select("kind", "shard", "value"), f"{path}/data", end_id.to_bytes(width, "little"))
     _write_index(spark, path, width, end_id, docs.isEmpty())
 
 

@@ -284,3 +284,23 @@ def test_words_of_a_text_longer_than_a_slice(prose):
     assert len(found) == 150_002
     for i in (0, 77_777, 149_999, 150_000, 150_001):
         assert found[i] == words_of(pa.array([text.split()[i]])).hash[0]
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+    before, key = shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key)
+    with Scratch(spark, "tidy") as scratch:
+        table = scratch.stage(spark.range(1000).repartition(3, F.col("id") % 7), "dealt")
+        assert table.count() == 1000
+        for _ in range(100):
+            if not (left := shuffled() - before):
+                break
+            time.sleep(0.1)
+        assert not left
+    assert spark.conf.get(key) == setting
