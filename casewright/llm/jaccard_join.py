@@ -134,7 +134,8 @@ def first_of_groups(
     """The rows of ``docs`` with one document for each group of linked ones.
 
     The one with the least key stays (of equal keys, the least hash of the text; keys before null).
-    Rows that repeat it in key and text go, too. Documents without words stay as they are.
+    Rows that repeat it in key and text go, too. Documents without words stay as they are. Which rows
+    stay is written down, and their texts are read from ``docs`` when the result is used.
     """
     with Scratch(docs.sparkSession, "first-of-groups") as scratch:
         described, labels = classes(scratch, docs, key, text, percent, width)
@@ -147,13 +148,13 @@ def first_of_groups(
         stay = firsts.union(blank).toDF("__key", "__tk", "__grouped")
         counts = rows.groupBy("doc_id", "tk").count().where("count > 1").toDF("__again", "__hash", "__n")
         match = F.col("__key").eqNullSafe(F.col("__again")) & (F.col("__tk") == F.col("__hash"))
-        stay = scratch.stage(stay.join(counts, match, "left").select("__key", "__tk", (F.col("__grouped") & F.col("__n").isNotNull()).alias("__one")), "stay")
+        stay = scratch.result(stay.join(counts, match, "left").select("__key", "__tk", (F.col("__grouped") & F.col("__n").isNotNull()).alias("__one")), "stay")
         own = docs.withColumn("__own", text_key(F.col(text).cast("string")))
         match = F.col(key).cast("long").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__tk"))
         found = own.join(sized(stay), match)
         # Only repeated rows have to be brought together.
         once = found.where("__one").dropDuplicates(["__key", "__tk"])
-        return scratch.result(found.where("NOT __one").union(once).select(*docs.columns))
+        return found.where("NOT __one").union(once).select(*docs.columns)
 
 
 def named(described: DataFrame, labels: DataFrame, key: str) -> DataFrame:
