@@ -39,6 +39,8 @@ CHUNK_BYTES = 1 << 20
 BUCKET_KEYS = 50_000
 #: Distinct pieces whose ids a task keeps; the table is emptied when it is full.
 KNOWN_PIECES = 500_000
+#: Pieces that the tokenizer encodes at once, and the sign between them.
+JOINED, MARK = 64, ","
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 1 << 20
 _ENTRY = np.dtype([("print", "<u4"), ("shard", "<u8"), ("offset", "<u8"), ("n", "<u8"), ("key", "<i8"), ("null", "<u1"), ("copy", "<u8")])
@@ -102,17 +104,49 @@ class Encoder:
         self.begin, self.length, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, pieces: list[str], hashes: np.ndarray) -> None:
-        for i in range(0, len(pieces), 10_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[i: i + 10_000], add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            begin = len(self.pool) + np.cumsum(length) - length
-            self.begin, self.length = np.concatenate([self.begin, begin]), np.concatenate([self.length, length])
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32)])
-        known = np.concatenate([self.known, hashes])
+        alone = np.array([MARK in p or "<" in p for p in pieces], bool)
+        order = np.argsort(alone, kind="stable")
+        pieces, joined = [pieces[i] for i in order.tolist()], int(len(pieces) - alone.sum())
+        pools, lengths = [self.pool], [self.length]
+        for i in range(0, joined, 10_000):
+            ids, length = self._joined(pieces[i: min(i + 10_000, joined)])
+            pools.append(ids)
+            lengths.append(length)
+        ids, length = self._single(pieces[joined:])
+        self.pool, self.length = np.concatenate([*pools, ids]), np.concatenate([*lengths, length])
+        self.begin = np.cumsum(self.length) - self.length
+        known = np.concatenate([self.known, hashes[order]])
         order = np.argsort(known, kind="stable")
         self.where = np.concatenate([self.where, np.arange(len(self.where), len(known))])[order]
         self.known = known[order]
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and the number of ids of each piece."""
+        ids = [ids for i in range(0, len(pieces), 10_000) for ids in self._encode(pieces[i: i + 10_000])]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces without ``MARK``: some are encoded at once, and its id tells where they end."""
+        mark = self._encode([MARK])[0]
+        if len(mark) != 1:
+            return self._single(pieces)
+        groups = [pieces[i: i + JOINED] for i in range(0, len(pieces), JOINED)]
+        pools, lengths = [], []
+        for group, found in zip(groups, self._encode([f" {MARK} ".join(g) for g in groups]), strict=True):
+            found = np.array(found, np.uint32)
+            at = np.flatnonzero(found == mark[0])
+            if len(at) == len(group) - 1:
+                pools.append(np.delete(found, at))
+                lengths.append(np.diff(at, prepend=-1, append=len(found)) - 1)
+            else:  # a piece has the id, too
+                ids, length = self._single(group)
+                pools.append(ids)
+                lengths.append(length)
+        return np.concatenate(pools), np.concatenate(lengths)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text."""
         pieces = pieces_of(texts)
